@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import bpe, pii, quality
+from scholium.llm import bpe, html, pii, quality
 from scholium.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("base", pii.base_only(F.col("spans")))
     counts = [pii.count(F.col("base"), kind.name).alias(f"n_{kind.name}") for kind in pii.KINDS if kind.base]
     return found.select("doc_id", *counts, F.sha2(F.encode(pii.listed(F.col("base")), "UTF-8"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text and its length in code points."""
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
