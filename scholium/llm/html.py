@@ -47,10 +47,10 @@ SCOPES = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "body"
 
 
 class Element:
-    __slots__ = ("candidate", "chrome", "inner", "links", "main", "start", "tag", "wraps")
+    __slots__ = ("candidate", "chrome", "inner", "inside", "links", "main", "start", "tag", "wraps")
 
-    def __init__(self, tag: str, start: int, chrome: bool, main: bool):
-        self.tag, self.start, self.chrome, self.main = tag, start, chrome, main
+    def __init__(self, tag: str, start: int, chrome: bool, main: bool, inside: bool):
+        self.tag, self.start, self.chrome, self.main, self.inside = tag, start, chrome, main, inside
         self.candidate, self.wraps, self.links, self.inner = -1, False, 0, 0
 
 
@@ -112,7 +112,7 @@ class Scan:
         inside = any(e.main for e in self.stack)
         if tag == "header" and not inside:
             chrome = True
-        element = Element(tag, at, chrome, main)
+        element = Element(tag, at, chrome, main, inside)
         if main and not chrome:
             for e in self.stack:
                 e.wraps = True
@@ -124,9 +124,8 @@ class Scan:
     def _close_to(self, k: int, at: int) -> None:
         """End the elements from the k-th on; the last ends at ``at``."""
         self._flush()
-        inside = any(e.main for e in self.stack[:k])
         for e in reversed(self.stack[k:]):
-            if e.candidate >= 0 and not e.wraps and e.inner and (not inside or 2 * e.links > e.inner):
+            if e.candidate >= 0 and not e.wraps and e.inner and (not e.inside or 2 * e.links > e.inner):
                 self.candidates[e.candidate] = xxhash.xxh64_intdigest(" ".join(self.page[e.start : at].split())) - (1 << 63)
         del self.stack[k:]
 

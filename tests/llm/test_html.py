@@ -30,6 +30,11 @@ def test_templates_are_counted_per_host(spark):
     assert html.extract(pages.limit(0)).collect() == []
 
 
+def test_copies_of_an_article_stay(spark):
+    pages = spark.createDataFrame([(i, "http://h.org/x", "<nav>a</nav><article><h1>T</h1><p><b>first<br><p>last</article><footer>f</footer>") for i in range(9)], "page_id long, url string, html string")
+    assert {r.text for r in html.extract(pages).collect()} == {"T\nfirst\nlast"}
+
+
 def test_long_and_odd_pages(spark):
     odd = ["<" * 20_000, "<p>" * 20_000 + "x", "<a href='" * 300, "<div>" * 3_000 + "deep", "&#x110000; &bad; &amp"]
     pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(odd)], "page_id long, url string, html string")
