@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import bpe, html, pii, quality, substring, token_counts, topk, urls
+from scholium.llm import bpe, decontam, html, pii, quality, substring, token_counts, topk, urls
 from scholium.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of repeated 35-word windows."""
     kept = substring.remove_repeats(table(spark, sf_dir, "documents"), window=35)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage similar to a benchmark item, and where."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
