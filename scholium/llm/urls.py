@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholium.session import materialise
+
 # fixed values: verdict, host, path
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DEPTH = 3
@@ -60,7 +62,8 @@ def templates(pages: DataFrame) -> DataFrame:
     combination of generalised segments.
     """
     own = [f"s{d}" for d in range(1, DEPTH + 1)]
-    tree = pages.groupBy("host", *own, "tail").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    # every level reads the tree several times: written once, its plan stays short
+    tree = materialise(pages.groupBy("host", *own, "tail").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
     for d in range(1, DEPTH + 1):
         above = ["host", *(f"t{k}" for k in range(1, d))]
         nodes = tree.groupBy(*above, f"s{d}").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
@@ -70,7 +73,7 @@ def templates(pages: DataFrame) -> DataFrame:
         similar = gap <= Z * F.sqrt(share * (1 - share) / (n + 2.0))
         wild = (F.col(f"s{d}") != "") & (F.col("children") > 1) & ((F.col("children") > MANY_CHILDREN) | similar)
         named = nodes.join(parents, above).select(*above, f"s{d}", F.when(wild, "*").otherwise(F.col(f"s{d}")).alias(f"t{d}"))
-        tree = tree.join(named, [*above, f"s{d}"])
+        tree = materialise(tree.join(named, [*above, f"s{d}"]))
     total = tree.agg(((F.sum("bad") + 1.0) / (F.sum("labelled") + 2.0)).alias("prior"))
     names = [f"t{d}" for d in range(1, DEPTH + 1)]
     purity = tree.groupBy("host", *names, "tail").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
