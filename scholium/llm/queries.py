@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import bpe, decontam, html, pii, quality, substring, token_counts, topk, urls
+from scholium.llm import bpe, decontam, html, jaccard, pii, quality, substring, token_counts, topk, urls
 from scholium.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a passage similar to a benchmark item, and where."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class under 4-gram Jaccard similarity of 85 % or more."""
+    return jaccard.link(table(spark, sf_dir, "documents"), n=4, percent=85)
