@@ -51,7 +51,7 @@ def _blocks(fingerprint: str, radius: int) -> Column:
     return F.array(*parts)
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """``df`` marked for broadcast where it is counted and small, else as it is."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -73,7 +73,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         .select("item_id", "item_words", F.size("item_words").alias("length"), "grams", _fingerprint("grams").alias("item_print"))
     )
     items = materialise(items)
-    shared = _small(items.select("item_id", "length", F.size("grams").alias("n_grams"), F.posexplode("grams").alias("at", "gram")))
+    shared = small(items.select("item_id", "length", F.size("grams").alias("n_grams"), F.posexplode("grams").alias("at", "gram")))
 
     rows = docs.select(F.col(key).alias("key"), F.hash(text).alias("row"), F.col(text).alias("text")).filter(F.length("text") >= 2 * SHINGLE - 1)
     hashed = rows.select("key", "row", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes")).filter(F.size("hashes") >= SHINGLE)
@@ -83,7 +83,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     places = met.groupBy("key", "row", "item_id", "length", "n_grams").agg(F.size(F.collect_set("at")).alias("hits"), starts.alias("starts")).filter(F.col("hits") >= similarity * F.col("n_grams"))
     windows = materialise(places.select("key", "row", "length", F.explode("starts").alias("start")).distinct().groupBy("key", "row").agg(F.collect_list(F.struct("start", "length")).alias("windows")))
 
-    held = _small(windows)
+    held = small(windows)
     cut = (
         rows.join(held, [rows["key"].eqNullSafe(held["key"]), rows["row"] == held["row"]])
         .select(rows["key"], rows["row"], words(F.col("text")).alias("words"), "windows")
@@ -92,7 +92,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     )
     prints = materialise(cut.withColumn("hashes", F.expr("transform(words, w -> xxhash64(w))")).withColumn("grams", _grams("hashes")).withColumn("print", _fingerprint("grams")).drop("hashes", "grams"))
 
-    indexed = _small(items.select("item_id", "item_words", "length", "item_print", F.explode(_blocks("item_print", radius)).alias("b")).select("item_id", "item_words", "length", "item_print", "b.*"))
+    indexed = small(items.select("item_id", "item_words", "length", "item_print", F.explode(_blocks("item_print", radius)).alias("b")).select("item_id", "item_words", "length", "item_print", "b.*"))
     pairs = prints.select("key", "row", "start", "length", "words", "print", F.explode(_blocks("print", radius)).alias("b")).select("*", "b.*").drop("b").join(indexed, ["length", "block", "value"])
     near = pairs.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius).dropDuplicates(["key", "row", "start", "length", "item_id"])
     string_grams = lambda c: f"transform(sequence(1, size({c}) - {SHINGLE - 1}), i -> array_join(slice({c}, i, {SHINGLE}), ' '))"
