@@ -9,8 +9,9 @@ string of words to the bucket of its minimiser, where the windows are sorted
 and counted.
 
 Minimisers of more than ``HOT`` super-k-mers (passages that very many documents
-share) have no bucket: their windows are counted by a 128-bit digest with
-partial aggregation before the shuffle, so no task gathers them.
+share) have no bucket: equal strings are counted first, with partial
+aggregation, and the windows of the distinct ones by a 128-bit digest, so no
+task gathers them.
 """
 
 from __future__ import annotations
@@ -125,20 +126,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
                 for k, (packed, own) in enumerate(zip(some.column("packed").to_pylist(), some.column("places").to_pylist(), strict=True)):
                     words = unpack(packed).split()
                     for p in own:
-                        mine = words[p["start"] : p["start"] + p["size"]]
-                        digests = [hashlib.blake2b(b" ".join(mine[j : j + window]), digest_size=16).digest() for j in range(p["size"] - window + 1)] if p["hot"] else None
-                        out.append((p["mini"], p["start"], None if p["hot"] else b" ".join(mine), digests))
+                        out.append((p["mini"], p["start"], b" ".join(words[p["start"] : p["start"] + p["size"]]), p["hot"]))
                         at.append(k)
                 taken = pa.array(at, pa.int64())
-                mini, start, string, digests = zip(*out, strict=True) if out else ([], [], [], [])
+                mini, start, string, often = zip(*out, strict=True) if out else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("key").take(taken), some.column("row").take(taken), some.column("copies").take(taken), pa.array(mini, pa.int64()), pa.array(start, pa.int32()), pa.array(string, pa.binary()), pa.array(digests, pa.list_(pa.binary()))],
-                    ["key", "row", "copies", "mini", "start", "string", "digests"],
+                    [some.column("key").take(taken), some.column("row").take(taken), some.column("copies").take(taken), pa.array(mini, pa.int64()), pa.array(start, pa.int32()), pa.array(string, pa.binary()), pa.array(often, pa.bool_())],
+                    ["key", "row", "copies", "mini", "start", "string", "hot"],
                 )
 
     texts = packed_texts(rows.filter(F.length("text") >= 2 * window - 1)).groupBy("key", "row").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("copies"))
     joined = texts.join(places, [texts["key"].eqNullSafe(places["key"]), texts["row"] == places["row"]]).select(texts["key"], texts["row"], "copies", "packed", "places")
-    strings = materialise(joined.mapInArrow(pack, f"key {kind}, row int, copies long, mini long, start int, string binary, digests array<binary>"))
+    strings = materialise(joined.mapInArrow(pack, f"key {kind}, row int, copies long, mini long, start int, string binary, hot boolean"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -169,12 +168,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
         return pa.RecordBatch.from_arrays([*columns, pa.array(start + first, pa.int32()), pa.array(start + end, pa.int32())], ["key", "row", "first", "end"])
 
     # at most ``hot`` rows share a minimiser here
-    buckets = strings.filter(F.col("string").isNotNull()).select("key", "row", "copies", "mini", "start", "string").repartition("mini").sortWithinPartitions("mini")
-    found = buckets.mapInArrow(count, f"key {kind}, row int, first int, end int")
-    single = strings.filter(F.col("digests").isNotNull()).select("key", "row", "copies", "start", F.posexplode("digests").alias("at", "digest"))
-    twice = single.groupBy("digest").agg(F.sum("copies").alias("n")).filter(F.col("n") > 1).select("digest")
-    common = single.join(twice, "digest").select("key", "row", (F.col("start") + F.col("at")).alias("first"), (F.col("start") + F.col("at") + window).alias("end"))
-    ranges = found.unionByName(common).groupBy("key", "row").agg(F.collect_list(F.struct("first", "end")).alias("ranges"))
+    buckets = strings.filter(~F.col("hot")).drop("hot").repartition("mini").sortWithinPartitions("mini")
+    found = buckets.mapInArrow(count, f"key {kind}, row int, first int, end int").select("key", "row", F.array(F.struct("first", "end")).alias("ranges"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 500):
+                some = batch.slice(i, 500)
+                split = [t.split(b" ") for t in some.column("string").to_pylist()]
+                counts = [len(w) - window + 1 for w in split]
+                digests = [hashlib.blake2b(b" ".join(w[j : j + window]), digest_size=16).digest() for w, n in zip(split, counts, strict=True) for j in range(n)]
+                at = pa.array(np.repeat(np.arange(len(some)), counts))
+                yield pa.RecordBatch.from_arrays([some.column("id").take(at), some.column("n").take(at), pa.array(np.concatenate([np.arange(n) for n in counts]), pa.int32()), pa.array(digests, pa.binary())], ["id", "n", "at", "digest"])
+
+    # a string met twice repeats as a whole; of the others, the windows met anywhere else
+    often = strings.filter("hot").withColumn("id", F.md5("string"))
+    distinct = materialise(often.groupBy("id", "string").agg(F.sum("copies").alias("n")))
+    cut = distinct.mapInArrow(windows, "id string, n long, at int, digest binary")
+    twice = cut.groupBy("digest").agg(F.sum("n").alias("n")).filter(F.col("n") > 1).select("digest")
+    partly = cut.filter(F.col("n") == 1).join(twice, "digest").groupBy("id").agg(F.collect_list(F.struct(F.col("at").alias("first"), (F.col("at") + window).alias("end"))).alias("ranges"))
+    wholly = distinct.filter(F.col("n") > 1).select("id", F.array(F.struct(F.lit(0).alias("first"), F.size(F.split(F.col("string").cast("string"), " ")).alias("end"))).alias("ranges"))
+    moved = F.transform("ranges", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["end"]).alias("end")))
+    common = often.join(partly.unionByName(wholly), "id").select("key", "row", moved.alias("ranges"))
+    ranges = found.unionByName(common).groupBy("key", "row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
