@@ -1,10 +1,6 @@
-"""Registry of the queries for the reference's own operators."""
+"""All queries for the reference's own operators."""
 
-from __future__ import annotations
+from scholium.plans import corpus, measures, sequences, texts
+from scholium.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "measures", "sequences", "texts"]
