@@ -1,0 +1,71 @@
+"""A restartable runner for stages over tables.
+
+Stages form a dependency graph. Every stage reads the tables of its
+dependencies and writes its own as Parquet below the run's folder, with a
+marker when it is whole; a later run starts again from what is there, and
+``resume`` clears the markers downstream of a stage first.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+
+from scholium.operators.trees import check_dag
+
+
+class StageError(RuntimeError):
+    """A stage failed; the message names it."""
+
+
+@dataclass
+class Stage:
+    name: str
+    run: Callable[[SparkSession, dict[str, DataFrame]], DataFrame]
+    needs: tuple[str, ...] = ()
+
+
+@dataclass
+class Runner:
+    folder: str
+    stages: list[Stage] = field(default_factory=list)
+
+    def levels(self) -> list[list[str]]:
+        """Stages by level, sorted within each; refuses cycles and unknown needs."""
+        names = [s.name for s in self.stages]
+        if len(set(names)) != len(names):
+            raise ValueError("a stage is named twice")
+        check_dag([(s.name, d) for s in self.stages for d in (s.needs or (None,))])
+        level: dict[str, int] = {}
+        while len(level) < len(names):
+            for s in self.stages:
+                if s.name not in level and all(n in level for n in s.needs):
+                    level[s.name] = 1 + max((level[n] for n in s.needs), default=-1)
+        return [sorted(n for n in level if level[n] == k) for k in range(max(level.values(), default=-1) + 1)]
+
+    def downstream(self, start: str) -> set[str]:
+        found = {start}
+        while more := {s.name for s in self.stages if found & set(s.needs)} - found:
+            found |= more
+        return found
+
+    def _done(self, spark: SparkSession, name: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/_SUCCESS")
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    def run(self, spark: SparkSession, again_from: str | None = None) -> dict[str, DataFrame]:
+        """Run what is not there yet, and everything from ``again_from`` on."""
+        again = self.downstream(again_from) if again_from else set()
+        by_name = {s.name: s for s in self.stages}
+        tables: dict[str, DataFrame] = {}
+        for level in self.levels():
+            for name in level:
+                if name in again or not self._done(spark, name):
+                    try:
+                        by_name[name].run(spark, {n: tables[n] for n in by_name[name].needs}).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+                    except Exception as error:
+                        raise StageError(f"stage {name} failed: {error}") from error
+                tables[name] = spark.read.parquet(f"{self.folder}/{name}")
+        return tables

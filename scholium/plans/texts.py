@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholium.functions import bibliography, text
+from scholium.operators import sections
 from scholium.plans.registry import query
-from scholium.session import table
+from scholium.session import shared_folder, table
+from scholium.sources import markup, records
+from scholium.streaming import audit
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '\s+') AS t FROM documents)),
@@ -128,3 +131,37 @@ def papers_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers as JSON records, by source."""
     records = F.transform(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("id"), "lang"))), lambda r: F.to_json(r))
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.md5(F.array_join(records, ",")).alias("papers"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS openalex, 'T' || doc_id AS title, 'j' || source AS journal, '10.1/' || md5(text) AS doi, md5(array_to_string(regexp_split_to_array(lang || ' ' || source || ' ' || lang, ' '), ' ')) AS abstract, CAST(2000 + doc_id % 20 AS INTEGER) AS year FROM documents""")
+def openalex_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index records parsed, with their abstracts rebuilt."""
+    inverted = F.create_map("lang", F.array(F.lit(0), F.lit(2)), "source", F.array(F.lit(1)))
+    work = F.struct(
+        F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("https://doi.org/10.1/"), F.md5("text")).alias("doi"), (2000 + F.col("doc_id") % 20).alias("publication_year"),
+        F.struct(F.struct(F.concat(F.lit("j"), "source").alias("display_name")).alias("source")).alias("primary_location"), inverted.alias("abstract_inverted_index"),
+    )
+    found = records.openalex(table(spark, sf_dir, "documents").select(F.to_json(work).alias("json")))
+    return found.select(F.col("external_ids")["openalex"].alias("openalex"), "title", "journal", "doi", F.md5("abstract").alias("abstract"), "year")
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All text nodes of pages outside scripts, styles and page furniture."""
+    return table(spark, sf_dir, "pages").select("page_id", markup.extractor("html")("html").alias("text"))
+
+
+@query()
+def section_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers cut with regard to their sections."""
+    made = F.concat(F.lit("1. Introduction\n"), "text", F.lit("\n2. Methods\n"), "text", F.lit("\nResults\n"), "text", F.lit("\nReferences\n"), "text")
+    return sections.truncate(table(spark, sf_dir, "documents").select("doc_id", made.alias("text")), 8000)
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS calls, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY ALL")
+def stream_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily token counts from the audit log as a stream."""
+    events = table(spark, sf_dir, "events")
+    found = audit.drain(audit.token_windows(audit.audit_stream(spark, events, f"{sf_dir}/events*.parquet")), shared_folder(spark), mode="complete")
+    latest = found.filter(F.col("batch") == found.agg(F.max("batch")).first()[0])
+    return latest.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "calls", "tokens")
