@@ -11,10 +11,11 @@ its bits' 64-bit marks. Candidates are verified on the sets themselves.
 
 Equal sets are one node. Within a group of equal blocks only stars are tested
 at first: all members against the least, gathered per task before the shuffle.
-Groups whose members still lie in several classes are then tested further,
-first against varied members of their largest class, at last in every pair of
-different classes. No link between different
-classes is left out, and the members of one class need no more links.
+Groups whose members still lie in several classes are tested against a hub, the
+member of the most and largest groups. What is mixed after that is joined on
+the rarest blocks of a finer sketch, between different classes only. No link
+between different classes is left out, and the members of one class need no
+more links.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholium.llm.graph import components
@@ -36,7 +37,11 @@ from scholium.session import materialise
 BATCH = 2_000
 #: Groups of a partition are streamed in so many parts.
 PARTS = 8
-LEADER_ROUNDS = 2
+HUB_ROUNDS = 2
+#: Blocks of the finer sketch, times the difference allowed.
+FINER = 6
+#: 64-bit words of the map of a set's own blocks.
+MAP_WORDS = 8
 LARGEST = 1 << 26
 
 
@@ -63,25 +68,33 @@ def node_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def block_keys(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the set's non-zero blocks, in its own band and the one below."""
+def banded_keys(grams: np.ndarray, percent: int, finer: int = 0) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Band, difference allowed, keys and numbers of the non-zero blocks, for the set's own band and the one below."""
     top, differ, blocks = bands(percent)
     own = int(np.searchsorted(top, len(grams)))
-    marks, keys = mix(grams), []
+    marks, found = mix(grams), []
     for band in (own, own - 1):
         if band < 0 or not differ[band]:
             continue  # only equal sets link
-        block = grams % np.uint64(blocks[band])
-        order = np.argsort(block.astype(np.uint16 if blocks[band] < 1 << 16 else np.uint32), kind="stable")
+        n = finer * int(differ[band]) if finer else int(blocks[band])
+        block = grams % np.uint64(n)
+        order = np.argsort(block.astype(np.uint16 if n < 1 << 16 else np.uint32), kind="stable")
         block = block[order]
         first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         values = np.bitwise_xor.reduceat(marks[order], first)
         full = values != 0
-        salt = np.uint64(band) * np.uint64(0x9E3779B97F4A7C15) + block[first][full] * np.uint64(0xC2B2AE3D27D4EB4F)
-        keys.append(mix(values[full] + mix(salt + np.uint64(1))))
-        if full.sum() <= differ[band]:  # so few blocks may all differ: such sets of a band meet in one group
-            keys.append(mix(np.array([band], np.uint64) + np.uint64(1 << 40)))
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        salt = mix(np.array([band], np.uint64)) + block[first][full] * np.uint64(0xC2B2AE3D27D4EB4F)
+        keys, numbers = mix(values[full] + mix(salt + np.uint64(1))), block[first][full].astype(np.int32)
+        if len(keys) <= differ[band]:  # so few blocks may all differ: such sets of a band meet in one group
+            keys = np.append(keys, mix(np.array([band], np.uint64) + np.uint64(1 << 40)))
+            numbers = np.append(numbers, np.int32(-1))
+        found.append((band, int(differ[band]), keys, numbers))
+    return found
+
+
+def block_keys(grams: np.ndarray, percent: int) -> np.ndarray:
+    """All block keys of a set."""
+    return np.concatenate([np.zeros(0, np.uint64), *(found[2] for found in banded_keys(grams, percent))])
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +220,42 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return both.mapInArrow(check, "a long, b long")
 
 
+def rare_pairs(nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs a < b of nodes of different labels that may link.
+
+    Sets that link differ in at most d of the blocks of a finer sketch, so
+    their d + 1 rarest block values have one in common; values that many near
+    copies share are the last to be compared. Blocks whose value no other set
+    has differ from every partner: a pair whose maps of such blocks together
+    have more bits than the sets may differ by is no pair.
+    """
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *x) for i, t in enumerate(batch.column("packed").to_pylist()) for x in banded_keys(ngrams(unpack(t), n), percent, FINER)]
+            at = pa.array(np.repeat(np.array([f[0] for f in found], np.int64), [len(f[3]) for f in found]))
+            band, most = (np.repeat(np.array([f[k] for f in found], np.int32), [len(f[3]) for f in found]) for k in (1, 2))
+            keys = np.concatenate([np.zeros(0, np.uint64), *(f[3] for f in found)]).view(np.int64)
+            numbers = np.concatenate([np.zeros(0, np.int32), *(f[4] for f in found)])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("label").take(at), pa.array(band), pa.array(most), pa.array(keys), pa.array(numbers)], ["node", "label", "band", "most", "value", "block"])
+
+    blocks = materialise(nodes.join(texts, "node").select("node", "label", "packed").mapInArrow(finer, "node long, label long, band int, most int, value long, block int"))
+    seen = blocks.groupBy("value").agg(F.count(F.lit(1)).alias("times"), F.min("label").alias("low"), F.max("label").alias("high"))
+    placed = blocks.join(seen, "value")
+    own = F.when((F.col("times") == 1) & (F.col("block") >= 0), F.pmod("block", F.lit(64 * MAP_WORDS)))
+    words = [F.bit_or(F.when(F.floor(own / 64) == w, F.expr("1L << pmod(block, 64)"))).alias(f"m{w}") for w in range(MAP_WORDS)]
+    maps = placed.groupBy("node", "band").agg(*words)
+    rarest = Window.partitionBy("node", "band").orderBy("times", "value")
+    kept = placed.withColumn("place", F.row_number().over(rarest)).filter((F.col("place") <= F.col("most") + 1) & (F.col("low") < F.col("high")))
+    kept = kept.select("node", "band", "label", "value").join(maps, ["node", "band"]).join(texts.select("node", "n"), "node")
+    kept = materialise(kept.select("value", "node", "label", "n", *(F.coalesce(f"m{w}", F.lit(0)).alias(f"m{w}") for w in range(MAP_WORDS))))
+    other = kept.select("value", *(F.col(c).alias(f"o_{c}") for c in kept.columns if c != "value"))
+    both = sum((F.bit_count(F.col(f"m{w}").bitwiseOR(F.col(f"o_m{w}"))) for w in range(1, MAP_WORDS)), F.bit_count(F.col("m0").bitwiseOR(F.col("o_m0"))))
+    sizes = (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")) & (both * (100 + percent) <= (F.col("n") + F.col("o_n")) * (100 - percent))
+    near = kept.join(other, (kept["value"] == other["value"]) & (F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")) & sizes)
+    return near.select(F.col("node").alias("a"), F.col("o_node").alias("b"))
+
+
 def link(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of every row.
 
@@ -238,20 +287,22 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", te
 
     edges = materialise(verified(pairs, texts, n, percent))
     labels = components(edges)
-    for step in range(LEADER_ROUNDS + 1):
+    for step in range(HUB_ROUNDS + 1):
         named = members.distinct().join(labels, "node", "left").select("group", "node", F.coalesce("label", "node").alias("label"))
-        mixed = named.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") < F.col("high")).select("group")
-        mixed = materialise(named.join(mixed, "group"))
+        sizes = named.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") < F.col("high")).select("group", "size")
+        mixed = materialise(named.join(sizes, "group"))
         if mixed.isEmpty():
             break
-        if step < LEADER_ROUNDS:
-            sizes = mixed.groupBy("group", "label").agg(F.count(F.lit(1)).alias("size"), F.min_by("node", F.xxhash64("node", "group", F.lit(step))).alias("lead"))
-            main = sizes.groupBy("group").agg(F.max_by(F.struct("label", "lead"), F.struct("size", "label")).alias("main")).select("group", "main.*")
-            more = mixed.join(main.withColumnRenamed("label", "main"), "group").filter(F.col("label") != F.col("main")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+        if step < HUB_ROUNDS:
+            # the text that most copies were made from is in the most and largest groups
+            central = mixed.groupBy("node").agg(F.sum("size").alias("weight"))
+            ranked = mixed.join(central, "node")
+            hubs = ranked.groupBy("group").agg(F.max(F.struct("weight", "node", "label")).alias("hub")).select("group", "hub.node", "hub.label")
+            hubs = hubs.select("group", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+            more = mixed.join(hubs, "group").filter(F.col("label") != F.col("hub_label")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
-            other = mixed.select("group", F.col("node").alias("b"), F.col("label").alias("other"))
-            more = mixed.join(other, "group").filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("other"))).select(F.col("node").alias("a"), "b")
-        edges = materialise(edges.unionByName(verified(more, texts, n, percent)))
+            more = rare_pairs(mixed.select("node", "label").distinct(), texts, n, percent)
+        edges = materialise(edges.unionByName(verified(more.distinct().join(edges, ["a", "b"], "left_anti"), texts, n, percent)))
         labels = components(edges)
 
     classed = known.join(labels, "node", "left").select("key", "n_shingles", F.coalesce("label", "node").alias("class"))
