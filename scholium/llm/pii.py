@@ -145,14 +145,19 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Where spans of several kinds overlap, the one that starts first wins, then
     the longer, then the first kind listed.
     """
-    found = find(docs.withColumn("_text", F.col(text)), text)
-    ranked = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.array_position(F.lit([k.name for k in KINDS]), s["kind"]).alias("rank"), s["kind"].alias("kind"))))
+    name = "spans"
+    while name in docs.columns:
+        name += "_"
+    body = F.coalesce(F.col(text), F.lit(""))
+    found = docs.withColumn(name, F.concat(*(_spans(kind, body) for kind in KINDS)))
+    order = F.lit([k.name for k in KINDS])
+    ranked = F.array_sort(F.transform(name, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.array_position(order, s["kind"]).alias("rank"), s["kind"].alias("kind"))))
 
     def step(state: Column, s: Column) -> Column:
         ahead = s["start"] >= state["at"]
-        piece = F.concat(F.substring(F.col("_text"), state["at"] + 1, s["start"] - state["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        piece = F.concat(F.substring(body, state["at"] + 1, s["start"] - state["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
         return F.struct(F.when(ahead, -s["back"]).otherwise(state["at"]).alias("at"), F.when(ahead, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(ranked, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("_text"), s["at"] + 1, F.length("_text"))))
-    return found.withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(F.col("_text"))).drop("_text", "spans")
+    clean = F.aggregate(ranked, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(body, s["at"] + 1, F.length(body))))
+    return found.withColumn(text, F.when(F.size(name) > 0, clean).otherwise(F.col(text))).drop(name)

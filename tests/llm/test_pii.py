@@ -64,6 +64,11 @@ def test_added_kinds_and_redaction(spark):
     assert clean == ["iban <IBAN> end", "DE89370400440532013001", "social security <SSN>", "part 123-45-6789", "mail <EMAIL> or <PHONE>!", None]
 
 
+def test_redaction_keeps_other_columns(spark):
+    docs = spark.createDataFrame([("a@b.cd", "own", 1)], "text string, spans string, _text int")
+    assert [tuple(r) for r in pii.redact(docs).collect()] == [("<EMAIL>", "own", 1)]
+
+
 def test_query_on_documents(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = queries.op4_pii(spark, "/root/testdata/sf0.01").collect()
