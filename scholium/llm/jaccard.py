@@ -40,8 +40,8 @@ PARTS = 8
 HUB_ROUNDS = 2
 #: Blocks of the finer sketch, times the difference allowed.
 FINER = 6
-#: 64-bit words of the map of a set's own blocks.
-MAP_WORDS = 8
+#: 64-bit words of the parity sketch that prunes pairs.
+SKETCH_WORDS = 16
 LARGEST = 1 << 26
 
 
@@ -68,8 +68,8 @@ def node_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def banded_keys(grams: np.ndarray, percent: int, finer: int = 0) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Band, difference allowed, keys and numbers of the non-zero blocks, for the set's own band and the one below."""
+def banded_keys(grams: np.ndarray, percent: int, finer: int = 0) -> list[tuple[int, int, np.ndarray]]:
+    """Band, difference allowed and keys of the non-zero blocks, for the set's own band and the one below."""
     top, differ, blocks = bands(percent)
     own = int(np.searchsorted(top, len(grams)))
     marks, found = mix(grams), []
@@ -84,11 +84,10 @@ def banded_keys(grams: np.ndarray, percent: int, finer: int = 0) -> list[tuple[i
         values = np.bitwise_xor.reduceat(marks[order], first)
         full = values != 0
         salt = mix(np.array([band], np.uint64)) + block[first][full] * np.uint64(0xC2B2AE3D27D4EB4F)
-        keys, numbers = mix(values[full] + mix(salt + np.uint64(1))), block[first][full].astype(np.int32)
+        keys = mix(values[full] + mix(salt + np.uint64(1)))
         if len(keys) <= differ[band]:  # so few blocks may all differ: such sets of a band meet in one group
             keys = np.append(keys, mix(np.array([band], np.uint64) + np.uint64(1 << 40)))
-            numbers = np.append(numbers, np.int32(-1))
-        found.append((band, int(differ[band]), keys, numbers))
+        found.append((band, int(differ[band]), keys))
     return found
 
 
@@ -225,34 +224,42 @@ def rare_pairs(nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
 
     Sets that link differ in at most d of the blocks of a finer sketch, so
     their d + 1 rarest block values have one in common; values that many near
-    copies share are the last to be compared. Blocks whose value no other set
-    has differ from every partner: a pair whose maps of such blocks together
-    have more bits than the sets may differ by is no pair.
+    copies share are the last to be compared. A pair whose parity sketches are
+    farther apart than the sets may differ is no pair.
     """
 
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(i, *x) for i, t in enumerate(batch.column("packed").to_pylist()) for x in banded_keys(ngrams(unpack(t), n), percent, FINER)]
-            at = pa.array(np.repeat(np.array([f[0] for f in found], np.int64), [len(f[3]) for f in found]))
-            band, most = (np.repeat(np.array([f[k] for f in found], np.int32), [len(f[3]) for f in found]) for k in (1, 2))
+            sizes = [len(f[3]) for f in found]
+            at = pa.array(np.repeat(np.array([f[0] for f in found], np.int64), sizes))
+            band, most = (np.repeat(np.array([f[k] for f in found], np.int32), sizes) for k in (1, 2))
             keys = np.concatenate([np.zeros(0, np.uint64), *(f[3] for f in found)]).view(np.int64)
-            numbers = np.concatenate([np.zeros(0, np.int32), *(f[4] for f in found)])
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("label").take(at), pa.array(band), pa.array(most), pa.array(keys), pa.array(numbers)], ["node", "label", "band", "most", "value", "block"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("label").take(at), pa.array(band), pa.array(most), pa.array(keys)], ["node", "label", "band", "most", "value"])
 
-    blocks = materialise(nodes.join(texts, "node").select("node", "label", "packed").mapInArrow(finer, "node long, label long, band int, most int, value long, block int"))
+    names = [f"p{w}" for w in range(SKETCH_WORDS)]
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = 64 * SKETCH_WORDS
+        for batch in batches:
+            places = [(mix(ngrams(unpack(t), n)) % np.uint64(bits)).astype(np.int64) for t in batch.column("packed").to_pylist()]
+            parity = np.array([np.packbits(np.bincount(p, minlength=bits) & 1) for p in places], np.uint8).reshape(len(places), bits // 8).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), *(pa.array(parity[:, w]) for w in range(SKETCH_WORDS))], ["node", "n", *names])
+
+    packed = nodes.join(texts, "node").select("node", "label", "n", "packed")
+    blocks = materialise(packed.select("node", "label", "packed").mapInArrow(finer, "node long, label long, band int, most int, value long"))
+    parities = packed.select("node", "n", "packed").mapInArrow(sketches, "node long, n long, " + ", ".join(f"{p} long" for p in names))
     seen = blocks.groupBy("value").agg(F.count(F.lit(1)).alias("times"), F.min("label").alias("low"), F.max("label").alias("high"))
-    placed = blocks.join(seen, "value")
-    own = F.when((F.col("times") == 1) & (F.col("block") >= 0), F.pmod("block", F.lit(64 * MAP_WORDS)))
-    words = [F.bit_or(F.when(F.floor(own / 64) == w, F.expr("1L << pmod(block, 64)"))).alias(f"m{w}") for w in range(MAP_WORDS)]
-    maps = placed.groupBy("node", "band").agg(*words)
     rarest = Window.partitionBy("node", "band").orderBy("times", "value")
-    kept = placed.withColumn("place", F.row_number().over(rarest)).filter((F.col("place") <= F.col("most") + 1) & (F.col("low") < F.col("high")))
-    kept = kept.select("node", "band", "label", "value").join(maps, ["node", "band"]).join(texts.select("node", "n"), "node")
-    kept = materialise(kept.select("value", "node", "label", "n", *(F.coalesce(f"m{w}", F.lit(0)).alias(f"m{w}") for w in range(MAP_WORDS))))
+    kept = blocks.join(seen, "value").withColumn("place", F.row_number().over(rarest)).filter((F.col("place") <= F.col("most") + 1) & (F.col("low") < F.col("high")))
+    kept = materialise(kept.select("value", "node", "label").join(parities, "node"))
     other = kept.select("value", *(F.col(c).alias(f"o_{c}") for c in kept.columns if c != "value"))
-    both = sum((F.bit_count(F.col(f"m{w}").bitwiseOR(F.col(f"o_m{w}"))) for w in range(1, MAP_WORDS)), F.bit_count(F.col("m0").bitwiseOR(F.col("o_m0"))))
-    sizes = (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")) & (both * (100 + percent) <= (F.col("n") + F.col("o_n")) * (100 - percent))
-    near = kept.join(other, (kept["value"] == other["value"]) & (F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")) & sizes)
+    apart = F.bit_count(F.col("p0").bitwiseXOR(F.col("o_p0")))
+    for p in names[1:]:
+        apart = apart + F.bit_count(F.col(p).bitwiseXOR(F.col(f"o_{p}")))
+    total = F.col("n") + F.col("o_n")
+    close = (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")) & (apart * (100 + percent) <= total * (100 - percent))
+    near = kept.join(other, (kept["value"] == other["value"]) & (F.col("node") < F.col("o_node")) & (F.col("label") != F.col("o_label")) & close)
     return near.select(F.col("node").alias("a"), F.col("o_node").alias("b"))
 
 
