@@ -2,9 +2,9 @@
 
 Documents and benchmark items are sequences of lower-cased words (runs of
 letters and digits); shingles are five words. A window as long as an item is
-laid on every diagonal on which a document shares a shingle with the item; a
-window elsewhere could not reach the similarity. Windows and items get a 64-bit
-SimHash of their shingles, weighted by how often they occur. Fingerprints are
+laid at every start where it holds as many of the item's shingles, in any
+order, as the similarity takes; no other window can reach it. Windows and items
+get a 64-bit SimHash of their shingles, weighted by how often they occur. Fingerprints are
 cut into ``RADIUS`` + 1 blocks, so that any two within ``RADIUS`` bits agree in a
 block, and joined on (length, block, value). Pairs within the radius are
 verified by the weighted Jaccard similarity of their shingles, exactly.
@@ -43,12 +43,31 @@ def _fingerprint(grams: str) -> Column:
     )
 
 
-def _blocks(fingerprint: str, radius: int) -> Column:
-    """(block, value) of radius + 1 blocks that cover the 64 bits."""
+def _starts() -> Column:
+    """Starts of the windows that hold enough shared shingles.
+
+    Of the sorted places, the i-th is the first that a window holds if the
+    window starts after the one before; it holds ``need`` of them if it reaches
+    the place ``need`` - 1 further on. Each start comes from one i.
+    """
+    low = "greatest(IF(i = 0, 0, places[i - 1] + 1), places[i + need - 1] - width + 1)"
+    high = "least(places[i], last)"
+    # filters may be evaluated later than this: too few places give no i
+    firsts = "IF(need >= 1 AND size(places) >= need, sequence(0, greatest(size(places) - need, 0)), CAST(array() AS array<int>))"
+    ranges = f"transform({firsts}, i -> struct({low} AS low, {high} AS high))"
+    return F.expr(f"flatten(transform(filter({ranges}, r -> r.low <= r.high), r -> sequence(r.low, r.high)))")
+
+
+def _values(fingerprint: Column, radius: int) -> list[Column]:
+    """radius + 1 blocks that cover the 64 bits."""
     n = radius + 1
     edges = [64 * i // n for i in range(n + 1)]
-    parts = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    return F.array(*parts)
+    return [F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _blocks(fingerprint: str, radius: int) -> Column:
+    """(block, value) of each block."""
+    return F.array(*(F.struct(F.lit(i).alias("block"), v.alias("value")) for i, v in enumerate(_values(F.col(fingerprint), radius))))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -79,8 +98,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     hashed = rows.select("key", "row", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes")).filter(F.size("hashes") >= SHINGLE)
     met = hashed.select("key", "row", F.size("hashes").alias("n"), F.posexplode(_grams("hashes")).alias("place", "gram")).join(shared, "gram")
     # enough of the item's shingles must be there at all
-    starts = F.collect_set(F.greatest(F.least(F.col("place") - F.col("at"), F.col("n") - F.col("length")), F.lit(0)))
-    places = met.groupBy("key", "row", "item_id", "length", "n_grams").agg(F.size(F.collect_set("at")).alias("hits"), starts.alias("starts")).filter(F.col("hits") >= similarity * F.col("n_grams"))
+    places = met.groupBy("key", "row", "n", "item_id", "length", "n_grams").agg(F.size(F.collect_set("at")).alias("hits"), F.array_sort(F.collect_set("place")).alias("places")).filter(F.col("hits") >= similarity * F.col("n_grams"))
+    # and so many within one window; the fraction is for the rounding of doubles
+    places = places.withColumn("width", F.least("n", "length") - SHINGLE + 1).withColumn("last", F.greatest(F.col("n") - F.col("length"), F.lit(0)))
+    places = places.withColumn("need", F.ceil(similarity * (F.col("width") + F.col("n_grams")) / (1 + similarity) - 1e-6).cast("int"))
+    places = places.withColumn("starts", _starts())
     windows = materialise(places.select("key", "row", "length", F.explode("starts").alias("start")).distinct().groupBy("key", "row").agg(F.collect_list(F.struct("start", "length")).alias("windows")))
 
     held = small(windows)
@@ -94,11 +116,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     indexed = small(items.select("item_id", "item_words", "length", "item_print", F.explode(_blocks("item_print", radius)).alias("b")).select("item_id", "item_words", "length", "item_print", "b.*"))
     pairs = prints.select("key", "row", "start", "length", "words", "print", F.explode(_blocks("print", radius)).alias("b")).select("*", "b.*").drop("b").join(indexed, ["length", "block", "value"])
-    near = pairs.filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius).dropDuplicates(["key", "row", "start", "length", "item_id"])
+    # a pair that agrees in several blocks counts in the first of them
+    differs = F.col("print").bitwiseXOR(F.col("item_print"))
+    first = F.coalesce(*(F.when(v == 0, i) for i, v in enumerate(_values(differs, radius))))
+    near = pairs.filter((F.bit_count(differs) <= radius) & (F.col("block") == first)).select("key", "row", "start", "length", "words", "item_id", "item_words")
+    near = materialise(near)  # else the similarity is computed for every block
     string_grams = lambda c: f"transform(sequence(1, size({c}) - {SHINGLE - 1}), i -> array_join(slice({c}, i, {SHINGLE}), ' '))"
     times = lambda c: f"size(filter({c}, y -> y = x))"
-    both = near.withColumn("a", F.expr(string_grams("words"))).withColumn("b", F.expr(string_grams("item_words")))
-    least = F.expr(f"aggregate(array_distinct(a), 0, (s, x) -> s + least({times('a')}, {times('b')}))")
-    scored = both.withColumn("least", least).withColumn("similarity", F.col("least") / (F.size("a") + F.size("b") - F.col("least"))).filter(F.col("similarity") >= similarity)
+    least = f"aggregate(array_distinct(g.a), 0, (s, x) -> s + least({times('g.a')}, {times('g.b')}))"
+    # arguments of a lambda are computed once, columns in each place that names them
+    bound = f"transform(transform(array(struct({string_grams('words')} AS a, {string_grams('item_words')} AS b)), g -> struct({least} AS least, size(g.a) + size(g.b) AS total)), t -> t.least / (t.total - t.least))[0]"
+    scored = near.withColumn("similarity", F.expr(bound)).filter(F.col("similarity") >= similarity)
     best = scored.groupBy("key", "row", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "length")).alias("best"))
     return best.select(F.col("key").alias(key), "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.length").cast("long").alias("n_words"), F.col("best.similarity").alias("similarity")).distinct()

@@ -57,6 +57,23 @@ def test_against_brute_force(spark):
     assert decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).collect() == []
 
 
+def test_moved_blocks(spark):
+    rnd = random.Random(7)
+    items, docs = [], []
+    for i, n in enumerate((40, 59, 59, 80, 120, 200)):
+        own = [f"i{i}w{k}" for k in range(n)] if i != 2 else (["a", "b", "c", "d", "e", "f", "g"] * 9)[:n]
+        items.append((i, " ".join(own)))
+        for cut in (n // 2, n // 3, n - 6):
+            around = [f"z{rnd.randrange(500)}" for _ in range(150)]
+            docs.append((len(docs), " ".join(around[:60] + own[cut:] + own[:cut] + around[60:])))
+        docs.append((len(docs), " ".join(own[n // 2 :] + own[: n // 2])))
+    docs += [(len(docs), " ".join(items[1][1].split()[:-4])), (len(docs) + 1, items[2][1] + " " + items[2][1])]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item_id): r.similarity for r in got} == pytest.approx(want)
+    assert len(got) == len(want) > 15
+
+
 def test_query_on_documents(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
