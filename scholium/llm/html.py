@@ -3,7 +3,9 @@
 A page is scanned once into blocks of text. Every block-level element outside
 the main content, and every link list inside it, is a template candidate: the
 hash of its subtree is counted over the pages of its host, in Spark, and what
-recurs in at least ``MANY_PAGES`` pages of a host is deleted with all its text.
+recurs in at least ``MANY_PAGES`` pages and ``MANY_SHARE`` of all pages of a
+host is deleted with all its text. Pages with the same text count as one, so
+that copies of an article are no evidence of a template.
 Scripts, forms, navigation, notices, adverts and comments go by their tags,
 roles and class names, for hosts with too few pages to count. Where a page
 marks its article (article, main, role=main), the text is what lies in it.
@@ -23,7 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholium.session import materialise
+
 MANY_PAGES = 5
+MANY_SHARE = 0.5
 
 # fixed values: element names and class words
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "object", "canvas", "title"}
@@ -186,11 +191,11 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def extract(pages: DataFrame, many: int = MANY_PAGES) -> DataFrame:
+def extract(pages: DataFrame, many: int = MANY_PAGES, share: float = MANY_SHARE) -> DataFrame:
     """Main text of each page: page_id, url, text.
 
     A null or empty page has an empty text, and so has one without text of its
-    own. Repeated rows each give a row (and count as pages of their host). If
+    own. Repeated rows each give a row (and count as one page of their host). If
     recurring templates would leave nothing of a page, its text stays as the
     tags and names leave it. Columns other than page_id, url and html are not
     read.
@@ -200,12 +205,14 @@ def extract(pages: DataFrame, many: int = MANY_PAGES) -> DataFrame:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
+            hosts, contents, found = [], [], []
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                own = {h for h in Scan(page).candidates if h is not None}
+                scan = Scan(page)
+                own = [None, *{h for h in scan.candidates if h is not None}]  # null: the page itself
                 found += own
                 hosts += [host_of(url)] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "hash"])
+                contents += [xxhash.xxh64_intdigest("\n".join(t for t, _ in scan.kept()).encode("utf-8", "surrogatepass")) - (1 << 63)] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(found, pa.int64())], ["host", "content", "hash"])
 
     block = pa.list_(pa.struct([("text", pa.string()), ("hashes", pa.list_(pa.int64()))]))
 
@@ -222,7 +229,10 @@ def extract(pages: DataFrame, many: int = MANY_PAGES) -> DataFrame:
     joined = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
     final = scanned.filter(~open_blocks).select("page_id", "url", joined(F.col("blocks")).alias("text"))
 
-    templates = rows.mapInArrow(hashes, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= many).select("host", "hash")
+    counted = rows.mapInArrow(hashes, "host string, content long, hash long").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages"))
+    counted = materialise(counted.filter(F.col("pages") >= many))
+    whole = counted.filter(F.col("hash").isNull()).select("host", F.col("pages").alias("all_pages"))
+    templates = counted.filter(F.col("hash").isNotNull()).join(whole, "host").filter(F.col("pages") >= share * F.col("all_pages")).select("host", "hash")
     waiting = scanned.filter(open_blocks).withColumn("row", F.xxhash64("page_id", "url", "blocks"))
     gone = waiting.select("row", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["hashes"])))).alias("hash")).distinct().join(templates, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))
     left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["hashes"], F.coalesce(F.col("gone"), F.array().cast("array<long>"))))

@@ -35,6 +35,18 @@ def test_copies_of_an_article_stay(spark):
     assert {r.text for r in html.extract(pages).collect()} == {"T\nfirst\nlast"}
 
 
+def test_copies_without_article_are_no_template(spark):
+    article = "<h1>T</h1><p>first</p><p>last</p>"
+    rows = [(i, "http://copies.org/x", f"<nav>menu {i}</nav>{article}") for i in range(6)]
+    rows += [(10 + i, "http://big.org/x", f"<div>Motto</div><div>Story {i}</div>{'<div>A license</div>' * (i < 6)}") for i in range(20)]
+    rows += [(40 + i, "http://big.org/x", f"<div>Motto</div><div>Version {i}</div><p>shared</p>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert all(got[i] == "T\nfirst\nlast" for i in range(6))
+    assert all(got[10 + i] == f"Story {i}" + "\nA license" * (i < 6) for i in range(20))
+    assert all(got[40 + i] == f"Version {i}\nshared" for i in range(6))
+
+
 def test_long_and_odd_pages(spark):
     odd = ["<" * 20_000, "<p>" * 20_000 + "x", "<a href='" * 300, "<div>" * 3_000 + "deep", "&#x110000; &bad; &amp"]
     pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(odd)], "page_id long, url string, html string")
