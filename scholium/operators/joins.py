@@ -91,7 +91,9 @@ def resolve(refs: DataFrame, papers: DataFrame) -> DataFrame:
     by_doi = refs.filter(F.col("doi") != "").join(papers.filter(F.col("doi") != "").select("paper_id", "source_pos", "doi"), "doi").select("ref_id", "paper_id", "source_pos", F.lit(100.0).alias("score"), F.lit(0).alias("tier"))
     words = lambda df, *keep: df.select(*keep, "title", F.explode(F.array_distinct(match_tokens(F.col("title")))).alias("word"))
     left = words(refs, "ref_id").withColumnRenamed("title", "ref_title")
-    near = left.join(words(papers, "paper_id", "source_pos"), "word").select("ref_id", "ref_title", "paper_id", "source_pos", "title").distinct()
+    # copies of a title score the same: the first of them stands for all
+    titles = papers.groupBy(F.lower("title").alias("title")).agg(F.min(F.struct("source_pos", "paper_id")).alias("first")).select("first.*", "title")
+    near = left.join(words(titles, "paper_id", "source_pos"), "word").select("ref_id", "ref_title", "paper_id", "source_pos", "title").distinct()
     joined = lambda c: F.array_join(match_tokens(F.col(c)), " ")
     scored = near.withColumn("score", indel(joined("ref_title"), joined("title"))).filter(F.col("score") >= 70)
     by_title = scored.select("ref_id", "paper_id", "source_pos", "score", F.when(F.col("score") >= 85, 1).otherwise(2).alias("tier"))

@@ -204,11 +204,8 @@ def token_jaccard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def indel_ratio_topmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiered resolution of document titles against the papers of one source."""
     found = papers(spark, sf_dir).withColumn("doi", F.coalesce(doi_key(F.col("doi")), F.lit("")))
-    refs = found.filter(F.col("source_database") != "src0").select(F.col("doc_id").alias("ref_id"), "doi", F.substring("title", 1, 60).alias("title"))
-    known = found.filter(F.col("source_database") == "src0").select(F.col("doc_id").alias("paper_id"), F.lit(0).alias("source_pos"), "doi", F.substring("title", 1, 60).alias("title"))
-    # one entry for each distinct title: copies add no match
-    first = Window.partitionBy(F.lower("title")).orderBy("paper_id")
-    known = known.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    refs = found.filter(F.col("source_database") != "src0").select(F.col("doc_id").alias("ref_id"), "doi", "title")
+    known = found.filter(F.col("source_database") == "src0").select(F.col("doc_id").alias("paper_id"), F.lit(0).alias("source_pos"), "doi", "title")
     return joins.resolve(refs, known)
 
 

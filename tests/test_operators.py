@@ -222,3 +222,21 @@ def test_markup():
     assert markup.text_of("<article><body>short</body></article>", "jats") is None
     assert markup.text_of(f"<x><ce:sections><ce:para>{long}</ce:para></ce:sections></x>", "elsevier") == long.strip()
     assert markup.text_of(None, "html") is None
+
+
+def test_resolution_compares_whole_titles(spark, tmp_path):
+    from scholium.plans import corpus
+
+    start = "measured growth rates under repeated seasonal drought across many northern river basins"
+    texts = {1: (f"{start} alpha", "src0"), 2: (f"{start} omega", "src0"), 4: (f"{start} omega", "src1"), 6: (f"{start} zebra quilting njord", "src1"), 9: (f"{start} omega", "src1"), 12: ("nothing shared here", "src1"), 15: (f"{start} omega kappa", "src0")}
+    spark.createDataFrame([(i, x, s, len(x)) for i, (x, s) in texts.items()], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in texts], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want, in_order = {}, lambda x: " ".join(sorted(x.split()))
+    for i, (text, source) in texts.items():
+        if source != "src0":
+            score, paper = max((joins.indel_ratio(in_order(text), in_order(x)), -k) for k, (x, s) in texts.items() if s == "src0")
+            want[i] = (-paper, "MEDIUM" if score >= 85 else "LOW", round(score, 4)) if score >= 70 else (None, "NONE", None)
+    want[4] = (2, "HIGH", 100.0)
+    got = {r.ref_id: (r.paper_id, r.confidence, r.score) for r in corpus.indel_ratio_topmatch(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert got[9] == (2, "MEDIUM", 100.0) and got[6][2] < 100
