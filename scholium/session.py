@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,13 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new path below the folder that the cluster shares for checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, single machine) a temporary folder is made and used for both
-    ``checkpoint()`` and written tables.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder serves for both ``checkpoint()`` and written tables, on a
+    single machine only: on a cluster no local folder is shared, so that is an
+    error.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-scholium-")
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/scholium-{uuid.uuid4().hex}"
@@ -49,4 +53,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    return found
+
+
+def release(*written: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once all that reads them is written."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
