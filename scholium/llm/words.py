@@ -54,8 +54,8 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def row_keys(key: str, text: str) -> list[Column]:
-    """Columns key and row, equal for equal rows only: the id, and a hash that tells rows of one id apart."""
-    return [F.col(key).alias("key"), F.hash(text).alias("row")]
+    """Columns key and row, equal for equal rows only: the id, and a 128-bit digest of the text that tells rows of one id (or none) apart; null and empty texts are one."""
+    return [F.col(key).alias("key"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("row")]
 
 
 def packed_texts(rows: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def packed_texts(rows: DataFrame) -> DataFrame:
             packed = [squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("row"), pa.array(packed, pa.binary())], ["key", "row", "packed"])
 
-    return rows.mapInArrow(pack, f"key {rows.schema['key'].dataType.simpleString()}, row int, packed binary")
+    return rows.mapInArrow(pack, f"key {rows.schema['key'].dataType.simpleString()}, row binary, packed binary")
 
 
 def unpack(packed: bytes) -> bytes:

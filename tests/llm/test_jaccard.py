@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from scholium.llm import jaccard, queries
 
@@ -77,6 +78,30 @@ def test_large_group_of_near_copies(spark):
     assert got == brute(rows, 4, 85)
 
 
+def test_nodes_that_clash(spark):
+    rnd = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(rnd.choices(vocabulary, k=rnd.choice([2, 6, 30])))) for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + " more" * (i % 2)) for i in range(0, 150, 7)]
+    got = sorted(map(tuple, jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, node_bits=9).collect()), key=repr)
+    assert got == brute(rows, 4, 85)
+
+
+def test_rows_of_one_id_and_one_32_bit_hash(spark):
+    a, b = equal_hashes(spark)
+    rows = [(None, a), (None, b), (5, a + " z"), (6, b + " z")]
+    got = sorted(map(tuple, jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()), key=repr)
+    assert got == brute(rows, 4, 85)
+    assert {c for _, _, c in got} == {5, 6}
+
+
+def equal_hashes(spark):
+    """Two texts of 40 different words that Spark's 32-bit hash does not tell apart."""
+    texts = spark.range(300_000).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("w"), (F.col("id") * 41 + i).cast("string"))), " ").alias("text"))
+    met = texts.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("texts")).filter(F.size("texts") > 1)
+    return met.first().texts[:2]
+
+
 def test_query_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     got = sorted(map(tuple, queries.op7_jaccard(spark, "/root/testdata/sf0.01").select("doc_id", "n_shingles", "component_id").collect()), key=repr)

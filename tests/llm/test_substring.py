@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 from scholium.llm import queries, substring
+from tests.llm.test_jaccard import equal_hashes
 
 
 def brute(texts, k):
@@ -38,3 +39,10 @@ def test_query_on_documents(spark):
     want = brute([r.text for r in docs], 35)
     assert got == {r.doc_id: (n, g, hashlib.sha256(k.encode()).hexdigest()) for r, (n, g, k) in zip(docs, want, strict=True)}
     assert sum(g for _, g, _ in want) > 0
+
+
+def test_rows_of_one_id_and_one_32_bit_hash(spark):
+    a, b = equal_hashes(spark)
+    rows = [(None, a), (None, b), (7, b)]
+    got = sorted((r.n_removed for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [0, 40, 40]
