@@ -1,13 +1,15 @@
 """Benchmark decontamination on DataFrame functions alone.
 
 Documents and benchmark items are sequences of lower-cased words (runs of
-letters and digits); shingles are five words. A window as long as an item is
-laid at every start where it holds as many of the item's shingles, in any
-order, as the similarity takes; no other window can reach it. Windows and items
-get a 64-bit SimHash of their shingles, weighted by how often they occur. Fingerprints are
-cut into ``RADIUS`` + 1 blocks, so that any two within ``RADIUS`` bits agree in a
-block, and joined on (length, block, value). Pairs within the radius are
-verified by the weighted Jaccard similarity of their shingles, exactly.
+letters and digits); shingles are five words. For each length that items have,
+a window of that length is laid at every start where enough of its shingles
+occur in some items of the length; no other window can reach the similarity with
+any of them. Which item a window resembles is found by fingerprints alone:
+windows and items get a 64-bit SimHash of their shingles, weighted by how often
+they occur. Fingerprints are cut into ``RADIUS`` + 1 blocks, so that any two
+within ``RADIUS`` bits agree in a block, and joined on (length, block, value).
+Pairs within the radius are verified by the weighted Jaccard similarity of their
+shingles, exactly.
 """
 
 from __future__ import annotations
@@ -15,14 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholium.session import materialise
+from scholium.llm.words import row_keys
+from scholium.session import materialise, release
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: At similarity 0.8 fingerprints differ in 10 bits of 64, give or take 3.
 RADIUS = 20
-#: Rows that may be broadcast: item shingles, and documents with a window.
-BROADCAST_ROWS = 200_000
+#: Bytes that may be broadcast, by the length of the rows as JSON.
+BROADCAST_BYTES = 32 << 20
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -71,8 +74,9 @@ def _blocks(fingerprint: str, radius: int) -> Column:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast where it is counted and small, else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df``, a written table, marked for broadcast where its rows are measured and small, else as it is."""
+    size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -89,38 +93,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         .distinct()
         .withColumn("hashes", F.expr("transform(item_words, w -> xxhash64(w))"))
         .withColumn("grams", _grams("hashes"))
-        .select("item_id", "item_words", F.size("item_words").alias("length"), "grams", _fingerprint("grams").alias("item_print"))
+        .select(F.monotonically_increasing_id().alias("item"), "item_id", "item_words", F.size("item_words").alias("length"), "grams", _fingerprint("grams").alias("item_print"))
     )
     items = materialise(items)
-    shared = small(items.select("item_id", "length", F.size("grams").alias("n_grams"), F.posexplode("grams").alias("at", "gram")))
+    shared = materialise(items.select("length", F.explode("grams").alias("gram")).distinct())
 
-    rows = docs.select(F.col(key).alias("key"), F.hash(text).alias("row"), F.col(text).alias("text")).filter(F.length("text") >= 2 * SHINGLE - 1)
+    rows = docs.select(*row_keys(key, text), F.col(text).alias("text")).filter(F.length("text") >= 2 * SHINGLE - 1)
     hashed = rows.select("key", "row", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes")).filter(F.size("hashes") >= SHINGLE)
-    met = hashed.select("key", "row", F.size("hashes").alias("n"), F.posexplode(_grams("hashes")).alias("place", "gram")).join(shared, "gram")
-    # enough of the item's shingles must be there at all
-    places = met.groupBy("key", "row", "n", "item_id", "length", "n_grams").agg(F.size(F.collect_set("at")).alias("hits"), F.array_sort(F.collect_set("place")).alias("places")).filter(F.col("hits") >= similarity * F.col("n_grams"))
-    # and so many within one window; the fraction is for the rounding of doubles
+    met = hashed.select("key", "row", F.size("hashes").alias("n"), F.posexplode(_grams("hashes")).alias("place", "gram")).join(small(shared), "gram")
+    places = met.groupBy("key", "row", "n", "length").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    # so many shingles must be shared within one window; the fraction is for the rounding of doubles
     places = places.withColumn("width", F.least("n", "length") - SHINGLE + 1).withColumn("last", F.greatest(F.col("n") - F.col("length"), F.lit(0)))
-    places = places.withColumn("need", F.ceil(similarity * (F.col("width") + F.col("n_grams")) / (1 + similarity) - 1e-6).cast("int"))
+    places = places.withColumn("need", F.ceil(similarity * (F.col("width") + F.col("length") - SHINGLE + 1) / (1 + similarity) - 1e-6).cast("int")).filter(F.size("places") >= F.col("need"))
     places = places.withColumn("starts", _starts())
-    windows = materialise(places.select("key", "row", "length", F.explode("starts").alias("start")).distinct().groupBy("key", "row").agg(F.collect_list(F.struct("start", "length")).alias("windows")))
+    windows = materialise(places.select("key", "row", "length", F.explode("starts").alias("start")).groupBy("key", "row").agg(F.collect_list(F.struct("start", "length")).alias("windows")))
 
     held = small(windows)
     cut = (
         rows.join(held, [rows["key"].eqNullSafe(held["key"]), rows["row"] == held["row"]])
-        .select(rows["key"], rows["row"], words(F.col("text")).alias("words"), "windows")
+        .select(rows["key"], rows["row"], "text", "windows")
+        .dropDuplicates(["key", "row"])
+        .withColumn("words", words(F.col("text")))
         .select("key", "row", F.explode(F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["length"].alias("length"), F.slice("words", w["start"] + 1, w["length"]).alias("words")))).alias("w"))
         .select("key", "row", "w.*")
     )
     prints = materialise(cut.withColumn("hashes", F.expr("transform(words, w -> xxhash64(w))")).withColumn("grams", _grams("hashes")).withColumn("print", _fingerprint("grams")).drop("hashes", "grams"))
 
-    indexed = small(items.select("item_id", "item_words", "length", "item_print", F.explode(_blocks("item_print", radius)).alias("b")).select("item_id", "item_words", "length", "item_print", "b.*"))
-    pairs = prints.select("key", "row", "start", "length", "words", "print", F.explode(_blocks("print", radius)).alias("b")).select("*", "b.*").drop("b").join(indexed, ["length", "block", "value"])
+    # blocks travel without the words
+    indexed = materialise(items.select("item", "length", "item_print", F.explode(_blocks("item_print", radius)).alias("b")).select("item", "length", "item_print", "b.*"))
+    pairs = prints.select("key", "row", "start", "length", "print", F.explode(_blocks("print", radius)).alias("b")).select("*", "b.*").drop("b").join(small(indexed), ["length", "block", "value"])
     # a pair that agrees in several blocks counts in the first of them
     differs = F.col("print").bitwiseXOR(F.col("item_print"))
     first = F.coalesce(*(F.when(v == 0, i) for i, v in enumerate(_values(differs, radius))))
-    near = pairs.filter((F.bit_count(differs) <= radius) & (F.col("block") == first)).select("key", "row", "start", "length", "words", "item_id", "item_words")
-    near = materialise(near)  # else the similarity is computed for every block
+    met = pairs.filter((F.bit_count(differs) <= radius) & (F.col("block") == first)).select(F.col("key").alias("met_key"), F.col("row").alias("met_row"), F.col("start").alias("met_start"), F.col("length").alias("met_length"), "item")
+    met = materialise(met)
+    same = [F.col("key").eqNullSafe(F.col("met_key")), F.col("row") == F.col("met_row"), F.col("start") == F.col("met_start"), F.col("length") == F.col("met_length")]
+    near = prints.join(met, same).select("key", "row", "start", "length", "words", "item").join(small(items.select("item", "item_id", "item_words")), "item")
+    near = materialise(near)  # else the similarity is computed in several places
     string_grams = lambda c: f"transform(sequence(1, size({c}) - {SHINGLE - 1}), i -> array_join(slice({c}, i, {SHINGLE}), ' '))"
     times = lambda c: f"size(filter({c}, y -> y = x))"
     least = f"aggregate(array_distinct(g.a), 0, (s, x) -> s + least({times('g.a')}, {times('g.b')}))"
@@ -128,4 +137,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     bound = f"transform(transform(array(struct({string_grams('words')} AS a, {string_grams('item_words')} AS b)), g -> struct({least} AS least, size(g.a) + size(g.b) AS total)), t -> t.least / (t.total - t.least))[0]"
     scored = near.withColumn("similarity", F.expr(bound)).filter(F.col("similarity") >= similarity)
     best = scored.groupBy("key", "row", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "length")).alias("best"))
-    return best.select(F.col("key").alias(key), "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.length").cast("long").alias("n_words"), F.col("best.similarity").alias("similarity")).distinct()
+    found = best.select(F.col("key").alias(key), "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.length").cast("long").alias("n_words"), F.col("best.similarity").alias("similarity")).distinct()
+    found = materialise(found)
+    release(items, shared, windows, prints, indexed, met, near)
+    return found

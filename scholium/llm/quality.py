@@ -1,6 +1,6 @@
 """Quality classifier: a linear hinge-loss model on scaled n-gram indicators.
 
-The n-grams of a text are its lower-cased words, the words' skeletons (what is
+The n-grams of a text are its lower-cased words alone and in pairs, the words' skeletons (what is
 left without lower-case letters: punctuation, digits, one A for each run of
 capitals) alone and in pairs, and the immediate repetition of a word. Each is
 hashed to one of ``DIMENSIONS`` indicators. An indicator is scaled by the log
@@ -41,7 +41,7 @@ def features(text: str) -> np.ndarray:
     skeletons = np.array(list(map(zlib.crc32, CAPITALS.sub(b"A", data.translate(None, LOWER)).split())), np.int64)
     twice = words[1:] == words[:-1]
     repeats = np.array([DIMENSIONS - 1] * bool(twice.any()) + [DIMENSIONS - 2] * bool((twice[1:] & twice[:-1]).any()), np.int64)
-    found = [words, skeletons * 7919 + 1, skeletons[:-1] * 31 + skeletons[1:] * 17 + 3, repeats]
+    found = [words, words[:-1] * 31 + words[1:] * 17 + 5, skeletons * 7919 + 1, skeletons[:-1] * 31 + skeletons[1:] * 17 + 3, repeats]
     return np.unique(np.concatenate(found) % DIMENSIONS).astype(np.int32)
 
 
@@ -102,25 +102,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array(found, pa.binary())], ["key", "label", "indicators"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = sorted(rows.mapInArrow(indicators, f"key {kind}, label int, indicators binary").collect())
+    # repeated ids could go past the bound: of each id, one text is learned
+    single = rows.groupBy("key", "label").agg(F.min("text").alias("text"))
+    found = sorted(single.mapInArrow(indicators, f"key {kind}, label int, indicators binary").collect())
     return fit_rows([np.frombuffer(r.indicators, np.int32) for r in found], np.array([r.label for r in found], np.int64))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``carry`` of each row with score (0 to 1) and predicted.
+def score(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns ``carry`` of each row with score (0 to 1) and predicted, under the given names.
 
     A null text counts as empty and is scored by the bias alone; repeated rows
     each give a row; no other column is read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f"c{i}" for i in range(len(carry))]
-    kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carry, strict=True))
+    inner = [f"c{i}" for i in range(len(carry))]
+    kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(inner, carry, strict=True))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.score(t or "") for t in batch.column("scored_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in inner), pa.array(found, pa.float64())], [*inner, "score"])
 
-    rows = docs.select(*(F.col(c).alias(n) for n, c in zip(names, carry, strict=True)), F.col(text).alias("scored_text"))
+    rows = docs.select(*(F.col(c).alias(n) for n, c in zip(inner, carry, strict=True)), F.col(text).alias("scored_text"))
     scored = rows.mapInArrow(scores, f"{kinds}, score double")
-    return scored.select(*(F.col(n).alias(c) for n, c in zip(names, carry, strict=True)), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(*(F.col(n).alias(c) for n, c in zip(inner, carry, strict=True)), F.col("score").alias(names[0]), (F.col("score") >= 0.5).cast("int").alias(names[1]))

@@ -40,7 +40,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's personal data: base counts and digest, and all spans."""
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("base", pii.base_only(F.col("spans")))
     counts = [pii.count(F.col("base"), kind.name).alias(f"n_{kind.name}") for kind in pii.KINDS if kind.base]
-    return found.select("doc_id", *counts, F.sha2(F.encode(pii.listed(F.col("base")), "UTF-8"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.encode(pii.listed(F.col("base")), "UTF-8"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), pii.scores(F.col("spans")).alias("scores"))
 
 
 @query

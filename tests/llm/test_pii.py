@@ -78,3 +78,13 @@ def test_query_on_documents(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k in BASE]
     assert sum(r.n_email + r.n_card + r.n_phone + r.n_ip for r in rows) > 0
+
+
+def test_many_spans_and_secrets(spark):
+    n = 3_000
+    text = " ".join(f"user{i}@mail.example.org;" for i in range(n))
+    row = pii.find(spark.createDataFrame([(text,)], "text string")).first()
+    assert [f"{s.kind}:{s.start}:{s.end}" for s in row.spans] == brute(text)
+    assert pii.redact(spark.createDataFrame([(text + " é tail",)], "text string")).first().text == " ".join(["<EMAIL>;"] * n) + " é tail"
+    docs = spark.createDataFrame([("token = 04dbebab91ab85687d33eeaaf9ac699e1188f962",), ("commit 04dbebab91ab85687d33eeaaf9ac699e1188f962",), ("call (555) 123-4567",), ("call +1 (555) 123-4567",), ("key averyveryverylongword_without",)], "text string")
+    assert [[s.kind for s in r.spans] for r in pii.find(docs).collect()] == [["secret"], [], ["tel"], ["phone"], []]

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -40,6 +41,14 @@ def test_stages_against_brute_force(spark):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_columns_that_clash(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"predicted": F.lit(0), "score": F.lit("x"), "spans": F.lit(1), "component_id": F.lit(2), "start": F.lit(3)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns
+        assert kept.count() > 0
+
+
 def test_repeated_and_null_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (None, "x", None, None, None), (None, None, None, None, None), (2, None, None, None, None), (3, "A b c d e f", "en", "s", 11)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
