@@ -12,19 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholium.llm import bpe, decontam, jaccard, pii, quality
-from scholium.session import materialise, table
+from scholium.session import materialise, release, table
+
+
+def _fresh(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, with underscores where the documents have them."""
+    return tuple(next(f for k in range(len(docs.columns) + 1) if (f := n + "_" * k) not in docs.columns) for n in names)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, carry=tuple(docs.columns)).filter(F.col("predicted") == 1).select(*docs.columns)
+    names = _fresh(docs, "score", "predicted")
+    return quality.score(docs, model, carry=tuple(docs.columns), names=names).filter(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near copies (five words, 80 %)."""
     linked = jaccard.link(docs, n=5, percent=80)
     copies = materialise(linked.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    release(linked)
     kept = docs.join(decontam.small(copies), "doc_id", "left_anti").select(*docs.columns)
     if docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
@@ -66,6 +73,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written before the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+    for place, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        if place:
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
