@@ -1,8 +1,10 @@
 """BPE encoding and decoding of whole texts, with tree concatenation.
 
-Texts of ordinary length are encoded in one go. White space never joins tokens
-in the tokenizers used here, so a text is encoded as its white-space-delimited
-units; each worker keeps the units it has met.
+Texts of up to ``long_chars`` characters are encoded in one go. Where the
+tokenizer normalises by NFC, white space and lower case and cuts words by a
+pattern, a text of common characters is cut by the same pattern here and its
+words are looked up; each task keeps the words it has met. Any other text is cut
+at white space, which never joins tokens in the tokenizers used here.
 
 Long texts are cut into pieces at fixed places, dealt to tasks and encoded in
 parallel. The pieces of a text are then joined pairwise as a tree: around each
@@ -16,27 +18,47 @@ has grown to the whole text and its encoding is the result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholium.llm.words import lean
+
 LONG_CHARS = 65_536
 PIECE_CHARS = 32_768
-CACHED_UNITS = 250_000
+CACHED_UNITS = 150_000
 #: Longer than every added token of the vocabulary, in characters.
 MARGIN = 32
 #: Separators for str.split() that the tokenizers' own \s does not know.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Characters that lower-casing and the classes of every regular expression engine agree on: ASCII but for controls, Latin, Greek, Cyrillic, dashes and quotes.
+UNCOMMON = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f\u0388-\u03a1\u03a3\u03a4-\u03ce\u0400-\u0482\u048a-\u04ff\u2010-\u201f\u2026]|\u03a3|<\\|")
 
 _codecs: dict[str, Codec] = {}
 
 
+def word_pattern(path: str) -> regex.Pattern | None:
+    """The pattern that cuts normalised text into words, if words are all that the tokenizer looks at."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    normal, cut = made.get("normalizer") or {}, (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    steps = [(n["type"], n.get("pattern"), n.get("content")) for n in normal.get("normalizers", [])]
+    if steps != [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)] or made.get("post_processor") or any(t["normalized"] or not t["content"].startswith("<|") for t in made["added_tokens"]):
+        return None
+    if [c["type"] for c in cut] != ["Split", "ByteLevel"] or "Regex" not in cut[0]["pattern"] or (cut[0]["behavior"], cut[0]["invert"]) != ("Removed", True) or cut[1]["add_prefix_space"] or cut[1]["use_regex"]:
+        return None
+    return regex.compile(cut[0]["pattern"]["Regex"])
+
+
 class Codec:
     """A tokenizer file with a bounded cache of encoded units."""
 
@@ -53,6 +75,7 @@ class Codec:
         self.ids: dict[str, bytes] = {}
         self.names_of: dict[str, str] = {}
         self.some_empty = False
+        self.words = word_pattern(path)
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -63,14 +86,13 @@ class Codec:
     def learn(self, units: set[str]) -> None:
         new = list(units - self.ids.keys())
         if len(new) + len(self.ids) > CACHED_UNITS:
-            self.ids.clear()
-            self.names_of.clear()
+            self.forget()
             new = list(units)
         for start in range(0, len(new), 20_000):
             some = new[start : start + 20_000]
             for unit, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 ids = found.ids
-                self.ids[unit] = np.array(ids, "<u4").tobytes()
+                self.ids[unit] = array("I", ids).tobytes()
                 self.names_of[unit] = " ".join([self.names[i] for i in ids])
                 self.some_empty |= not ids
 
@@ -79,9 +101,20 @@ class Codec:
             return " ".join([self.names[i] for i in ids])
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
+    def cut(self, text: str) -> list[str] | None:
+        """Parts of a text that are encoded each by itself; None if there is no safe cut."""
+        if self.words and not UNCOMMON.search(text) and unicodedata.is_normalized("NFC", text):
+            return self.words.findall(text.lower())
+        return None if ODD_SPACE.search(text) else text.split()
+
+    def forget(self) -> None:
+        """Free the units, so that a worker that goes on to other work is small."""
+        self.ids.clear()
+        self.names_of.clear()
+
     def encode_all(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Little-endian unsigned 32-bit ids, and decoded text, of each text."""
-        split = [None if ODD_SPACE.search(t) else t.split() for t in texts]
+        split = [self.cut(t) for t in texts]
         self.learn({unit for units in split if units for unit in units})
         ids, decoded = [], []
         for text, units in zip(texts, split, strict=True):
@@ -193,6 +226,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
             for start in range(0, len(batch), 1000):
                 some = batch.slice(start, 1000)
                 yield result(some.column("key"), *codec.encode_all(some.column("text").to_pylist()))
+        codec.forget()
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(tokenizer)
@@ -212,7 +246,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
         keys = pa.array([group.column("key")[0].as_py()] * copies, group.schema.field("key").type)
         return pa.Table.from_batches([result(keys, [ids.astype("<u4").tobytes()] * copies, [codec.decode(ids.tolist())] * copies)])
 
-    short = rows.filter(F.length("text") <= long_chars).mapInArrow(whole, out)
+    short = rows.filter(F.length("text") <= long_chars).mapInArrow(lean(whole), out)
     size = F.lit(piece_chars)
     pieces = (
         rows.filter(F.length("text") > long_chars)
@@ -222,7 +256,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
         .select("key", "copies", "row", F.posexplode("pieces").alias("no", "piece"))
         .repartition("row", "no")
     )
-    encoded = pieces.mapInArrow(halves, f"key {key_type}, copies long, row long, no int, piece string, ids binary, starts binary, ends binary")
+    encoded = pieces.mapInArrow(lean(halves), f"key {key_type}, copies long, row long, no int, piece string, ids binary, starts binary, ends binary")
     # a null key is a group of its own here
     long = encoded.groupBy("key", "row").applyInArrow(join, out)
     return short.unionByName(long).withColumnRenamed("key", key)

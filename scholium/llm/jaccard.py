@@ -35,11 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholium.llm.graph import components
-from scholium.llm.words import gram_hashes, mix, packed_texts, row_keys, unpack
+from scholium.llm.words import gram_hashes, lean, mix, packed_texts, row_keys, unpack
 from scholium.session import materialise, release
 
 #: Block keys that a task gathers before it sends them, and those of one part.
-BATCH_KEYS, PART_KEYS = 400_000, 1_000_000
+BATCH_KEYS, PART_KEYS = 400_000, 500_000
 HUB_ROUNDS = 2
 #: Blocks of the finer sketch, times the difference allowed.
 FINER = 3
@@ -231,8 +231,8 @@ def candidates(rows: DataFrame, n: int, percent: int, parts: int, bits: int = 64
                 found.append(_unpack(row["entries"]))
         yield from met(found)
 
-    sent = rows.mapInArrow(entries, "part int, entries binary, pairs binary, members binary")
-    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(join, "kind int, x long, y long")
+    sent = rows.mapInArrow(lean(entries), "part int, entries binary, pairs binary, members binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(lean(join), "kind int, x long, y long")
 
 
 def close(percent: int) -> Column:
@@ -272,7 +272,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, perce
     firsts = shares.join(texts, shares["a"] == texts["node"]).select("a", F.explode(F.sequence(F.lit(1), "shares")).alias("share"), F.lit(None).cast("long").alias("b"), "packed")
     others = near.join(shares, "a").join(texts, F.col("b") == F.col("node")).select("a", (F.pmod(F.xxhash64("b"), "shares") + 1).cast("int").alias("share"), "b", "packed")
     met = firsts.unionByName(others).repartition("a", "share").sortWithinPartitions("a", "share", F.asc_nulls_first("b"))
-    found = materialise(met.mapInArrow(check, "a long, b long"))
+    found = materialise(met.mapInArrow(lean(check), "a long, b long"))
     release(near)
     return found
 
@@ -339,9 +339,9 @@ def rare_pairs(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, per
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(at, pa.int64())), pa.array(odd, pa.int64()), pa.array(total, pa.int64()), pa.array(most, pa.int64())], ["node", "odd", "total", "most"])
 
     packed = materialise(mixed.join(texts, "node").select("node", "label", "packed"))
-    sent = packed.mapInArrow(finer, "part int, entries binary").repartition("part").sortWithinPartitions("part")
-    values = materialise(sent.mapInArrow(counted, "value long, node long, times long"))
-    totals = packed.select("node", "packed").mapInArrow(allowed, "node long, odd long, total long, most long")
+    sent = packed.mapInArrow(lean(finer), "part int, entries binary").repartition("part").sortWithinPartitions("part")
+    values = materialise(sent.mapInArrow(lean(counted), "value long, node long, times long"))
+    totals = packed.select("node", "packed").mapInArrow(lean(allowed), "node long, odd long, total long, most long")
     by_node = values.groupBy("node", F.col("value").bitwiseAND(F.lit(1)).alias("odd")).agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("values"))
     # the values of one label come first in the order, and pair with nothing
     left = F.greatest(F.lit(0), F.col("most") - (F.col("total") - F.size("values"))).cast("int")
@@ -383,7 +383,7 @@ def link(docs: DataFrame, n: int = 4, percent: int = 85, key: str = "doc_id", te
                 sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * SKETCH_WORDS, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sketches])))
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("row"), pa.array(sizes, pa.int64()), node, check, sketch], ["key", "row", "n_shingles", "node", "check", "sketch"])
 
-        known = materialise(rows.mapInArrow(sets, f"key {kind}, row binary, n_shingles long, node long, check long, sketch array<long>"))
+        known = materialise(rows.mapInArrow(lean(sets), f"key {kind}, row binary, n_shingles long, node long, check long, sketch array<long>"))
         firsts = [F.first(c).alias(a) for c, a in (("key", "key"), ("row", "row"), ("n_shingles", "n"), ("sketch", "sketch"))]
         return known, materialise(known.filter(F.col("node").isNotNull()).groupBy("node").agg(*firsts, F.min("key").alias("least"), F.min("check").alias("low"), F.max("check").alias("high")))
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholium.llm.words import lean
+
 DIMENSIONS = 1 << 18
 MAX_TRAIN = 8_000
 COST = 0.1
@@ -104,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     kind = docs.schema[key].dataType.simpleString()
     # repeated ids could go past the bound: of each id, one text is learned
     single = rows.groupBy("key", "label").agg(F.min("text").alias("text"))
-    found = sorted(single.mapInArrow(indicators, f"key {kind}, label int, indicators binary").collect())
+    found = sorted(single.mapInArrow(lean(indicators), f"key {kind}, label int, indicators binary").collect())
     return fit_rows([np.frombuffer(r.indicators, np.int32) for r in found], np.array([r.label for r in found], np.int64))
 
 
@@ -124,5 +126,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, .
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in inner), pa.array(found, pa.float64())], [*inner, "score"])
 
     rows = docs.select(*(F.col(c).alias(n) for n, c in zip(inner, carry, strict=True)), F.col(text).alias("scored_text"))
-    scored = rows.mapInArrow(scores, f"{kinds}, score double")
+    scored = rows.mapInArrow(lean(scores), f"{kinds}, score double")
     return scored.select(*(F.col(n).alias(c) for n, c in zip(inner, carry, strict=True)), F.col("score").alias(names[0]), (F.col("score") >= 0.5).cast("int").alias(names[1]))

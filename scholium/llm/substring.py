@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.words import gram_hashes, packed_texts, row_keys, sliding_min, split_words, unpack, word_hashes
+from scholium.llm.words import gram_hashes, lean, packed_texts, row_keys, sliding_min, split_words, unpack, word_hashes
 from scholium.session import materialise
 
 WINDOW = 35
@@ -114,7 +114,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("row").take(at), pa.array(mini), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(again)], ["key", "row", "mini", "start", "size", "again"])
 
     # 35 words and more: shorter texts have no window and need no task
-    met = materialise(rows.filter(F.length("text") >= 2 * window - 1).mapInArrow(minimisers, f"key {kind}, row binary, mini long, start int, size int, again boolean"))
+    met = materialise(rows.filter(F.length("text") >= 2 * window - 1).mapInArrow(lean(minimisers), f"key {kind}, row binary, mini long, start int, size int, again boolean"))
     recurring = met.groupBy("mini").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).filter((F.col("n") > 1) | F.col("again")).select("mini", (F.col("n") > hot).alias("hot"))
     places = met.join(recurring, "mini").groupBy("key", "row").agg(F.collect_set(F.struct("start", "size", "mini", "hot")).alias("places"))
 
@@ -137,7 +137,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
 
     texts = packed_texts(rows.filter(F.length("text") >= 2 * window - 1)).groupBy("key", "row").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("copies"))
     joined = texts.join(places, [texts["key"].eqNullSafe(places["key"]), texts["row"] == places["row"]]).select(texts["key"], texts["row"], "copies", "packed", "places")
-    strings = materialise(joined.mapInArrow(pack, f"key {kind}, row binary, copies long, mini long, start int, string binary, hot boolean"))
+    strings = materialise(joined.mapInArrow(lean(pack), f"key {kind}, row binary, copies long, mini long, start int, string binary, hot boolean"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -169,7 +169,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
 
     # at most ``hot`` rows share a minimiser here
     buckets = strings.filter(~F.col("hot")).drop("hot").repartition("mini").sortWithinPartitions("mini")
-    found = buckets.mapInArrow(count, f"key {kind}, row binary, first int, end int").select("key", "row", F.array(F.struct("first", "end")).alias("ranges"))
+    found = buckets.mapInArrow(lean(count), f"key {kind}, row binary, first int, end int").select("key", "row", F.array(F.struct("first", "end")).alias("ranges"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +184,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     # a string met twice repeats as a whole; of the others, the windows met anywhere else
     often = strings.filter("hot").withColumn("id", F.md5("string"))
     distinct = materialise(often.groupBy("id", "string").agg(F.sum("copies").alias("n")))
-    cut = distinct.mapInArrow(windows, "id string, n long, at int, digest binary")
+    cut = distinct.mapInArrow(lean(windows), "id string, n long, at int, digest binary")
     twice = cut.groupBy("digest").agg(F.sum("n").alias("n")).filter(F.col("n") > 1).select("digest")
     partly = cut.filter(F.col("n") == 1).join(twice, "digest").groupBy("id").agg(F.collect_list(F.struct(F.col("at").alias("first"), (F.col("at") + window).alias("end"))).alias("ranges"))
     wholly = distinct.filter(F.col("n") > 1).select("id", F.array(F.struct(F.lit(0).alias("first"), F.size(F.split(F.col("string").cast("string"), " ")).alias("end"))).alias("ranges"))
@@ -214,4 +214,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
 
     whole = packed_texts(rows)
     marked = whole.join(ranges, [whole["key"].eqNullSafe(ranges["key"]), whole["row"] == ranges["row"]], "left").select(whole["key"], "packed", "ranges")
-    return marked.mapInArrow(strip, f"key {kind}, n_words long, n_removed long, kept string").withColumnRenamed("key", key)
+    return marked.mapInArrow(lean(strip), f"key {kind}, n_words long, n_removed long, kept string").withColumnRenamed("key", key)

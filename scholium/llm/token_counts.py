@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholium.llm.words import lean
+
 RULES = ("first", "most", "shares")
 
 _encodings: dict[tuple[str, str], object] = {}
@@ -116,5 +118,5 @@ def count_sections(docs: DataFrame, ranks_path: str, pattern: str, rule: str = "
                     ["key", "section", "start", "stop", "n_tokens", "n_crossing", "doc_tokens"],
                 )
 
-    out = rows.mapInArrow(count, f"key {kind}, section long, start long, stop long, n_tokens {number}, n_crossing long, doc_tokens long")
+    out = rows.mapInArrow(lean(count), f"key {kind}, section long, start long, stop long, n_tokens {number}, n_crossing long, doc_tokens long")
     return out.withColumnRenamed("key", key)

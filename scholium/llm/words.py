@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,16 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - reach)], values[width - reach :]) if width > reach else values
 
 
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for mapInArrow; at its end the memory that its batches took is given back, as workers live on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def row_keys(key: str, text: str) -> list[Column]:
     """Columns key and row, equal for equal rows only: the id, and a 128-bit digest of the text that tells rows of one id (or none) apart; null and empty texts are one."""
     return [F.col(key).alias("key"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("row")]
@@ -67,7 +77,7 @@ def packed_texts(rows: DataFrame) -> DataFrame:
             packed = [squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("row"), pa.array(packed, pa.binary())], ["key", "row", "packed"])
 
-    return rows.mapInArrow(pack, f"key {rows.schema['key'].dataType.simpleString()}, row binary, packed binary")
+    return rows.mapInArrow(lean(pack), f"key {rows.schema['key'].dataType.simpleString()}, row binary, packed binary")
 
 
 def unpack(packed: bytes) -> bytes:
