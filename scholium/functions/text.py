@@ -6,6 +6,7 @@ All are Spark column expressions, evaluated in the JVM.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,14 +72,25 @@ def latest_year(text: Column) -> Column:
     return F.array_max(F.filter(years, lambda y: y.between(1900, 2030)))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once: arguments of a lambda are, columns are in each place that names them."""
+    return F.transform(F.array(value), f)[0]
+
+
+def title_case(text: Column) -> Column:
+    """Letters after anything that is no letter in upper case, the others in lower case."""
+    first = lambda c, i: (i == 0) | ~F.get(c, i - 1).rlike(r"^\p{L}$")
+    return bound(F.split(F.lower(text), ""), lambda c: F.array_join(F.transform(c, lambda x, i: F.when(first(c, i), F.upper(x)).otherwise(x)), ""))
+
+
 def slug_title(url: Column) -> Column:
     """Title in words from the last path segment; null for numbers, hex ids and short slugs."""
     path = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""), r"[?#].*$", "")
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    last = F.regexp_replace(F.element_at(parts, F.when(F.size(parts) > 0, -1).otherwise(None)), r"\.[A-Za-z]{2,5}$", "")
-    words = F.trim(F.regexp_replace(last, r"[-_]+", " "))
-    usable = (F.length(last) >= 8) & ~last.rlike(r"^[0-9]+$") & ~last.rlike(r"^[0-9a-fA-F\-]+$")
-    return F.when(usable, F.initcap(words))
+    last = F.element_at(parts, F.when(F.size(parts) > 0, -1).otherwise(None))
+    usable = (F.length(last) >= 8) & ~last.rlike(r"^[0-9]+$") & ~last.rlike(r"^[0-9a-fA-F\-]{5,40}$")
+    words = F.trim(F.regexp_replace(F.regexp_replace(last, r"(?i)\.(html?|pdf|xml|aspx|php)$", ""), r"[-_]+", " "))
+    return F.when(usable & (F.length(words) >= 8), title_case(words))
 
 
 def head_tail(text: Column, most: int, marker: str) -> Column:
@@ -89,23 +101,30 @@ def head_tail(text: Column, most: int, marker: str) -> Column:
 
 
 def strip_markdown(text: Column) -> Column:
-    """Markdown without links, headings, emphasis and code marks."""
-    for pattern, to in ((r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"`([^`]*)`", "$1")):
+    """Markdown without link targets, heading marks, emphasis marks and inline code."""
+    for pattern, to in ((r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"\*{1,2}|_{1,2}", ""), (r"`[^`]*`", "")):
         text = F.regexp_replace(text, pattern, to)
     return text
 
 
 def markdown_sections(text: Column) -> Column:
-    """Non-blank parts between markdown headings of levels one to three; the heading words stay."""
-    return F.filter(F.split(text, r"(?m)^#{1,3}\s+"), lambda s: ~s.rlike(r"^\s*$"))
+    """Non-blank parts between markdown headings of levels one to three; the heading words stay. The whole text, if there is none."""
+    parts = F.filter(F.split(text, r"(?m)^#{1,3}\s+"), lambda s: ~s.rlike(r"^\s*$"))
+    return bound(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(text)))
+
+
+def citation_count(text: Column) -> Column:
+    """Different citations: [n], and (Name et al., year)."""
+    different = lambda pattern: F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0)))
+    return different(r"\[\d+\]") + different(r"\([A-Z][a-z]+ et al\.?,? \d{4}\)")
 
 
 def json_in_text(reply: Column) -> Column:
-    """The JSON object in a model's reply: the whole, a fenced block, or from the first brace to the last."""
+    """The JSON in a model's reply: the whole, a fenced block, or the object from the first brace to the last."""
     plain = F.trim(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""))
     fenced = F.trim(F.regexp_extract(plain, r"(?s)```(?:json)?\s*\n?(.*?)```", 1))
     braces = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
-    valid = lambda c: F.when(F.try_parse_json(c).isNotNull() & F.startswith(F.ltrim(c), F.lit("{")), c)
+    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
     return F.coalesce(valid(plain), valid(fenced), valid(braces))
 
 
@@ -113,4 +132,4 @@ def escape_latex(text: Column) -> Column:
     """The special characters of LaTeX escaped, the backslash left alone."""
     for c in "&%$#_{}":
         text = F.replace(text, F.lit(c), F.lit("\\" + c))
-    return F.replace(F.replace(text, F.lit("~"), F.lit("\\textasciitilde{}")), F.lit("^"), F.lit("\\textasciicircum{}"))
+    return F.replace(F.replace(text, F.lit("~"), F.lit("\\textasciitilde{}")), F.lit("^"), F.lit("\\^{}"))

@@ -36,21 +36,28 @@ def parse_year_range(text: str | None) -> tuple[int | None, int | None]:
     return bounds
 
 
-def merge_papers(papers: DataFrame, pos: str = "pos", fill: tuple[str, ...] = ("abstract", "year", "doi", "citation_count")) -> DataFrame:
+def merge_papers(papers: DataFrame, pos: str = "pos", fill: tuple[str, ...] = ("abstract", "year", "journal", "doi", "citation_count")) -> DataFrame:
     """One row for each paper, merged in arrival order.
 
     Rows with a DOI group by it. Rows without one group by title, unless a DOI
     row has that title: then they are discarded. The first row of a group gives
     title and source; the columns in ``fill`` take their first value that is
-    not null. Adds n_merged.
+    not null, authors their first list that is not empty, and external_ids are
+    united, the earliest row winning; columns that are absent are left out. Adds
+    n_merged.
     """
     keyed = papers.withColumns({"doi": doi_key(F.col("doi")), "title_key": title_key(F.col("title"))})
     with_doi, without = keyed.filter(~missing(F.col("doi"))), keyed.filter(missing(F.col("doi")))
 
     def merged(rows: DataFrame, key: str) -> DataFrame:
         first = [F.min_by(c, pos).alias(c) for c in ("title", "source_database")]
-        filled = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(c) for c in fill]
-        return rows.groupBy(F.col(key).alias("merge_key")).agg(F.min(pos).alias("first_pos"), *first, *filled, F.count(F.lit(1)).alias("n_merged"))
+        filled = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(pos))).alias(c) for c in fill if c in papers.columns]
+        if "authors" in papers.columns:
+            filled.append(F.coalesce(F.min_by("authors", F.when(F.size("authors") > 0, F.col(pos))), F.min_by("authors", pos)).alias("authors"))
+        found = rows.groupBy(F.col(key).alias("merge_key")).agg(F.min(pos).alias("first_pos"), *first, *filled, F.count(F.lit(1)).alias("n_merged"))
+        if "external_ids" not in papers.columns:
+            return found
+        return found.join(merge_maps(rows.withColumn("merge_key", F.col(key)), "merge_key", "external_ids", pos), "merge_key", "left")
 
     titled = without.join(with_doi.select("title_key").distinct(), "title_key", "left_anti")
     return merged(with_doi, "doi").unionByName(merged(titled, "title_key"))

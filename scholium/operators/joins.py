@@ -17,6 +17,17 @@ def overlapping(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return left.select(left_key, member).distinct().join(right.select(right_key, member).distinct(), member).select(left_key, right_key).distinct()
 
 
+def containing(rows: DataFrame, themes: DataFrame, key: str, text: str, theme: str) -> DataFrame:
+    """Pairs of key and theme where the text contains the theme: three words with single spaces.
+
+    The middle word stands between spaces in any text that contains the theme,
+    so it joins the two sides, and only those pairs are searched.
+    """
+    found = rows.select(key, text, F.explode(F.array_distinct(F.split(text, " "))).alias("_word"))
+    asked = themes.select(theme, F.split_part(theme, F.lit(" "), F.lit(2)).alias("_word")).distinct()
+    return found.join(asked, "_word").filter(F.contains(text, theme)).select(key, theme).distinct()
+
+
 def in_band(rows: DataFrame, anchors: list[tuple[float, float, str]], score: str) -> DataFrame:
     """Adds the label of the first anchor whose band holds the score, and the next anchor's; null in the gaps.
 
@@ -80,23 +91,28 @@ def indel(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-def resolve(refs: DataFrame, papers: DataFrame) -> DataFrame:
+def resolve(refs: DataFrame, papers: DataFrame, rarest: int = 3) -> DataFrame:
     """The best paper for each reference, by tiers.
 
     refs: ref_id, doi, title; papers: paper_id, source_pos, doi, title. An equal
-    DOI is HIGH; else the best title ratio among papers that share a word of the
-    title: 85 or more MEDIUM, 70 or more LOW, else NONE. Within a tier the first
-    source wins, then the score, then the smaller id.
+    DOI is HIGH, in the first source that has it. Else the first source whose
+    best paper has a title ratio (of the lower-cased titles) of 70 or more gives
+    that paper: 85 or more is MEDIUM, else LOW; titles of ten characters or less
+    are not searched. Without any it is NONE. In place of a source's own search,
+    the candidates are the papers that share one of the ``rarest`` rarest words
+    of the reference's title. Of equal scores the smaller id wins.
     """
     by_doi = refs.filter(F.col("doi") != "").join(papers.filter(F.col("doi") != "").select("paper_id", "source_pos", "doi"), "doi").select("ref_id", "paper_id", "source_pos", F.lit(100.0).alias("score"), F.lit(0).alias("tier"))
     words = lambda df, *keep: df.select(*keep, "title", F.explode(F.array_distinct(match_tokens(F.col("title")))).alias("word"))
-    left = words(refs, "ref_id").withColumnRenamed("title", "ref_title")
     # copies of a title score the same: the first of them stands for all
-    titles = papers.groupBy(F.lower("title").alias("title")).agg(F.min(F.struct("source_pos", "paper_id")).alias("first")).select("first.*", "title")
-    near = left.join(words(titles, "paper_id", "source_pos"), "word").select("ref_id", "ref_title", "paper_id", "source_pos", "title").distinct()
-    joined = lambda c: F.array_join(match_tokens(F.col(c)), " ")
-    scored = near.withColumn("score", indel(joined("ref_title"), joined("title"))).filter(F.col("score") >= 70)
-    by_title = scored.select("ref_id", "paper_id", "source_pos", "score", F.when(F.col("score") >= 85, 1).otherwise(2).alias("tier"))
+    titles = papers.groupBy(F.lower("title").alias("title"), "source_pos").agg(F.min("paper_id").alias("paper_id"))
+    listed = words(titles, "paper_id", "source_pos")
+    seen = listed.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    asked = words(refs.filter(F.length("title") > 10).select("ref_id", F.lower("title").alias("title")), "ref_id").withColumnRenamed("title", "ref_title").join(seen, "word")
+    asked = asked.withColumn("place", F.row_number().over(Window.partitionBy("ref_id").orderBy("n", "word"))).filter(F.col("place") <= rarest)
+    near = asked.select("ref_id", "ref_title", "word").join(listed, "word").select("ref_id", "ref_title", "paper_id", "source_pos", "title").distinct()
+    scored = near.withColumn("score", indel("ref_title", "title")).filter(F.col("score") >= 70)
+    by_title = scored.select("ref_id", "paper_id", "source_pos", "score", F.lit(1).alias("tier"))
     best = by_doi.unionByName(by_title).groupBy("ref_id").agg(F.min(F.struct("tier", "source_pos", (-F.col("score")).alias("back"), "paper_id")).alias("best"))
-    named = F.when(F.col("best.tier") == 0, "HIGH").when(F.col("best.tier") == 1, "MEDIUM").when(F.col("best.tier") == 2, "LOW").otherwise("NONE")
+    named = F.when(F.col("best.tier") == 0, "HIGH").when(-F.col("best.back") >= 85, "MEDIUM").when(F.col("best.back").isNotNull(), "LOW").otherwise("NONE")
     return refs.select("ref_id").join(best, "ref_id", "left").select("ref_id", "best.paper_id", named.alias("confidence"), F.round(-F.col("best.back"), 4).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholium.functions.text import missing
+from scholium.functions.text import bound, citation_count, markdown_sections, missing, strip_markdown, word_count
 
 # fixed values: evidence levels, strongest first; US dollars for a million tokens (input, output)
 LEVELS = ("strong", "moderate", "weak", "preliminary")
@@ -81,3 +81,26 @@ def token_cost(usage: DataFrame, prices: list[tuple[str, float, float]]) -> Data
     priced = usage.join(F.broadcast(table), "model", "left")
     part = lambda t, p: F.col(t) * F.coalesce(F.col(p), F.lit(0.0)) / 1e6
     return priced.withColumn("cost", F.round(part("tokens_in", "price_in") + part("tokens_out", "price_out"), 4)).drop("price_in", "price_out")
+
+
+def structure(text: Column) -> Column:
+    """words, sections, citations, per_1000, avg_section and cv_section of a markdown text; zeros for a blank one.
+
+    All is computed within the row, each part once. The spread is 0 for one section.
+    """
+    lengths = F.transform(markdown_sections(text), lambda p: word_count(strip_markdown(p)))
+    total = lambda n: F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)
+    squares = lambda n, mean: F.aggregate(n, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+
+    def made(n: Column, mean: Column) -> Column:
+        spread = F.when((F.size(n) > 1) & (mean > 0), F.sqrt(squares(n, mean) / (F.size(n) - 1)) / mean).otherwise(F.lit(0.0))
+        found = F.struct(word_count(strip_markdown(text)).alias("words"), citation_count(text).alias("citations"))
+        full = lambda f: F.struct(
+            f["words"].alias("words"), F.size(n).alias("sections"), f["citations"].alias("citations"), F.round(F.coalesce(F.try_divide(1000.0 * f["citations"], f["words"]), F.lit(0.0)), 4).alias("per_1000"),
+            F.round(mean, 2).alias("avg_section"), F.round(spread, 4).alias("cv_section"),
+        )
+        return bound(found, full)
+
+    whole = bound(lengths, lambda n: bound(total(n) / F.size(n), lambda mean: made(n, mean)))
+    none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("sections"), F.lit(0).alias("citations"), F.lit(0.0).alias("per_1000"), F.lit(0.0).alias("avg_section"), F.lit(0.0).alias("cv_section"))
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"^\s*$"), none).otherwise(whole)

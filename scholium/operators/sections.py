@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # fixed values: a heading line, and the marks left by cuts
 HEADING = r"^(?:(?:\d+(?:\.\d+)*\.?[ \t]+)|(?:[IVXivx]+\.?[ \t]+))?([A-Z][A-Za-z \t,&\-/]+)[ \t]*$"
 CUT, CUT_INTRO, CUT_METHODS = "\n\n[...truncated middle section...]\n\n", "\n[...introduction truncated...]\n", "\n[...methods truncated...]\n"
-DROPPED = ("references", "acknowledgments", "acknowledgements", "funding", "conflict of interest", "author contributions", "data availability", "supplementary")
+DROPPED = ("references", "acknowledgment", "acknowledgement", "supplementary", "supporting information", "funding", "author contributions", "competing interests", "conflict of interest", "data availability")
 
 
 def parse_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

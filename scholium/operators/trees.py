@@ -1,34 +1,52 @@
-"""Dependency levels, reachability and outlines, as recursive queries."""
+"""Dependency levels, reachability and outlines: one join a level, each level written."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-def dag_levels(spark: SparkSession, edges: DataFrame, nodes: int) -> DataFrame:
+from scholium.session import materialise
+
+
+def _levels(first: DataFrame, step, most: int | None = None) -> DataFrame:
+    """The rows of ``first`` and of each step from the level before, until a level is empty."""
+    found = [materialise(first)]
+    while not found[-1].isEmpty():
+        if most is not None and len(found) > most:
+            raise ValueError("the graph has a cycle")
+        found.append(materialise(step(found[-1])))
+    return reduce(DataFrame.unionByName, found)
+
+
+def dag_levels(edges: DataFrame) -> DataFrame:
     """Level of each node: 0 without a dependency, else one more than its highest.
 
-    edges: node, dep (null for none). A cycle would go past ``nodes`` levels;
-    the rows past that are kept as level ``nodes`` so that callers can refuse.
+    edges: node, dep (null for none). A node is in a level once, however many
+    paths lead there. A cycle is an error.
     """
-    edges.createOrReplaceTempView("dag_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, level) AS (
-            SELECT node, 0 FROM dag_edges WHERE dep IS NULL
-            UNION ALL
-            SELECT e.node, w.level + 1 FROM walk w JOIN dag_edges e ON e.dep = w.node WHERE w.level < {nodes}
-        ) SELECT node, max(level) AS level FROM walk GROUP BY node""")
-
-
-def downstream(spark: SparkSession, edges: DataFrame, start: str, nodes: int) -> DataFrame:
-    """Nodes that depend on ``start``, itself included."""
-    edges.createOrReplaceTempView("dag_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, depth) AS (
-            SELECT '{start}', 0
-            UNION ALL
-            SELECT e.node, w.depth + 1 FROM walk w JOIN dag_edges e ON e.dep = w.node WHERE w.depth < {nodes}
-        ) SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
+    pairs = materialise(edges.select("node", "dep").distinct())
+    nodes = pairs.select("node").distinct().count()
+    roots = pairs.groupBy("node").agg(F.count("dep").alias("n")).filter("n = 0").select("node", F.lit(0).alias("level"))
+    step = lambda level: level.join(pairs.withColumnRenamed("node", "next"), F.col("dep") == F.col("node")).select(F.col("next").alias("node"), (F.col("level") + 1).alias("level")).distinct()
+    found = _levels(roots, step, nodes)
+    levels = found.groupBy("node").agg(F.max("level").alias("level"))
+    if levels.count() < nodes:
+        raise ValueError("the graph has a cycle")
+    return levels
+
+
+def downstream(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Nodes that depend on those of ``start`` (node), these included, with the least number of steps."""
+    pairs = materialise(edges.select("node", "dep").filter(F.col("dep").isNotNull()).distinct())
+    seen = materialise(start.select("node", F.lit(0).alias("depth")).distinct())
+    last = seen
+    while not last.isEmpty():
+        after = last.join(pairs.withColumnRenamed("node", "next"), F.col("dep") == F.col("node")).select(F.col("next").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
+        last = materialise(after.join(seen.select("node"), "node", "left_anti"))
+        seen = seen.unionByName(last)
+    return seen
 
 
 def check_dag(edges: list[tuple[str, str | None]]) -> None:
@@ -45,16 +63,18 @@ def check_dag(edges: list[tuple[str, str | None]]) -> None:
         done |= ready
 
 
-def outline(spark: SparkSession, sections: DataFrame, depth: int = 10) -> DataFrame:
-    """Pre-order place and depth of each section of a document's tree.
+def outline(sections: DataFrame) -> DataFrame:
+    """Pre-order place and depth of each section of a document's tree, to any depth.
 
     sections: doc, section, parent (null at the top), pos among its siblings.
     """
-    sections.createOrReplaceTempView("outline_sections")
-    return spark.sql(f"""
-        WITH RECURSIVE tree(doc, section, path, depth) AS (
-            SELECT doc, section, lpad(CAST(pos AS STRING), 6, '0'), 1 FROM outline_sections WHERE parent IS NULL
-            UNION ALL
-            SELECT s.doc, s.section, t.path || '.' || lpad(CAST(s.pos AS STRING), 6, '0'), t.depth + 1
-            FROM tree t JOIN outline_sections s ON s.doc = t.doc AND s.parent = t.section WHERE t.depth < {depth}
-        ) SELECT doc, section, depth, row_number() OVER (PARTITION BY doc ORDER BY path) AS place FROM tree""")
+    rows = materialise(sections.select("doc", "section", "parent", F.lpad(F.col("pos").cast("string"), 6, "0").alias("step")))
+    top = rows.filter(F.col("parent").isNull()).select("doc", "section", F.col("step").alias("path"), F.lit(1).alias("depth"))
+    below = rows.select("doc", F.col("section").alias("child"), "parent", "step")
+
+    def step(level: DataFrame) -> DataFrame:
+        met = level.withColumnRenamed("section", "parent").join(below, ["doc", "parent"])
+        return met.select("doc", F.col("child").alias("section"), F.concat_ws(".", "path", "step").alias("path"), (F.col("depth") + 1).alias("depth"))
+
+    found = _levels(top, step)
+    return found.select("doc", "section", "depth", F.row_number().over(Window.partitionBy("doc").orderBy("path")).alias("place"))

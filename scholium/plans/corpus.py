@@ -24,6 +24,8 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 4 != 0, 2000 + F.col("n_chars") % 25).alias("year"),
         F.when(F.col("doc_id") % 5 != 0, F.md5(F.substring("text", 1, 100))).alias("abstract"),
         F.col("source").alias("source_database"),
+        F.when(F.col("doc_id") % 6 != 0, F.concat(F.lit("J. "), "source")).alias("journal"),
+        F.when(F.col("doc_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("A. "), "source"))).alias("authors"),
     )
     cited = labels.select("doc_id", (F.col("quality") * 10 + F.col("toxic")).alias("citation_count"))
     return shaped.join(cited, "doc_id", "left")
@@ -33,7 +35,7 @@ PAPERS = r"""papers AS (
     SELECT d.doc_id, d.doc_id AS pos, split_part(text, chr(10), 1) AS title,
         CASE WHEN d.doc_id % 3 = 0 THEN NULL WHEN d.doc_id % 7 = 0 THEN 'https://doi.org/10.1/' || upper(md5(text)) ELSE '10.1/' || md5(text) END AS doi,
         CASE WHEN d.doc_id % 4 <> 0 THEN 2000 + n_chars % 25 END AS year, CASE WHEN d.doc_id % 5 <> 0 THEN md5(substr(text, 1, 100)) END AS abstract,
-        source AS source_database, quality * 10 + toxic AS citation_count
+        source AS source_database, CASE WHEN d.doc_id % 6 <> 0 THEN 'J. ' || source END AS journal, CASE WHEN d.doc_id % 2 = 0 THEN '' ELSE 'A. ' || source END AS authors, quality * 10 + toxic AS citation_count
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 ), keyed AS (
     SELECT * REPLACE (regexp_replace(lower(nullif(trim(doi), '')), '^https?://(dx\.)?doi\.org/', '') AS doi),
@@ -41,7 +43,7 @@ PAPERS = r"""papers AS (
     FROM papers
 )"""
 MERGED = """min(pos) AS first_pos, arg_min(title, pos) AS title, arg_min(source_database, pos) AS source_database, arg_min(abstract, pos) FILTER (abstract IS NOT NULL) AS abstract,
-    arg_min(year, pos) FILTER (year IS NOT NULL) AS year, arg_min(doi, pos) FILTER (doi IS NOT NULL) AS doi, arg_min(citation_count, pos) FILTER (citation_count IS NOT NULL) AS citation_count, count(*) AS n_merged"""
+    arg_min(year, pos) FILTER (year IS NOT NULL) AS year, arg_min(doi, pos) FILTER (doi IS NOT NULL) AS doi, arg_min(citation_count, pos) FILTER (citation_count IS NOT NULL) AS citation_count, arg_min(journal, pos) FILTER (journal IS NOT NULL) AS journal, coalesce(arg_min(authors, pos) FILTER (authors <> ''), '') AS authors, count(*) AS n_merged"""
 
 
 @query(f"""WITH {PAPERS}
@@ -50,7 +52,7 @@ UNION ALL
 SELECT title_key AS merge_key, {MERGED} FROM keyed WHERE coalesce(doi, '') = '' AND title_key NOT IN (SELECT title_key FROM keyed WHERE coalesce(doi, '') <> '') GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY merge_key"))
 def dedup_merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: union of the sources, two-phase dedup and coalescing merge."""
-    return dedup.merge_papers(papers(spark, sf_dir))
+    return dedup.merge_papers(papers(spark, sf_dir)).withColumn("authors", F.array_join("authors", ", "))
 
 
 @query(f"WITH {PAPERS} SELECT doc_id, title_key FROM keyed WHERE coalesce(doi, '') = '' AND title_key NOT IN (SELECT title_key FROM keyed WHERE coalesce(doi, '') <> '')")
@@ -169,12 +171,14 @@ def overlap_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.overlapping(lines.filter("l_returnflag = 'R'"), lines.filter("l_returnflag = 'A'"), "l_orderkey", "l_suppkey", "l_partkey").select(F.col("l_orderkey").alias("section"), F.col("l_suppkey").alias("chain"))
 
 
-@query("SELECT p_partkey, n_name FROM part JOIN nation ON contains(lower(p_name || ' ' || n_name), lower(split_part(n_name, ' ', 1))) AND p_partkey % 25 = n_nationkey")
+@query(r"""WITH themes AS (SELECT DISTINCT array_to_string(w[1:3], ' ') AS theme FROM (SELECT list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 3)
+SELECT doc_id, theme FROM documents JOIN themes ON contains(lower(text), theme)""")
 def substring_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that contain a theme, within the theme's own group."""
-    part, nation = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
-    named = part.join(nation, part["p_partkey"] % 25 == nation["n_nationkey"])
-    return named.filter(F.contains(F.lower(F.concat_ws(" ", "p_name", "n_name")), F.lower(F.split_part("n_name", F.lit(" "), F.lit(1))))).select("p_partkey", "n_name")
+    """Documents whose text contains a theme, the first three words of a benchmark item."""
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    themes = table(spark, sf_dir, "benchmark").select(words.alias("w")).filter(F.size("w") >= 3).select(F.array_join(F.slice("w", 1, 3), " ").alias("theme")).distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    return joins.containing(docs, themes, "doc_id", "text", "theme")
 
 
 @query("""SELECT source, count(*) AS refs, count(hit) AS hits, round(count(hit) / count(*), 4) AS recall, CASE WHEN count(hit) / count(*) < 0.5 THEN 'warning' ELSE 'passed' END AS status
@@ -202,10 +206,10 @@ def token_jaccard_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def indel_ratio_topmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiered resolution of document titles against the papers of one source."""
+    """Tiered resolution of document titles against the papers of two sources."""
     found = papers(spark, sf_dir).withColumn("doi", F.coalesce(doi_key(F.col("doi")), F.lit("")))
-    refs = found.filter(F.col("source_database") != "src0").select(F.col("doc_id").alias("ref_id"), "doi", "title")
-    known = found.filter(F.col("source_database") == "src0").select(F.col("doc_id").alias("paper_id"), F.lit(0).alias("source_pos"), "doi", "title")
+    refs = found.filter(~F.col("source_database").isin("src0", "src1")).select(F.col("doc_id").alias("ref_id"), "doi", "title")
+    known = found.filter(F.col("source_database").isin("src0", "src1")).select(F.col("doc_id").alias("paper_id"), F.substring("source_database", 4, 1).cast("int").alias("source_pos"), "doi", "title")
     return joins.resolve(refs, known)
 
 
@@ -221,8 +225,8 @@ def neighbor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def snowball_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snowballed references of each source without seen DOIs or title starts."""
-    found = papers(spark, sf_dir).select(F.concat_ws("/", "source_database", (F.col("doc_id") % 64).cast("string")).alias("seed"), "doc_id", "doi", "title")
+    """Snowballed references of each seed (lists of at most fifty) without seen DOIs or title starts."""
+    found = papers(spark, sf_dir).select(F.floor(F.col("doc_id") / 50).alias("seed"), "doc_id", "doi", "title")
     return dedup.snowball(found, "doc_id").select("seed", "doc_id")
 
 

@@ -57,14 +57,18 @@ def citation_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SECTIONS}, {MARKS}, v AS (SELECT l_orderkey, count(*) AS markers, count(DISTINCT cited) AS unique_markers, CAST(count(DISTINCT cited) FILTER (p_size < 25) AS BIGINT) AS valid, CAST(count(DISTINCT cited) FILTER (p_size >= 25 OR p_size IS NULL) AS BIGINT) AS invalid
-    FROM marks LEFT JOIN part ON p_partkey = CAST(cited AS BIGINT) GROUP BY 1)
-SELECT *, CASE WHEN invalid > 0 THEN 'critical' ELSE 'ok' END AS severity FROM v""")
+    FROM marks LEFT JOIN part ON p_partkey = CAST(cited AS BIGINT) GROUP BY 1),
+u AS (SELECT l_orderkey, count(*) AS uncited FROM (SELECT DISTINCT l_orderkey, CAST(l_suppkey AS VARCHAR) AS cited FROM lineitem WHERE l_returnflag = 'R') a ANTI JOIN marks USING (l_orderkey, cited) GROUP BY 1)
+SELECT v.*, coalesce(uncited, 0) AS uncited, CASE WHEN invalid > 0 THEN 'critical' WHEN uncited > 0 THEN 'major' ELSE 'ok' END AS severity FROM v LEFT JOIN u USING (l_orderkey)""")
 def citation_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markers of each section: valid, unknown, and how grave."""
+    """Markers of each section: valid, unknown, assigned papers without one, and how grave."""
     numbered = ordered.citation_numbers(marked_sections(spark, sf_dir), "l_orderkey", "text")
     known = table(spark, sf_dir, "part").filter("p_size < 25").select(F.col("p_partkey").cast("string").alias("cited"), F.lit(1).alias("known"))
     found = numbered.join(known, "cited", "left").groupBy("l_orderkey").agg(F.sum("mentions").alias("markers"), F.count(F.lit(1)).alias("unique_markers"), F.count("known").alias("valid"), F.count_if(F.col("known").isNull()).alias("invalid"))
-    return found.withColumn("severity", F.when(F.col("invalid") > 0, "critical").otherwise("ok"))
+    assigned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", F.col("l_suppkey").cast("string").alias("cited")).distinct()
+    uncited = assigned.join(numbered.select("l_orderkey", "cited"), ["l_orderkey", "cited"], "left_anti").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("uncited"))
+    found = found.join(uncited, "l_orderkey", "left").withColumn("uncited", F.coalesce("uncited", F.lit(0)).cast("long"))
+    return found.withColumn("severity", F.when(F.col("invalid") > 0, "critical").when(F.col("uncited") > 0, "major").otherwise("ok"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(t) AS line, generate_subscripts(t, 1) - 1 AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)),
@@ -122,25 +126,30 @@ def batch_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.batches(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 20).select("user_id", "event_id", "batch")
 
 
-TREE = "edges AS (SELECT CAST(n_nationkey AS VARCHAR) AS node, CASE WHEN n_nationkey >= 5 THEN CAST(n_nationkey // 5 AS VARCHAR) END AS dep FROM nation UNION ALL SELECT CAST(n_nationkey AS VARCHAR), CAST(n_nationkey - 3 AS VARCHAR) FROM nation WHERE n_nationkey % 4 = 3)"
+TREE = """turns AS (SELECT conv_id, turn - min(turn) OVER (PARTITION BY conv_id) AS t FROM conversations), edges AS (
+    SELECT DISTINCT conv_id || ':' || t AS node, CASE WHEN t > 0 THEN conv_id || ':' || (t - 1) // 2 END AS dep FROM turns UNION SELECT conv_id || ':' || t, conv_id || ':' || (t - 1) FROM turns WHERE t > 0)"""
 
 
 def dag_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"))
-    first = nation.select(F.col("n").cast("string").alias("node"), F.when(F.col("n") >= 5, F.floor(F.col("n") / 5).cast("string")).alias("dep"))
-    return first.unionByName(nation.filter("n % 4 = 3").select(F.col("n").cast("string").alias("node"), (F.col("n") - 3).cast("string").alias("dep")))
+    """Each turn of a conversation depends on the one before and on the one at half its place."""
+    first = F.min("turn").over(Window.partitionBy("conv_id"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") - first).cast("long").alias("t"))
+    node = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
+    half = turns.select(node(F.col("t")).alias("node"), F.when(F.col("t") > 0, node(F.floor((F.col("t") - 1) / 2))).alias("dep"))
+    return half.unionByName(turns.filter("t > 0").select(node(F.col("t")).alias("node"), node(F.col("t") - 1).alias("dep")))
 
 
-@query(f"WITH RECURSIVE {TREE}, walk AS (SELECT node, 0 AS level FROM edges WHERE dep IS NULL UNION ALL SELECT e.node, w.level + 1 FROM walk w JOIN edges e ON e.dep = w.node) SELECT node, max(level) AS level FROM walk GROUP BY node")
+@query(f"WITH RECURSIVE {TREE}, walk AS (SELECT node, 0 AS level FROM edges WHERE dep IS NULL UNION SELECT e.node, w.level + 1 FROM walk w JOIN edges e ON e.dep = w.node) SELECT node, max(level) AS level FROM walk GROUP BY node")
 def dag_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels of a dependency graph."""
-    return trees.dag_levels(spark, dag_edges(spark, sf_dir), 50)
+    return trees.dag_levels(dag_edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {TREE}, walk AS (SELECT '1' AS node, 0 AS depth UNION ALL SELECT e.node, w.depth + 1 FROM walk w JOIN edges e ON e.dep = w.node) SELECT node, min(depth) AS depth FROM walk GROUP BY node")
+@query(f"WITH RECURSIVE {TREE}, walk AS (SELECT DISTINCT node, 0 AS depth FROM edges WHERE node LIKE '%:1' UNION SELECT e.node, w.depth + 1 FROM walk w JOIN edges e ON e.dep = w.node) SELECT node, min(depth) AS depth FROM walk GROUP BY node")
 def downstream_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes to run again from one on."""
-    return trees.downstream(spark, dag_edges(spark, sf_dir), "1", 50)
+    """Nodes to run again from the second turns on."""
+    edges = dag_edges(spark, sf_dir)
+    return trees.downstream(edges, edges.filter(F.col("node").like("%:1")).select("node"))
 
 
 @query("""WITH RECURSIVE s AS (SELECT conv_id AS doc, turn AS section, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, turn AS pos FROM (SELECT conv_id, turn - min(turn) OVER (PARTITION BY conv_id) AS turn FROM conversations)),
@@ -150,4 +159,4 @@ def outline_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of each outline in reading order."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") - F.min("turn").over(Window.partitionBy("conv_id"))).alias("turn"))
     sections = turns.select(F.col("conv_id").alias("doc"), F.col("turn").alias("section"), F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2)).alias("parent"), F.col("turn").alias("pos"))
-    return trees.outline(spark, sections)
+    return trees.outline(sections)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholium.functions import bibliography, text
-from scholium.operators import sections
+from scholium.operators import metrics, sections
 from scholium.plans.registry import query
 from scholium.session import shared_folder, table
 from scholium.sources import markup, records
@@ -47,10 +47,11 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(url, r"^[a-z]+://([^/?#]*)", 1).alias("host"), text.url_year(F.concat(url, F.lit("/x"))).alias("year"), F.regexp_extract(url, r"10\.[0-9]{4,9}/[^\s,;)\]]+", 0).alias("doi"))
 
 
-@query(r"""WITH s AS (SELECT page_id, regexp_replace(list_last(list_filter(string_split(regexp_replace(regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*', ''), '[?#].*$', ''), '/'), lambda p: p <> '')), '\.[A-Za-z]{2,5}$', '') AS last
+@query(r"""WITH s AS (SELECT page_id, list_last(list_filter(string_split(regexp_replace(regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*', ''), '[?#].*$', ''), '/'), lambda p: p <> '')) AS last
     FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'http://h.org/a/gut-microbiome_and-' || md5(url) || '-x.html' END AS u FROM pages))
-SELECT page_id, CASE WHEN length(last) >= 8 AND NOT regexp_matches(last, '^[0-9]+$') AND NOT regexp_matches(last, '^[0-9a-fA-F\-]+$')
-    THEN array_to_string(list_transform(string_split(trim(regexp_replace(last, '[-_]+', ' ', 'g')), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') END AS title FROM s""")
+SELECT page_id, CASE WHEN length(last) >= 8 AND NOT regexp_matches(last, '^[0-9]+$') AND NOT regexp_matches(last, '^[0-9a-fA-F\-]{5,40}$') AND length(words) >= 8
+    THEN array_to_string(list_transform(range(1, length(words) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(substr(words, i - 1, 1), '^\p{L}$') THEN lower(substr(words, i, 1)) ELSE upper(substr(words, i, 1)) END), '') END AS title
+FROM (SELECT *, trim(regexp_replace(regexp_replace(last, '(?i)\.(html?|pdf|xml|aspx|php)$', ''), '[-_]+', ' ', 'g')) AS words FROM s)""")
 def url_slug_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles from URL slugs."""
     made = F.concat(F.lit("http://h.org/a/gut-microbiome_and-"), F.md5("url"), F.lit("-x.html"))
@@ -63,24 +64,22 @@ def head_tail_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.head_tail(F.col("text"), 1000, " [...] ")).alias("cut"), (F.length("text") > 1000).alias("was_cut"))
 
 
-MARKDOWN = "'# **' || source || '**' || chr(10) || replace(text, chr(10), chr(10) || '## ') || ' [1] [2] [' || (doc_id % 3) || '] see [link](http://x) `code`'"
+MARKDOWN = "'# **' || source || '**' || chr(10) || replace(text, chr(10), chr(10) || '## ') || ' [1] [2] [' || (doc_id % 3) || '] (Smith et al., 20' || (10 + doc_id % 2) || ') see [link](http://x) `code`'"
+STRIP = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^#{{1,6}}\s+', '', 'g'), '\*{{1,2}}|_{{1,2}}', '', 'g'), '`[^`]*`', '', 'g')"
+COUNT = r"len(list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> ''))"
 
 
-@query(rf"""WITH m AS (SELECT doc_id, {MARKDOWN} AS t FROM documents), s AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '(?m)^#{{1,3}}\s+'), lambda x: NOT regexp_matches(x, '^\s*$')) AS parts,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^#{{1,6}}\s+', '', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '`([^`]*)`', '\1', 'g') AS plain,
-    len(list_distinct(regexp_extract_all(t, '\[([0-9]+)\]', 1))) AS citations FROM m),
-c AS (SELECT doc_id, CASE WHEN trim(plain) = '' THEN 0 ELSE len(regexp_split_to_array(trim(plain), '\s+')) END AS words, citations, len(parts) AS sections, unnest(parts) AS part FROM s)
-SELECT doc_id, CAST(words AS INTEGER) AS words, CAST(sections AS INTEGER) AS sections, CAST(citations AS INTEGER) AS citations, round(1000.0 * citations / words, 4) AS per_1000, round(avg(n), 4) AS avg_section, round(coalesce(stddev_samp(n) / avg(n), 0), 4) AS cv_section
-FROM (SELECT *, CASE WHEN regexp_matches(part, '^\s*$') THEN 0 ELSE len(regexp_split_to_array(regexp_replace(part, '^\s+|\s+$', '', 'g'), '\s+')) END AS n FROM c) GROUP BY doc_id, words, sections, citations""")
+@query(rf"""WITH m AS (SELECT doc_id, {MARKDOWN} AS t FROM documents), s AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '(?m)^#{{1,3}}\s+'), lambda x: NOT regexp_matches(x, '^\s*$')) AS parts FROM m),
+c AS (SELECT doc_id, {COUNT.format(t=STRIP.format(t="t"))} AS words, list_transform(CASE WHEN len(parts) > 0 THEN parts ELSE [t] END, lambda p: {COUNT.format(t=STRIP.format(t="p"))}) AS n,
+    len(list_distinct(regexp_extract_all(t, '\[\d+\]'))) + len(list_distinct(regexp_extract_all(t, '\([A-Z][a-z]+ et al\.?,? \d{{4}}\)'))) AS citations FROM s)
+SELECT doc_id, CAST(words AS INTEGER) AS words, CAST(len(n) AS INTEGER) AS sections, CAST(citations AS INTEGER) AS citations, round(1000.0::DOUBLE * citations / words, 4) AS per_1000, round(list_avg(n), 2) AS avg_section,
+    round(CASE WHEN len(n) > 1 AND list_avg(n) > 0 THEN sqrt(list_sum(list_transform(n, lambda x: (x - list_avg(n)) * (x - list_avg(n)))) / (len(n) - 1)) / list_avg(n) ELSE 0 END, 4) AS cv_section FROM c""")
 def structural_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, sections and citations of markdown texts."""
-    made = F.concat(F.lit("# **"), "source", F.lit("**\n"), F.replace("text", F.lit("\n"), F.lit("\n## ")), F.lit(" [1] [2] ["), (F.col("doc_id") % 3).cast("string"), F.lit("] see [link](http://x) `code`"))
+    year = (10 + F.col("doc_id") % 2).cast("string")
+    made = F.concat(F.lit("# **"), "source", F.lit("**\n"), F.replace("text", F.lit("\n"), F.lit("\n## ")), F.lit(" [1] [2] ["), (F.col("doc_id") % 3).cast("string"), F.lit("] (Smith et al., 20"), year, F.lit(") see [link](http://x) `code`"))
     docs = table(spark, sf_dir, "documents").select("doc_id", made.alias("t"))
-    parts = text.markdown_sections(F.col("t"))
-    cited = F.size(F.array_distinct(F.regexp_extract_all("t", F.lit(r"\[([0-9]+)\]"), 1)))
-    shaped = docs.select("doc_id", text.word_count(text.strip_markdown(F.col("t"))).alias("words"), F.size(parts).alias("sections"), cited.alias("citations"), F.explode(F.transform(parts, lambda p: F.size(F.split(F.regexp_replace(p, r"^\s+|\s+$", ""), r"\s+")))).alias("n"))
-    spread = F.coalesce(F.stddev_samp("n") / F.avg("n"), F.lit(0.0))
-    return shaped.groupBy("doc_id", "words", "sections", "citations").agg(F.round(F.avg("n"), 4).alias("avg_section"), F.round(spread, 4).alias("cv_section")).withColumn("per_1000", F.round(1000.0 * F.col("citations") / F.col("words"), 4))
+    return docs.select("doc_id", metrics.structure(F.col("t")).alias("m")).select("doc_id", "m.*")
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 4 <> 3 AS parsed FROM events""")
@@ -97,20 +96,21 @@ def json_extract_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 AUTHORS = "list_transform(range(p_size % 24), lambda i: 'Author ' || i)"
 
 
-@query(f"""WITH p AS (SELECT p_partkey, {AUTHORS} AS a, CASE WHEN p_partkey % 5 <> 0 THEN 1990 + p_size END AS y, CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS j, CASE WHEN p_partkey % 4 <> 0 THEN '10.1/' || p_partkey END AS doi, p_name FROM part),
-n AS (SELECT *, coalesce(CAST(y AS VARCHAR), 'n.d.') AS yy, CASE WHEN doi IS NULL THEN '' ELSE ' https://doi.org/' || doi END AS link, CASE WHEN j IS NULL THEN '' ELSE ' ' || j || '.' END AS place FROM p)
+@query(f"""WITH p AS (SELECT p_partkey, {AUTHORS} AS a, CASE WHEN p_partkey % 5 <> 0 THEN 1990 + p_size END AS y, CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS j, CASE WHEN p_partkey % 4 <> 0 THEN '10.1/' || p_partkey END AS doi, p_name FROM part)
 SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY coalesce(a[1], ''), coalesce(y, 0), p_partkey) AS INTEGER) AS number,
-    CASE len(a) WHEN 0 THEN '' WHEN 1 THEN a[1] WHEN 2 THEN a[1] || ' & ' || a[2] ELSE CASE WHEN len(a) <= 20 THEN array_to_string(a[:-2], ', ') || ', & ' || a[-1] ELSE array_to_string(a[:19], ', ') || ', ... ' || a[-1] END END || ' (' || yy || '). ' || p_name || '.' || place || link AS apa,
-    CASE WHEN len(a) > 6 THEN array_to_string(a[:6], ', ') || ', et al.' ELSE array_to_string(a, ', ') END || '. ' || p_name || '.' || place || ' ' || yy || '.' || link AS vancouver FROM n""")
+    CASE len(a) WHEN 0 THEN 'Unknown' WHEN 1 THEN a[1] WHEN 2 THEN a[1] || ' & ' || a[2] ELSE CASE WHEN len(a) <= 20 THEN array_to_string(a[:-2], ', ') || ', & ' || a[-1] ELSE array_to_string(a[:19], ', ') || ', ... ' || a[-1] END END
+        || coalesce(' (' || y || ').', ' (n.d.).') || ' ' || p_name || '.' || coalesce(' *' || j || '*.', '') || coalesce(' https://doi.org/' || doi, '') AS apa,
+    array_to_string(a[:6], ', ') || CASE WHEN len(a) > 6 THEN ', et al' ELSE '' END || '.' || coalesce(' ' || y || '.', '.') || ' ' || p_name || '.' || coalesce(' ' || j || '.', '') || coalesce(' doi:' || doi, '') AS vancouver,
+    array_to_string(a[:6], '; ') || CASE WHEN len(a) > 6 THEN '; et al.' ELSE '' END || '. ' || p_name || '.' || coalesce(' *' || j || '*', '') || coalesce(' **' || y || '**.', '.') || coalesce(' DOI: ' || doi, '') AS acs FROM p""")
 def bibliography_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered entries in two styles."""
+    """Numbered entries in three styles."""
     n = F.col("p_size") % 24
     authors = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.concat(F.lit("Author "), i.cast("string")))).otherwise(F.array().cast("array<string>"))
     part = table(spark, sf_dir, "part").select(
         "p_partkey", "p_name", authors.alias("a"), F.when(F.col("p_partkey") % 5 != 0, 1990 + F.col("p_size")).alias("y"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_type")).alias("j"), F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit("10.1/"), F.col("p_partkey").cast("string"))).alias("doi")
     )
     order = Window.partitionBy(F.col("p_partkey") % 50).orderBy(F.coalesce(F.get("a", F.lit(0)), F.lit("")), F.coalesce("y", F.lit(0)), "p_partkey")
-    lines = {s: bibliography.entry(s, F.col("a"), F.col("y"), F.col("p_name"), F.col("j"), F.col("doi")) for s in ("apa", "vancouver")}
+    lines = {s: bibliography.entry(s, F.col("a"), F.col("y"), F.col("p_name"), F.col("j"), F.col("doi")) for s in ("apa", "vancouver", "acs")}
     return part.select("p_partkey", F.row_number().over(order).alias("number"), *(c.alias(s) for s, c in lines.items()))
 
 
@@ -120,17 +120,17 @@ def text_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") > 100, F.substring("text", 1, 50)).alias("gated"), F.md5("text").rlike("^(1|a0)").alias("routed"))
 
 
-@query(r"""SELECT doc_id, md5(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '&', '\&'), '%', '\%'), '$', '\$'), '#', '\#'), '_', '\_'), '{', '\{'), '}', '\}'), '~', '\textasciitilde{}'), '^', '\textasciicircum{}')) AS escaped FROM documents""")
+@query(r"""SELECT doc_id, md5(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '&', '\&'), '%', '\%'), '$', '\$'), '#', '\#'), '_', '\_'), '{', '\{'), '}', '\}'), '~', '\textasciitilde{}'), '^', '\^{}')) AS escaped FROM documents""")
 def latex_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts escaped for LaTeX."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.escape_latex(F.col("text"))).alias("escaped"))
 
 
-@query("SELECT source, md5(string_agg('{\"id\":' || doc_id || ',\"lang\":\"' || lang || '\"}', ',' ORDER BY doc_id)) AS papers, count(*) AS n FROM documents GROUP BY source")
+@query("""SELECT doc_id, md5('{"id":"' || doc_id || '","source_database":"' || source || '","year":' || (2000 + n_chars % 25) || ',"lang":"' || lang || '","n_chars":' || n_chars || ',"abstract_md5":"' || md5(text) || '"}') AS record FROM documents""")
 def papers_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers as JSON records, by source."""
-    records = F.transform(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("id"), "lang"))), lambda r: F.to_json(r))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.md5(F.array_join(records, ",")).alias("papers"), F.count(F.lit(1)).alias("n"))
+    """Each paper as a JSON record."""
+    record = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_database"), (2000 + F.col("n_chars") % 25).alias("year"), "lang", "n_chars", F.md5("text").alias("abstract_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.to_json(record)).alias("record"))
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS openalex, 'T' || doc_id AS title, 'j' || source AS journal, '10.1/' || md5(text) AS doi, md5(array_to_string(regexp_split_to_array(lang || ' ' || source || ' ' || lang, ' '), ' ')) AS abstract, CAST(2000 + doc_id % 20 AS INTEGER) AS year FROM documents""")

@@ -1,51 +1,18 @@
-"""A data source over recorded search responses.
+"""Recorded search responses: JSON-lines files, one for each query.
 
-``spark.read.format("recorded").option("path", folder)`` reads JSON-lines files
-named after their query; each query is a partition of its own, and at most
-``max(max_results / queries, 20)`` records of it are read. A live connector
-would yield the same rows; without a network, recordings stand in for it. The
-folder must be readable from the executors.
+A live connector would yield the same rows; without a network, recordings stand
+in for it. The files are read by Spark, from any store that it can read.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-
-class QueryPartition(InputPartition):
-    def __init__(self, query: str, file: str, limit: int):
-        super().__init__(query)
-        self.query, self.file, self.limit = query, file, limit
-
-
-class RecordedReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.folder = options["path"]
-        self.most = int(options.get("max_results", 500))
-
-    def partitions(self) -> list[QueryPartition]:
-        files = sorted(f for f in os.listdir(self.folder) if f.endswith(".jsonl"))
-        quota = max(self.most // max(1, len(files)), 20)
-        return [QueryPartition(f.removesuffix(".jsonl"), os.path.join(self.folder, f), quota) for f in files]
-
-    def read(self, partition: QueryPartition) -> Iterator[tuple]:
-        with open(partition.file, encoding="utf-8") as lines:
-            for place, line in enumerate(lines):
-                if place >= partition.limit:
-                    return
-                yield partition.query, place, line.rstrip("\n")
-
-
-class RecordedSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "recorded"
-
-    def schema(self) -> str:
-        return "query string, row_pos int, json string"
-
-    def reader(self, schema) -> RecordedReader:
-        return RecordedReader(self.options)
+def recorded(spark: SparkSession, folder: str, max_results: int = 500) -> DataFrame:
+    """query, row_pos and json of the first max(max_results / queries, 20) records of each query."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder)
+    quota = max(max_results // max(1, files.select("path").count()), 20)
+    named = files.select(F.regexp_extract("path", r"([^/]+)\.jsonl$", 1).alias("query"), F.slice(F.split(F.rtrim(F.decode("content", "UTF-8"), F.lit("\n")), "\n"), 1, quota).alias("lines"))
+    return named.select("query", F.posexplode("lines").alias("row_pos", "json")).filter(F.col("json") != "")

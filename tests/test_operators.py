@@ -11,7 +11,7 @@ from scholium.functions import bibliography, text
 from scholium.operators import dedup, joins, metrics, ordered, sections, trees
 from scholium.plans.stages import Runner, Stage, StageError
 from scholium.sources import markup, records
-from scholium.sources.recorded import RecordedSource
+from scholium.sources.recorded import recorded
 
 PAPER = "pos int, title string, doi string, abstract string, year int, citation_count int, source_database string"
 
@@ -115,6 +115,8 @@ def test_indel_and_resolution(spark):
     refs = spark.createDataFrame([(1, "d1", "x"), (2, "", "deep learning of proteins"), (3, "", "deep learning in protein folds"), (4, "", "nothing alike")], "ref_id int, doi string, title string")
     known = spark.createDataFrame([(9, 0, "d1", "y"), (8, 0, "", "deep learning of proteins")], "paper_id int, source_pos int, doi string, title string")
     got = {r.ref_id: (r.paper_id, r.confidence) for r in joins.resolve(refs, known).collect()}
+    two = spark.createDataFrame([(5, 1, "", "deep learning of proteins"), (6, 0, "", "deep learning on protein")], "paper_id int, source_pos int, doi string, title string")
+    assert [(r.paper_id, r.confidence) for r in joins.resolve(refs.filter("ref_id = 2"), two).collect()] == [(6, "MEDIUM")]  # the first source that has any
     assert got[1] == (9, "HIGH") and got[2] == (8, "MEDIUM") and got[3][1] in ("LOW", "MEDIUM") and got[4] == (None, "NONE")
 
 
@@ -144,15 +146,44 @@ def test_numbering_and_continuation(spark):
 def test_bibliography(spark):
     rows = spark.createDataFrame([(["A"], None, "T", None, None), (["A", "B"], 2020, "T", "J", "10.1/x"), ([f"A{i}" for i in range(25)], 2020, "T", None, None), ([], 2020, "T", None, None)], "a array<string>, y int, t string, j string, d string")
     apa = [r[0] for r in rows.select(bibliography.entry("apa", *(F.col(c) for c in "aytjd"))).collect()]
-    assert apa[0] == "A (n.d.). T." and apa[1] == "A & B (2020). T. J. https://doi.org/10.1/x"
-    assert ", ... A24 (2020)" in apa[2] and apa[3] == " (2020). T."
-    assert "et al." in rows.select(bibliography.entry("vancouver", *(F.col(c) for c in "aytjd"))).collect()[2][0]
+    assert apa[0] == "A (n.d.). T." and apa[1] == "A & B (2020). T. *J*. https://doi.org/10.1/x"
+    assert ", ... A24 (2020)" in apa[2] and apa[3] == "Unknown (2020). T."
+    vancouver, acs = ([r[0] for r in rows.select(bibliography.entry(s, *(F.col(c) for c in "aytjd"))).collect()] for s in ("vancouver", "acs"))
+    assert vancouver[1] == "A, B. 2020. T. J. doi:10.1/x" and vancouver[0] == "A.. T." and vancouver[2].startswith("A0, A1, A2, A3, A4, A5, et al. 2020.")
+    assert acs[1] == "A; B. T. *J* **2020**. DOI: 10.1/x" and acs[0] == "A. T.."
+
+
+def test_markdown_structure(spark):
+    assert values(spark, text.strip_markdown(F.col("v")), ["a `code here` b_c __x__ **y** [l](u)"]) == ["a  bc x y l"]
+    assert values(spark, text.escape_latex(F.col("v")), ["a^b_~"]) == [r"a\^{}b\_\textasciitilde{}"]
+    rows = values(spark, metrics.structure(F.col("v")), ["# One\na b\n## Two\nc d e f [1] [1] (Smith et al., 2020)", "plain words only", " ", None])
+    assert [(r.words, r.sections, r.citations, r.avg_section, r.cv_section) for r in rows] == [(14, 2, 2, 7.0, 0.8081), (3, 1, 0, 3.0, 0.0), (0, 0, 0, 0.0, 0.0), (0, 0, 0, 0.0, 0.0)]
+
+
+def test_merge_of_authors_and_ids(spark):
+    rows = [(0, "A", "10.1/x", "s1", [], {"pmid": "1"}, None), (1, "A", "10.1/x", "s2", ["Z"], {"pmid": "2", "s2": "q"}, "J")]
+    got = dedup.merge_papers(spark.createDataFrame(rows, "pos int, title string, doi string, source_database string, authors array<string>, external_ids map<string,string>, journal string")).first()
+    assert (got.authors, got.external_ids, got.journal) == (["Z"], {"pmid": "1", "s2": "q"}, "J")
+
+
+def test_outline_of_any_depth(spark):
+    rows = [("d", i, i - 1 if i else None, i) for i in range(15)]
+    got = trees.outline(spark.createDataFrame(rows, "doc string, section int, parent int, pos int")).orderBy("place").collect()
+    assert [(r.section, r.depth) for r in got] == [(i, i + 1) for i in range(15)]
+
+
+def test_themes_in_texts(spark):
+    rows = spark.createDataFrame([(1, "on a big red dog here"), (2, "a big  red dog"), (3, None)], "id int, t string")
+    themes = spark.createDataFrame([("big red dog",), ("no such theme",)], "theme string")
+    assert [tuple(r) for r in joins.containing(rows, themes, "id", "t", "theme").collect()] == [(1, "big red dog")]
 
 
 def test_dag(spark):
     edges = spark.createDataFrame([("a", None), ("b", "a"), ("c", "a"), ("d", "b"), ("d", "c")], "node string, dep string")
-    assert {r.node: r.level for r in trees.dag_levels(spark, edges, 9).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
-    assert {r.node for r in trees.downstream(spark, edges, "b", 9).collect()} == {"b", "d"}
+    assert {r.node: r.level for r in trees.dag_levels(edges).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
+    assert {r.node for r in trees.downstream(edges, spark.createDataFrame([("b",)], "node string")).collect()} == {"b", "d"}
+    with pytest.raises(ValueError, match="cycle"):
+        trees.dag_levels(spark.createDataFrame([("r", None), ("a", "b"), ("b", "a")], "node string, dep string"))
     with pytest.raises(ValueError, match="cycle"):
         trees.check_dag([("a", "b"), ("b", "a")])
     with pytest.raises(ValueError, match="unknown"):
@@ -210,8 +241,7 @@ def test_records(spark):
 def test_recorded_source(spark, tmp_path):
     for q in ("a", "b"):
         (tmp_path / f"{q}.jsonl").write_text("".join(f'{{"title": "{q}{i}"}}\n' for i in range(30)))
-    spark.dataSource.register(RecordedSource)
-    rows = spark.read.format("recorded").option("path", str(tmp_path)).option("max_results", 50).load()
+    rows = recorded(spark, str(tmp_path), 50)
     assert rows.groupBy("query").count().orderBy("query").collect() == [("a", 25), ("b", 25)]
 
 
@@ -228,10 +258,10 @@ def test_resolution_compares_whole_titles(spark, tmp_path):
     from scholium.plans import corpus
 
     start = "measured growth rates under repeated seasonal drought across many northern river basins"
-    texts = {1: (f"{start} alpha", "src0"), 2: (f"{start} omega", "src0"), 4: (f"{start} omega", "src1"), 6: (f"{start} zebra quilting njord", "src1"), 9: (f"{start} omega", "src1"), 12: ("nothing shared here", "src1"), 15: (f"{start} omega kappa", "src0")}
+    texts = {1: (f"{start} alpha", "src0"), 2: (f"{start} omega", "src0"), 4: (f"{start} omega", "src2"), 6: (f"{start} zebra quilting njord", "src2"), 9: (f"{start} omega", "src2"), 12: ("nothing shared here", "src2"), 15: (f"{start} omega kappa", "src0")}
     spark.createDataFrame([(i, x, s, len(x)) for i, (x, s) in texts.items()], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in texts], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    want, in_order = {}, lambda x: " ".join(sorted(x.split()))
+    want, in_order = {}, lambda x: x.lower()
     for i, (text, source) in texts.items():
         if source != "src0":
             score, paper = max((joins.indel_ratio(in_order(text), in_order(x)), -k) for k, (x, s) in texts.items() if s == "src0")
