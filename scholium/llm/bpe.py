@@ -35,7 +35,7 @@ from scholium.llm.words import lean
 
 LONG_CHARS = 65_536
 PIECE_CHARS = 32_768
-CACHED_UNITS = 150_000
+CACHED_UNITS = 80_000
 #: Longer than every added token of the vocabulary, in characters.
 MARGIN = 32
 #: Separators for str.split() that the tokenizers' own \s does not know.
@@ -88,8 +88,8 @@ class Codec:
         if len(new) + len(self.ids) > CACHED_UNITS:
             self.forget()
             new = list(units)
-        for start in range(0, len(new), 20_000):
-            some = new[start : start + 20_000]
+        for start in range(0, len(new), 4_000):
+            some = new[start : start + 4_000]
             for unit, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 ids = found.ids
                 self.ids[unit] = array("I", ids).tobytes()
