@@ -27,6 +27,19 @@ def test_impure_template_is_rejected(spark):
     assert all(got[i] == ("block" if i < 60 else "allow") for i in range(200))
 
 
+def test_bad_sections_among_many_and_deep_ones(spark):
+    good = [f"http://h.com/dir{chr(97 + i % 26)}{chr(97 + i // 26)}/a/{k}" for i in range(40) for k in range(10)]
+    bad = [f"http://h.com/bad/x/{k}" for k in range(30)]
+    deep = [f"http://d.com/a/b/c/d/{'spam' if k % 2 else 'fine'}/{k}" for k in range(120)]
+    rows = good + bad + deep
+    pages = spark.createDataFrame([(i, f"{u.rsplit('/', 1)[0]}/{i}") for i, u in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int("/bad/" not in u and "/spam/" not in u), 0) for i, u in enumerate(rows)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: (r.verdict, r.template) for r in urls.judge(pages, labels).collect()}
+    for i, u in enumerate(rows):
+        assert got[i][0] == ("block" if "/bad/" in u or "/spam/" in u else "allow")
+    assert got[0][1] == "h.com/*/a/{n}" and got[len(good)][1] == "h.com/bad/x/{n}"
+
+
 def test_topk_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, None), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0]), (8, [-1.0, -2.0]), (100, [1e15, -1e15]), (200, [])]
