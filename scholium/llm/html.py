@@ -1,23 +1,24 @@
 """Main text of HTML pages, with the removal of site templates.
 
-A page is scanned once into blocks of text. Every block-level element outside
-the main content, and every link list inside it, is a template candidate: the
-hash of its subtree is counted over the pages of its host, in Spark, and what
-recurs in at least ``MANY_PAGES`` pages and ``MANY_SHARE`` of all pages of a
-host is deleted with all its text. Pages with the same text count as one, so
-that copies of an article are no evidence of a template.
+A page is scanned once into blocks of text. Every block-level element is a
+template candidate: the hash of its subtree (tags, attributes and text) is
+counted over the pages of its host, in Spark, and what recurs in at least
+``MANY_PAGES`` pages and ``MANY_SHARE`` of all pages of a host is deleted with
+all its text, inside an article as well. Pages with the same text count as one,
+so that copies of an article are no evidence of a template.
 Scripts, forms, navigation, notices, adverts and comments go by their tags,
 roles and class names, for hosts with too few pages to count. Where a page
 marks its article (article, main, role=main), the text is what lies in it.
 
-Only pages whose remaining blocks lie in a candidate wait for the counts; the
-text of the others is final after the scan and is never shuffled.
+What the scan finds is written and read back: the page itself is read once. The
+scan takes time in proportion to the page, however deep or broken it is.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,10 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholium.llm.words import lean
 from scholium.session import materialise
 
 MANY_PAGES = 5
 MANY_SHARE = 0.5
+#: Tags with unbalanced quotes after which a page's tags are taken to end at the next >, whatever is quoted.
+BROKEN_TAGS = 100
 
 # fixed values: element names and class words
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "object", "canvas", "title"}
@@ -52,11 +56,12 @@ SCOPES = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "body"
 
 
 class Element:
-    __slots__ = ("candidate", "chrome", "inner", "inside", "links", "main", "start", "tag", "wraps")
+    __slots__ = ("candidate", "chrome", "digest", "inner", "links", "main", "tag", "wraps")
 
-    def __init__(self, tag: str, start: int, chrome: bool, main: bool, inside: bool):
-        self.tag, self.start, self.chrome, self.main, self.inside = tag, start, chrome, main, inside
+    def __init__(self, tag: str, attributes: str, chrome: bool, main: bool):
+        self.tag, self.chrome, self.main = tag, chrome, main
         self.candidate, self.wraps, self.links, self.inner = -1, False, 0, 0
+        self.digest = xxhash.xxh3_64(f"<{tag} {' '.join(attributes.split())}>".encode("utf-8", "surrogatepass"))
 
 
 def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
@@ -75,12 +80,15 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
 
 
 class Scan:
-    """Blocks of a page, each with the candidates it lies in."""
+    """Blocks of a page, each with the innermost candidate that it lies in; candidates with their parents and hashes."""
 
     def __init__(self, page: str):
         self.page, self.stack, self.blocks, self.parts = page, [], [], []
-        self.candidates: list[int | None] = []
-        self.has_main = False
+        self.parents: list[int] = []
+        self.hashes: list[int | None] = []
+        self.inner_candidate, self.has_main = -1, False
+        self.open_tags: Counter[str] = Counter()
+        self.n_chrome = self.n_main = 0
         self._run()
 
     def _flush(self) -> None:
@@ -88,57 +96,89 @@ class Scan:
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                chrome = any(e.chrome for e in self.stack)
-                main = any(e.main for e in self.stack)
-                self.has_main |= main and not chrome
-                self.blocks.append((text, chrome, main, [e.candidate for e in self.stack if e.candidate >= 0]))
+                self.has_main |= self.n_main > 0 and not self.n_chrome
+                self.blocks.append((text, self.n_chrome > 0, self.n_main > 0, self.inner_candidate))
 
     def _text(self, raw: str) -> None:
         if raw:
             self.parts.append(entities.unescape(raw) if "&" in raw else raw)
-            size = len(raw.strip())
-            linked = any(e.tag == "a" for e in self.stack)
-            for e in self.stack:
-                e.inner += size
-                e.links += size * linked
-
-    def _open(self, tag: str, attributes: str, at: int) -> None:
+            if self.stack and (words := raw.split()):
+                top = self.stack[-1]
+                plain = " ".join(words)
+                top.digest.update(plain.encode("utf-8", "surrogatepass"))
+                top.inner += len(plain)
+                if self.open_tags["a"]:
+                    top.links += len(plain)
+
+    def _open(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
             self._flush()
         ends = CLOSES.get(tag) or ({"p"} if tag in BLOCK else ())
-        if ends:
+        if any(self.open_tags[t] for t in ends):
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k].tag in ends:
-                    self._close_to(k, at)
+                    self._close_to(k)
                     break
                 if self.stack[k].tag in SCOPES:
                     break
         chrome, main = _marks(tag, attributes) if attributes.strip() else (tag in CHROME, tag in ("article", "main"))
-        inside = any(e.main for e in self.stack)
-        if tag == "header" and not inside:
+        if tag == "header" and not self.n_main:
             chrome = True
-        element = Element(tag, at, chrome, main, inside)
-        if main and not chrome:
-            for e in self.stack:
-                e.wraps = True
+        element = Element(tag, attributes, chrome, main)
         if tag in CONTAINERS and not main:
-            element.candidate = len(self.candidates)
-            self.candidates.append(None)
+            element.candidate = len(self.hashes)
+            self.hashes.append(None)
+            self.parents.append(self.inner_candidate)
+            self.inner_candidate = element.candidate
         self.stack.append(element)
+        self.open_tags[tag] += 1
+        self.n_chrome += chrome
+        self.n_main += main
 
-    def _close_to(self, k: int, at: int) -> None:
-        """End the elements from the k-th on; the last ends at ``at``."""
+    def _close_to(self, k: int) -> None:
+        """End the elements from the k-th on."""
         self._flush()
-        for e in reversed(self.stack[k:]):
-            if e.candidate >= 0 and not e.wraps and e.inner and (not e.inside or 2 * e.links > e.inner):
-                self.candidates[e.candidate] = xxhash.xxh64_intdigest(" ".join(self.page[e.start : at].split())) - (1 << 63)
-        del self.stack[k:]
+        while len(self.stack) > k:
+            e = self.stack.pop()
+            self.open_tags[e.tag] -= 1
+            self.n_chrome -= e.chrome
+            self.n_main -= e.main
+            own = e.digest.intdigest() - (1 << 63)
+            if e.candidate >= 0:
+                self.inner_candidate = self.parents[e.candidate]
+                if e.inner and not e.wraps:
+                    self.hashes[e.candidate] = own
+            if self.stack:
+                above = self.stack[-1]
+                above.digest.update(own.to_bytes(8, "little", signed=True))
+                above.inner += e.inner
+                above.links += e.links
+                above.wraps |= e.wraps or (e.main and not e.chrome)
+
+    def _end(self, tag: str) -> None:
+        if not self.open_tags[tag]:
+            return
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k].tag == tag:
+                if tag in BLOCK:
+                    self._close_to(k)
+                else:
+                    self._close_inline(k)
+                return
+            if tag not in BLOCK and self.stack[k].tag in BLOCK:
+                return  # it ends with the block around
+
+    def _close_inline(self, k: int) -> None:
+        parts, self.parts = self.parts, []
+        self._close_to(k)
+        self.parts = parts
 
     def _run(self) -> None:
         page, at, size = self.page, 0, len(self.page)
+        last, broken = page.rfind(">"), 0
         while at < size:
             start = page.find("<", at)
-            if start < 0:
+            if start < 0 or start > last and not page.startswith(("<!", "<?"), start):
                 break
             self._text(page[at:start])
             if page.startswith("<!--", start):
@@ -149,20 +189,17 @@ class Scan:
                 end = page.find(">", start)
                 at = size if end < 0 else end + 1
                 continue
-            m = TAG.match(page, start) or LOOSE_TAG.match(page, start)
+            m = TAG.match(page, start) if broken < BROKEN_TAGS else None
+            if not m:
+                m = LOOSE_TAG.match(page, start)
+                broken += bool(m)
             if not m:
                 self._text("<")
                 at = start + 1
                 continue
             closing, tag, at = m[1], m[2].lower(), m.end()
             if closing:
-                for k in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[k].tag == tag:
-                        if tag in BLOCK:
-                            self._close_to(k, at)
-                        else:
-                            del self.stack[k]
-                        break
+                self._end(tag)
             elif tag in RAW:
                 end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.IGNORECASE).search(page, at)
                 at = end.end() if end else size
@@ -174,16 +211,21 @@ class Scan:
             elif m[3].endswith("/") and tag not in BLOCK:
                 pass
             else:
-                self._open(tag, m[3], start)
-        else:
-            self._close_to(0, size)
-            return
+                self._open(tag, m[3])
         self._text(page[at:])
-        self._close_to(0, size)
+        self._close_to(0)
 
-    def kept(self) -> list[tuple[str, list[int]]]:
-        """Text and candidate hashes of the blocks that tags and names leave."""
-        return [(text, [h for c in inside if (h := self.candidates[c]) is not None]) for text, chrome, main, inside in self.blocks if not chrome and (main or not self.has_main)]
+    def kept(self) -> list[tuple[str, int]]:
+        """Text and innermost candidate of the blocks that tags and names leave."""
+        return [(text, inside) for text, chrome, main, inside in self.blocks if not chrome and (main or not self.has_main)]
+
+
+def left_of(texts: list[str], inside: list[int], parents: list[int], hashes: list[int | None], gone: set[int]) -> str:
+    """The text without blocks that lie in a candidate whose hash is gone, or in one below it."""
+    dropped = []
+    for parent, h in zip(parents, hashes, strict=True):  # parents come first
+        dropped.append(h in gone or (parent >= 0 and dropped[parent]))
+    return "\n".join(t for t, c in zip(texts, inside, strict=True) if c < 0 or not dropped[c])
 
 
 def host_of(url: str | None) -> str:
@@ -195,46 +237,43 @@ def extract(pages: DataFrame, many: int = MANY_PAGES, share: float = MANY_SHARE)
     """Main text of each page: page_id, url, text.
 
     A null or empty page has an empty text, and so has one without text of its
-    own. Repeated rows each give a row (and count as one page of their host). If
-    recurring templates would leave nothing of a page, its text stays as the
-    tags and names leave it. Columns other than page_id, url and html are not
-    read.
+    own. Repeated rows each give a row (and count as one page of their host).
+    Columns other than page_id, url and html are not read.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     kind = pages.schema["page_id"].dataType.simpleString()
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, contents, found = [], [], []
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                scan = Scan(page)
-                own = [None, *{h for h in scan.candidates if h is not None}]  # null: the page itself
-                found += own
-                hosts += [host_of(url)] * len(own)
-                contents += [xxhash.xxh64_intdigest("\n".join(t for t, _ in scan.kept()).encode("utf-8", "surrogatepass")) - (1 << 63)] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), pa.array(found, pa.int64())], ["host", "content", "hash"])
-
-    block = pa.list_(pa.struct([("text", pa.string()), ("hashes", pa.list_(pa.int64()))]))
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 500):
                 some = batch.slice(start, 500)
-                kept = [[{"text": t, "hashes": h} for t, h in Scan(page).kept()] for page in some.column("html").to_pylist()]
-                hosts = pa.array([host_of(u) for u in some.column("url").to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), hosts, pa.array(kept, block)], ["page_id", "url", "host", "blocks"])
-
-    scanned = rows.mapInArrow(blocks, f"page_id {kind}, url string, host string, blocks array<struct<text:string,hashes:array<long>>>")
-    open_blocks = F.exists("blocks", lambda b: F.size(b["hashes"]) > 0)
-    joined = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
-    final = scanned.filter(~open_blocks).select("page_id", "url", joined(F.col("blocks")).alias("text"))
-
-    counted = rows.mapInArrow(hashes, "host string, content long, hash long").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages"))
-    counted = materialise(counted.filter(F.col("pages") >= many))
-    whole = counted.filter(F.col("hash").isNull()).select("host", F.col("pages").alias("all_pages"))
-    templates = counted.filter(F.col("hash").isNotNull()).join(whole, "host").filter(F.col("pages") >= share * F.col("all_pages")).select("host", "hash")
-    waiting = scanned.filter(open_blocks).withColumn("row", F.xxhash64("page_id", "url", "blocks"))
-    gone = waiting.select("row", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["hashes"])))).alias("hash")).distinct().join(templates, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))
-    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["hashes"], F.coalesce(F.col("gone"), F.array().cast("array<long>"))))
-    cleared = waiting.join(gone, "row", "left").withColumn("left", left).select("page_id", "url", joined(F.when(F.size("left") > 0, F.col("left")).otherwise(F.col("blocks"))).alias("text"))
+                hosts, contents, found = [], [], []
+                for url, page in zip(some.column("url").to_pylist(), some.column("html").to_pylist(), strict=True):
+                    made = Scan(page)
+                    kept = made.kept()
+                    texts = [t for t, _ in kept]
+                    inner = any(c >= 0 for _, c in kept)  # else no template can take anything
+                    hosts.append(host_of(url))
+                    contents.append(xxhash.xxh3_64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass")) - (1 << 63))
+                    found.append((texts, [c for _, c in kept], made.parents if inner else [], made.hashes if inner else []))
+                lists = [pa.array([f[k] for f in found], pa.list_(t)) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(hosts, pa.string()), pa.array(contents, pa.int64()), *lists], ["page_id", "url", "host", "content", "texts", "inside", "parents", "hashes"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [left_of(r["texts"], r["inside"], r["parents"], r["hashes"], set(r["gone"])) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    scanned = rows.mapInArrow(lean(scan), f"page_id {kind}, url string, host string, content long, texts array<string>, inside array<int>, parents array<int>, hashes array<long>")
+    scanned = materialise(scanned.withColumn("row", F.monotonically_increasing_id()))
+
+    own = F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))
+    met = scanned.filter(F.size("hashes") > 0).select("row", "host", "content", F.explode(own).alias("hash"))
+    whole = scanned.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
+    counted = met.select("host", "content", "hash").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= many)
+    templates = materialise(counted.join(whole, "host").filter(F.col("pages") >= share * F.col("all_pages")).select("host", "hash"))
+    gone = materialise(met.select("row", "host", "hash").join(templates, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone")))
+    marked = scanned.join(gone, "row", "left")
+    final = marked.filter(F.col("gone").isNull()).select("page_id", "url", F.array_join("texts", "\n").alias("text"))
+    cleared = marked.filter(F.col("gone").isNotNull()).select("page_id", "url", "texts", "inside", "parents", "hashes", "gone").mapInArrow(lean(cut), f"page_id {kind}, url string, text string")
     return final.unionByName(cleared)

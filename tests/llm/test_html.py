@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 from scholium.llm import html, queries
 
@@ -25,7 +26,7 @@ def test_templates_are_counted_per_host(spark):
     got = {r.page_id: r.text for r in html.extract(pages).collect()}
     assert [got[i] for i in range(6)] == [f"Story number {i}" for i in range(6)]
     assert got[10] == "Site motto\nElse"
-    assert got[11] == "" and got[12] == "" and got[13] == "Site motto"
+    assert got[11] == "" and got[12] == "" and got[13] == ""
     assert html.extract(pages).count() == len(rows)
     assert html.extract(pages.limit(0)).collect() == []
 
@@ -47,6 +48,21 @@ def test_copies_without_article_are_no_template(spark):
     assert all(got[40 + i] == f"Version {i}\nshared" for i in range(6))
 
 
+def test_template_inside_the_article(spark):
+    rows = [(i, "http://h.org/x", f"<article><h1>Title {i}</h1><div class='x'>Read <b>this</b> first</div><p>Body {i}</p></article>") for i in range(8)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nBody {i}" for i in range(8)}
+
+
+def test_time_grows_with_the_page():
+    for n in (2_000, 32_000):
+        began = time.process_time()
+        for page in ("<div>x" * n, "<a href=\"x " * n, "<b>" * n + "<i>" * n + "</b>" * n, "<span>" * n + "<h1>y" * n, "<p><b>" * n, "<main>" * n, "<ul><li>z" * n, "<x y='" * n + ">"):
+            html.Scan(page)
+        took = time.process_time() - began
+    assert took < 20
+
+
 def test_long_and_odd_pages(spark):
     odd = ["<" * 20_000, "<p>" * 20_000 + "x", "<a href='" * 300, "<div>" * 3_000 + "deep", "&#x110000; &bad; &amp"]
     pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(odd)], "page_id long, url string, html string")
