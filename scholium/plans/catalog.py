@@ -1,6 +1,6 @@
 """All queries for the reference's own operators."""
 
-from scholium.plans import corpus, measures, sequences, texts
+from scholium.plans import corpus, drafts, measures, sequences, texts
 from scholium.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "measures", "sequences", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "drafts", "measures", "sequences", "texts"]
