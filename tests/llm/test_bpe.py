@@ -1,10 +1,12 @@
+import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from scholium.llm import bpe
+from scholium.llm import bpe, queries
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["", " \n\t", "Hello World's it'll 12345 !!?", "ünïcödé été  x y\x1cz", "<|endoftext|> a<|startoftext|>b", "ΑΣ ΣΑΣ İstanbul 你好世界 한국어 🙂👍🏽", "a" * 300]
@@ -48,3 +50,23 @@ def test_operator_equals_library(spark, library):
 
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_query_on_documents(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op1_bpe(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == texts.keys()
+    for k, t in texts.items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert got[k] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
+def test_words_are_cut_as_the_library_cuts_them():
+    rnd = random.Random(2)
+    codec = bpe.Codec.of(public_tokenizers.path("word_bpe_49k.json"))
+    parts = [chr(i) for i in range(0x20, 0x500)] + ["'s", "'ll", "'RE", "n't", "<|", "<|endoftext|>", "İ", "Σ", "ς", "́", "ﬁ", "²", "½", "\t", "\n", "…", "’"] * 15
+    for _ in range(1500):
+        text = "".join(rnd.choices(parts, k=rnd.choice([1, 3, 8, 20])))
+        ids = codec.tokenizer.encode(text, add_special_tokens=False).ids
+        assert codec.encode_all([text]) == ([np.array(ids, "<u4").tobytes()], [codec.tokenizer.decode(ids, skip_special_tokens=False)])

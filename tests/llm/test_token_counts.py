@@ -2,7 +2,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from scholium.llm import token_counts
+from scholium.llm import queries, token_counts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TEXTS = ["", "\n", "one line", "a\nb\n\nc\n", "été\n漢字 🙂👍🏽\nx  \n  y", "no break " * 30, "tail\n", "\n\n\n\n a\n\n\nb", "x" * 5000]
@@ -32,3 +32,14 @@ def test_against_the_library(spark, rule):
         assert "".join(text[r.start : r.stop] for r in own) == text
     assert [(r.section, r.n_tokens) for r in rows if r.doc_id is None] == [(0, 0)]
     assert token_counts.count_sections(docs.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
+
+
+def test_query_on_documents(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    made, _ = token_counts.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows, lines = {}, {}
+    for r in queries.op5_token_counts(spark, "/root/testdata/sf0.001").collect():
+        rows[r.doc_id] = rows.get(r.doc_id, 0) + r.n_tokens
+        lines[r.doc_id] = lines.get(r.doc_id, 0) + 1
+    assert rows == {k: len(made.encode_ordinary(t)) for k, t in texts.items()}
+    assert all(lines[k] == max(1, len(t.split("\n")) - t.endswith("\n")) for k, t in texts.items())
