@@ -35,7 +35,7 @@ from scholium.llm.words import lean
 
 LONG_CHARS = 65_536
 PIECE_CHARS = 32_768
-CACHED_UNITS = 80_000
+CACHED_UNITS = 120_000
 #: Longer than every added token of the vocabulary, in characters.
 MARGIN = 32
 #: Separators for str.split() that the tokenizers' own \s does not know.
