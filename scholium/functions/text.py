@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: words ignored when titles are matched
-STOPWORDS = ("a", "an", "the", "of", "in", "on", "for", "and", "or", "to", "with", "by", "from", "at", "is", "are", "as", "its", "their")
+STOPWORDS = ("a", "an", "the", "of", "in", "on", "at", "to", "for", "and", "or", "with", "by", "from", "that", "this", "is", "was", "are")
 
 
 def _unaccented() -> tuple[str, str]:

@@ -46,8 +46,10 @@ def citation_numbers(texts: DataFrame, doc: str, text: str) -> DataFrame:
     return first.withColumn("number", F.row_number().over(Window.partitionBy(doc).orderBy("first_at")))
 
 
-def continued_lines(lines: DataFrame, doc: str, no: str, line: str, start: str) -> DataFrame:
-    """Entries of each document: a line that matches ``start`` begins one, the others go on with it; lines before the first are dropped."""
+def continued_lines(lines: DataFrame, doc: str, no: str, line: str, start: str, skip: str | None = None) -> DataFrame:
+    """Entries of each document: a line that matches ``start`` begins one, the others go on with it; lines before the first are dropped, and those that match ``skip`` and begin none."""
+    if skip:
+        lines = lines.filter(F.col(line).rlike(start) | ~F.col(line).rlike(skip))
     order = Window.partitionBy(doc).orderBy(no)
     marked = lines.withColumn("entry", F.count_if(F.col(line).rlike(start)).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("entry > 0")
     parts = F.array_sort(F.collect_list(F.struct(F.col(no).alias("no"), F.trim(F.col(line)).alias("part"))))

@@ -78,3 +78,20 @@ def outline(sections: DataFrame) -> DataFrame:
 
     found = _levels(top, step)
     return found.select("doc", "section", "depth", F.row_number().over(Window.partitionBy("doc").orderBy("path")).alias("place"))
+
+
+def assemble(documents: DataFrame, sections: DataFrame, drafts: DataFrame) -> DataFrame:
+    """doc and draft: the title, then each section's heading (one mark deeper than its depth) and text, in outline order.
+
+    documents: doc, title; sections: as for ``outline``, with title; drafts:
+    doc, section, text. A section without a draft has a heading only if one
+    straight below it has a draft.
+    """
+    above = sections.join(drafts.select("doc", "section"), ["doc", "section"], "left_semi").select("doc", F.col("parent").alias("section"), F.lit(True).alias("leads")).filter("section IS NOT NULL").distinct()
+    rows = outline(sections).join(sections.select("doc", "section", "title"), ["doc", "section"]).join(drafts, ["doc", "section"], "left").join(above, ["doc", "section"], "left")
+    heading = F.concat(F.repeat(F.lit("#"), F.col("depth") + 1), F.lit(" "), "title")
+    part = F.when(F.col("text") != "", F.concat(heading, F.lit("\n\n"), "text")).when(F.col("text").isNotNull() | F.col("leads"), heading)
+    parts = F.array_sort(F.collect_list(F.when(part.isNotNull(), F.struct("place", part.alias("part")))))
+    bodies = rows.groupBy("doc").agg(F.transform(parts, lambda p: p["part"]).alias("parts"))
+    whole = F.concat(F.array(F.concat(F.lit("# "), "title", F.lit("\n"))), F.coalesce("parts", F.array().cast("array<string>")))
+    return documents.join(bodies, "doc", "left").select("doc", F.array_join(whole, "\n\n").alias("draft"))

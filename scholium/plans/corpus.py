@@ -191,7 +191,7 @@ def benchmark_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(have, "key", "left").groupBy("source").agg(F.count(F.lit(1)).alias("refs"), F.count("hit").alias("hits"), F.round(share, 4).alias("recall"), F.when(share < 0.5, "warning").otherwise("passed").alias("status"))
 
 
-TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace({c}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda w: length(w) > 1 AND w NOT IN ('a','an','the','of','in','on','for','and','or','to','with','by','from','at','is','are','as','its','their')))"
+TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace({c}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda w: length(w) > 1 AND w NOT IN ('a','an','the','of','in','on','at','to','for','and','or','with','by','from','that','this','is','was','are')))"
 
 
 @query(f"""WITH d AS (SELECT doc_id, {TOKENS.format(c="split_part(text, chr(10), 1)")} AS x FROM documents), b AS (SELECT item_id, {TOKENS.format(c="text")} AS y FROM benchmark),

@@ -129,10 +129,10 @@ def resolution_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy(confidence.alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT l_partkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) AS themes, count(*) AS n FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY 1")
+@query("SELECT l_partkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) AS themes, count(*) AS n FROM lineitem GROUP BY 1")
 def theme_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers to themes, from themes to papers."""
-    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    """Papers to themes, from themes to papers, repeats kept."""
+    pairs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("l_suppkey")), lambda x: x.cast("string")), ",")
     return pairs.groupBy("l_partkey").agg(joined.alias("themes"), F.count(F.lit(1)).alias("n"))
 

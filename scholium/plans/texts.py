@@ -26,7 +26,7 @@ def inverted_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, array_to_string(list_sort(list_filter(regexp_split_to_array(lower(regexp_replace(split_part(text, chr(10), 1), '[^\p{L}\p{N}_\s]', ' ', 'g')), '\s+'),
-    lambda w: length(w) > 1 AND w NOT IN ('a','an','the','of','in','on','for','and','or','to','with','by','from','at','is','are','as','its','their'))), ' ') AS tokens FROM documents""")
+    lambda w: length(w) > 1 AND w NOT IN ('a','an','the','of','in','on','at','to','for','and','or','with','by','from','that','this','is','was','are'))), ' ') AS tokens FROM documents""")
 def match_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles as sorted words for matching."""
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.match_tokens(F.split_part("text", F.lit("\n"), F.lit(1))), " ").alias("tokens"))
