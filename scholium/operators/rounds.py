@@ -104,3 +104,19 @@ def directives(sections: DataFrame, configured: DataFrame, key: str, pos: str) -
     """Sections with the directive of their id, the last one where several have it; none where no one has."""
     last = configured.groupBy(key).agg(F.max_by("directive", pos).alias("directive"))
     return sections.join(last, key, "left")
+
+
+def expansion_round(sections: DataFrame, found: DataFrame, corpus: DataFrame, review: str) -> DataFrame:
+    """Sections with the new papers of an expansion: every section that asked gets all new papers of its review.
+
+    sections: review, section, asked, papers (a list); found: review, pos, id,
+    doi; corpus: review, doi. Papers whose DOI the review has are dropped,
+    those without one stay. The papers are listed once for each review, in the
+    order found, and a section takes those that it does not have.
+    """
+    key = F.when(F.trim("doi") != "", F.concat_ws("|", F.col(review).cast("string"), F.lower(F.trim("doi"))))
+    fresh = only_new(found.withColumn("_doi", key), corpus.withColumn("_doi", key), "_doi")
+    first = fresh.groupBy(review, "id").agg(F.min("pos").alias("pos"))
+    new = first.groupBy(review).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("_new"))
+    whole = F.when(F.col("asked") & F.col("_new").isNotNull(), appended(F.col("papers"), F.col("_new"))).otherwise(F.col("papers"))
+    return sections.join(new, review, "left").withColumn("papers", whole).drop("_new")

@@ -162,3 +162,21 @@ def assembled_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     drafts = turns.filter("turn % 3 = 0").select(F.col("conv_id").alias("doc"), F.col("turn").alias("section"), F.md5("text").alias("text"))
     titles = turns.select(F.col("conv_id").alias("doc")).distinct().withColumn("title", F.concat(F.lit("Review "), F.col("doc").cast("string")))
     return trees.assemble(titles, sections, drafts)
+
+
+@query("""WITH l AS (SELECT o_custkey AS c, l_orderkey AS o, l_linenumber AS n, l_suppkey AS s, l_partkey % 300 AS id, l_returnflag AS f, CASE WHEN l_partkey % 4 <> 0 THEN '10.1/a' || l_partkey % 300 END AS doi FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+k AS (SELECT c, id, row_number() OVER (PARTITION BY c ORDER BY min((o, n, s)), id) AS p FROM l WHERE f = 'R' AND NOT EXISTS (SELECT 1 FROM l x WHERE x.c = l.c AND x.f = 'N' AND x.doi = l.doi) GROUP BY c, id),
+h AS (SELECT o, id, 0 AS part, row_number() OVER (PARTITION BY o ORDER BY n, s, id) AS p FROM l WHERE f = 'N'),
+u AS (SELECT * FROM h UNION ALL SELECT o_orderkey, id, 1, p FROM orders JOIN k ON c = o_custkey WHERE o_orderkey % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM h WHERE h.o = o_orderkey AND h.id = k.id))
+SELECT o_orderkey, coalesce((SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY part, p) FROM u WHERE o = o_orderkey), '') AS papers FROM orders""")
+def corpus_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of reviews with the papers that an expansion of the corpus finds."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("review"), F.col("o_orderkey").alias("section"))
+    pos = F.struct("l_orderkey", "l_linenumber", "l_suppkey")
+    paper = F.col("l_partkey") % 300
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("section"), pos.alias("pos"), paper.alias("id"), F.when(F.col("l_partkey") % 4 != 0, F.concat(F.lit("10.1/A"), paper.cast("string"))).alias("doi"), "l_returnflag")
+    known, found = lines.filter("l_returnflag = 'N'"), lines.filter("l_returnflag = 'R'").join(orders, "section")
+    have = known.groupBy("section").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("papers"))
+    sections = orders.join(have, "section", "left").select("review", "section", (F.col("section") % 3 != 0).alias("asked"), F.coalesce("papers", F.array().cast("array<bigint>")).alias("papers"))
+    done = rounds.expansion_round(sections, found, known.join(orders, "section"), "review")
+    return done.select(F.col("section").alias("o_orderkey"), joined(F.col("papers")).alias("papers"))

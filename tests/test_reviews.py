@@ -7,6 +7,7 @@ from scholium.functions import references
 from scholium.functions.text import STOPWORDS
 from scholium.operators import answers, matching, rounds, trees
 from scholium.operators.joins import indel_ratio
+from scholium.sources import snapshots
 
 
 def norm(ref):
@@ -95,3 +96,19 @@ def test_assembled_draft(spark):
     got = {r.doc: r.draft for r in trees.assemble(documents, sections, drafts).collect()}
     assert got[1] == "# T\n\n\n## A\n\n### B\n\ntext b\n\n### D\n\n#### E\n\ntext e"
     assert got[2] == "# U\n"
+
+
+def test_snapshots(spark, tmp_path):
+    papers = spark.createDataFrame([(1, "s2", "long"), (2, "s1", None), (3, "s2", None)], "id int, source_database string, full_text string")
+    folder = str(tmp_path / "snap")
+    snapshots.save({"papers": papers}, folder, "search", "20200101T000000")
+    path = snapshots.save({"papers": papers.filter("id > 1")}, folder, "screening", "20200102T000000")
+    got = snapshots.latest(spark, folder)["papers"]
+    assert path.endswith("20200102T000000_screening") and got.columns == ["id", "source_database"] and sorted(r.id for r in got.collect()) == [2, 3]
+    assert [r.line for r in snapshots.search_summary(papers, "ok").collect()] == ["# search\n\n**Summary**: ok\n\n- Candidates: 3", "  - s1: 1", "  - s2: 2"]
+    assert [r.line for r in snapshots.search_summary(papers.limit(0), "ok").collect()] == ["# search\n\n**Summary**: ok\n\n- Candidates: 0"]
+    for run, body in (("run a", '{"model": "m", "input_tokens": 1000000, "output_tokens": 2000000}'), ("b", '{\n"input_tokens": 5}')):
+        (tmp_path / "runs" / run).mkdir(parents=True)
+        (tmp_path / "runs" / run / "token_usage.json").write_text(body)
+    got = {r.label: (r.model, r.tokens_in, r.cost) for r in snapshots.usage_costs(spark, f"{tmp_path}/runs/*/token_usage.json", [("m", 3.0, 15.0)]).collect()}
+    assert got == {"run a": ("m", 1000000, 33.0), "b": ("unknown", 5, 0.0)}
