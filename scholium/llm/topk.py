@@ -1,12 +1,14 @@
 """Exact top-k inner products by columnar branch and bound.
 
-Vectors of integers are packed into blocks. A block of candidates meets a block
-of queries in a vertical layout: one group of dimensions at a time is
-accumulated for all candidates still alive. What the remaining dimensions can
-add is bounded by the product of the remaining norms; candidates whose bound
-lies under the k-th best lower bound for every query are compacted away before
-the next group. The queries go out as packed blocks of checked size, and the k
-best of each block of candidates are merged by Spark.
+Queries and candidates are dealt into blocks of bounded size, and every block of
+queries meets every block of candidates: a candidate travels once for each block
+of queries, a query once for each block of candidates. In a meeting one group of
+dimensions at a time is accumulated in a vertical layout. What the remaining
+dimensions can add is bounded by the product of the remaining norms; a pair
+whose bound lies under the query's k-th best score so far, or under its k-th
+best lower bound, is dropped. While many pairs live, candidates that none of
+the queries needs are compacted away; once few do, only the pairs that live are
+carried on. The k best of each meeting are merged by Spark.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 512
+QUERY_BLOCK = 256
 CANDIDATE_BLOCK = 8_192
 GROUP = 16
-#: Bytes of packed queries that one pass over the candidates may broadcast.
-BROADCAST_BYTES = 32 << 20
+#: Share of living pairs from which on pairs are carried in place of whole columns.
+SPARSE = 0.1
+#: Bytes of queries and of candidates, as 64-bit integers, that meet in one task, and those below which a block is not split further.
+QUERY_BYTES, CANDIDATE_BYTES, LEAST_BYTES = 16 << 20, 64 << 20, 1 << 20
 EXACT = 2.0**53
 
 
@@ -37,36 +41,65 @@ def integers(table: DataFrame, key: str = "vec_id", vector: str = "embedding", s
     return table.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite).select(F.col(key).alias("vec_id"), whole.alias("vec")).distinct()
 
 
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query index, candidate index and score of the k best of ``block`` for each query; ids equal to the query's are left out."""
+def rest_norms(vectors: np.ndarray) -> np.ndarray:
+    """Norm of each vector from each dimension on; the last column is 0."""
+    whole = np.zeros((len(vectors), vectors.shape[1] + 1))
+    whole[:, :-1] = np.sqrt(np.cumsum(vectors[:, ::-1].astype(np.float64) ** 2, axis=1)[:, ::-1])
+    return whole
+
+
+def best_of_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query index, candidate index and score of the pairs that may be among the k best, by query; ids equal to the query's are left out.
+
+    floor: for each query a score that k other candidates reach, or -inf.
+    """
     dims = queries.shape[1]
-    alive = np.arange(len(ids))
-    partial = np.zeros((len(queries), len(ids)), queries.dtype)
-    square = lambda x: np.cumsum((x[:, ::-1].astype(np.float64)) ** 2, axis=1)[:, ::-1]
-    rest_q, rest_c = square(queries), square(block)
+    rest_q, rest_c = rest_norms(queries), rest_norms(block)
+    # a little more than the exact product, so that rounding cannot hide a pair; other types than doubles hold integers that a double does not
+    loose = 0.0 if block.dtype == np.float64 else 1e-12
+    slack = lambda q, c, at: rest_q[q, at] * rest_c[c, at] * (1 + 1e-9) + loose * rest_q[q, 0] * rest_c[c, 0] + 1
+    alive, partial, stop, least = np.arange(len(ids)), np.zeros((len(queries), len(ids)), queries.dtype), 0, floor
+    rows = np.arange(len(queries))[:, None]
     own = query_ids[:, None] == ids[None, :]
-    for start in range(0, dims, GROUP):
-        stop = min(dims, start + GROUP)
+    keep = ~own
+    while stop < dims:
+        start, stop = stop, min(dims, stop + GROUP)
         partial += queries[:, start:stop] @ block[alive, start:stop].T
-        if stop == dims or len(alive) <= k + 1:
-            continue
-        # a little more than the exact product, so that rounding cannot hide a candidate
-        slack = np.sqrt(rest_q[:, stop])[:, None] * np.sqrt(rest_c[alive, stop])[None, :] * (1 + 1e-9) + 1
-        low = np.where(own[:, alive], -np.inf, partial.astype(np.float64) - slack)
-        kth = -np.partition(-low, k - 1, axis=1)[:, k - 1]
-        keep = ((partial + slack >= kth[:, None]) & ~own[:, alive]).any(axis=0)
-        if not keep.all():
-            alive, partial = alive[keep], partial[:, keep]
-    scores = partial
-    rows, columns, values = [], [], []
-    order = np.argsort(ids[alive], kind="stable")
-    for q in range(len(queries)):
-        some = order[~own[q, alive[order]]]
-        top = some[np.argsort(-scores[q, some], kind="stable")[:k]]
-        rows.append(np.full(len(top), q))
-        columns.append(alive[top])
-        values.append(scores[q, top])
-    return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
+        bound = slack(rows, alive[None, :], stop)
+        least = floor
+        if len(alive) >= k and np.isneginf(floor).any():
+            low = np.where(own[:, alive], -np.inf, partial.astype(np.float64) - bound)
+            least = np.maximum(floor, np.partition(low, len(alive) - k, axis=1)[:, len(alive) - k])
+        keep = ((partial + bound) >= least[:, None]) & ~own[:, alive]
+        if keep.mean() < SPARSE:
+            break
+        some = keep.any(axis=0)
+        if not some.all():
+            alive, partial, keep = alive[some], partial[:, some], keep[:, some]
+    q, column = np.nonzero(keep)
+    c, score = alive[column], partial[q, column]
+    while stop < dims:
+        start, stop = stop, min(dims, stop + GROUP)
+        score = score + (queries[q, start:stop] * block[c, start:stop]).sum(axis=1)
+        live = score + slack(q, c, stop) >= least[q]
+        q, c, score = q[live], c[live], score[live]
+    order = np.lexsort((ids[c], -score, q))
+    q, c, score = q[order], c[order], score[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < k], c[place < k], score[place < k]
+
+
+def best_of_blocks(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """query index, candidate index and score, block after block; a block's k-th best scores bound the next."""
+    floor, scores = np.full(len(queries), -np.inf), np.full((len(queries), k), -np.inf)
+    for start in range(0, len(ids), CANDIDATE_BLOCK):
+        part = slice(start, start + CANDIDATE_BLOCK)
+        q, c, score = best_of_block(queries, query_ids, vectors[part], ids[part], k, floor)
+        yield q, c + start, score
+        found = np.full((len(queries), k), -np.inf)
+        found[q, np.arange(len(q)) - np.searchsorted(q, q)] = score
+        scores = np.sort(np.concatenate([scores, found], axis=1), axis=1)[:, -k:]
+        floor = scores[:, 0]
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -77,47 +110,46 @@ def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     all candidates, if there are fewer than k. A vector meets those of its own
     length only, and never one with its own id. An empty side gives no rows.
     """
-    spark = vectors.sparkSession
-    by_size = queries.groupBy(F.size("vec").alias("dims")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per vector length
-    found = None
-    for row in sorted(by_size):
-        size = max(1, row.dims)
-        passes = -(-row.n * size * 8 // BROADCAST_BYTES)
-        for number in range(passes):
-            some = queries.filter((F.size("vec") == row.dims) & (F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == number))
-            held = some.toArrow()  # at most about BROADCAST_BYTES
-            ids = held.column("vec_id").to_numpy()
-            shared = spark.sparkContext.broadcast((ids, held.column("vec").combine_chunks().flatten().to_numpy().reshape(len(ids), row.dims)))
-            part = _pass(vectors.filter(F.size("vec") == row.dims), shared, k, row.dims)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    blocks = [dealt.first() for dealt in (_bytes(queries), _bytes(vectors))]  # two rows of one number
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    n_queries = max(1, -(-blocks[0].bytes // QUERY_BYTES))
+    n_vectors = max(1, -(-blocks[1].bytes // CANDIDATE_BYTES), min(tasks, -(-blocks[1].bytes // LEAST_BYTES)))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id", "vec"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    size = F.size("vec").alias("dims")
+    left = queries.select(size, dealt(n_queries).alias("q"), every(n_vectors).alias("c"), "vec_id", "vec")
+    right = vectors.select(size, every(n_queries).alias("q"), dealt(n_vectors).alias("c"), "vec_id", "vec")
+
+    def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
+        return _best(*_matrix(asked), *_matrix(held), k) if len(asked) and len(held) else RESULT.empty_table()
+
+    keys = ("dims", "q", "c")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _pass(vectors: DataFrame, shared, k: int, dims: int) -> DataFrame:
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = shared.value
-        held = []
-        for batch in batches:
-            held.append(batch)
-            while sum(map(len, held)) >= CANDIDATE_BLOCK:
-                table = pa.Table.from_batches(held).combine_chunks()
-                yield from meet(query_ids, queries, table.slice(0, CANDIDATE_BLOCK))
-                held = [b for b in table.slice(CANDIDATE_BLOCK).to_batches() if len(b)]
-        if sum(map(len, held)):
-            yield from meet(query_ids, queries, pa.Table.from_batches(held))
-
-    def meet(query_ids: np.ndarray, queries: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids = table.column("vec_id").to_numpy()
-        block = table.column("vec").combine_chunks().flatten().to_numpy().reshape(len(ids), dims)
-        most = max(1.0, float(np.abs(queries.astype(np.float64)).max(initial=0))) * max(1.0, float(np.abs(block.astype(np.float64)).max(initial=0))) * max(1, dims)
-        kind = np.float64 if most < EXACT else np.int64 if most < 2.0**62 else object
-        for start in range(0, len(query_ids), QUERY_BLOCK):
-            own = query_ids[start : start + QUERY_BLOCK]
-            q, c, scores = best_of_block(queries[start : start + QUERY_BLOCK].astype(kind), own, block.astype(kind), ids, k)
-            values = [min(max(int(s), -(1 << 63)), (1 << 63) - 1) for s in scores] if kind is object else scores.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(ids[c]), pa.array(values, pa.int64())], ["query_id", "vec_id", "score"])
-
-    return vectors.mapInArrow(blocks, "query_id long, vec_id long, score long")
+RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _bytes(vectors: DataFrame) -> DataFrame:
+    return vectors.agg(F.coalesce(F.sum(F.size("vec") + 1), F.lit(0)).alias("n")).select((F.col("n") * 8).alias("bytes"))
+
+
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    values = table.column("vec").combine_chunks().flatten().to_numpy()
+    return table.column("vec_id").to_numpy(), values.reshape(len(table), len(values) // len(table))
+
+
+def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pa.Table:
+    largest = lambda x: max(1.0, -float(x.min(initial=0)), float(x.max(initial=0)))
+    most = largest(queries) * largest(vectors) * max(1, queries.shape[1])
+    kind = np.float64 if most < EXACT else np.int64 if most < 2.0**62 else object
+    queries, vectors = queries.astype(kind), vectors.astype(kind)
+    tables = []
+    for start in range(0, len(queries), QUERY_BLOCK):
+        part = slice(start, start + QUERY_BLOCK)
+        for q, c, scores in best_of_blocks(queries[part], query_ids[part], vectors, ids, k):
+            whole = [min(max(int(s), -(1 << 63)), (1 << 63) - 1) for s in scores] if kind is object else scores.astype(np.int64)
+            tables.append(pa.Table.from_arrays([pa.array(query_ids[part][q]), pa.array(ids[c]), pa.array(whole, pa.int64())], schema=RESULT))
+    return pa.concat_tables(tables)

@@ -56,8 +56,34 @@ def test_pruning_is_exact():
     rnd = np.random.default_rng(3)
     block = rnd.integers(-50, 50, (500, 64)) * (rnd.random((1, 64)) < 0.3)
     queries, ids = block[:20].astype(np.float64), rnd.permutation(500)
-    q, c, s = topk.best_of_block(queries, ids[:20], block.astype(np.float64), ids, 10)
+    q, c, s = topk.best_of_block(queries, ids[:20], block.astype(np.float64), ids, 10, np.full(20, -np.inf))
     scores = block[:20] @ block.T
     for i in range(20):
         want = sorted((-scores[i, j], ids[j]) for j in range(500) if j != i)[:10]
         assert [(-int(v), ids[j]) for v, j in zip(s[q == i], c[q == i], strict=True)] == want
+
+
+def test_pairs_are_pruned_and_none_is_lost(monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 300)
+    rnd = np.random.default_rng(4)
+    held = np.floor(rnd.standard_normal((3_000, 64)) * 1024 / 8)
+    ids = rnd.permutation(3_000)
+    for kind in (np.float64, np.int64, object):
+        block = held.astype(np.int64).astype(kind)
+        found = {}
+        for q, c, s in topk.best_of_blocks(block[:7], ids[:7], block, ids, 10):
+            for i, j, v in zip(q, c, s, strict=True):
+                found.setdefault(int(i), []).append((-int(v), int(ids[j])))
+        scores = held[:7] @ held.T
+        for i in range(7):
+            assert sorted(found[i])[:10] == sorted((-int(scores[i, j]), int(ids[j])) for j in range(3_000) if j != i)[:10]
+        assert sum(map(len, found.values())) < 7 * 100  # later blocks send less than their ten best
+
+
+def test_small_blocks_of_both_sides(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [i % 7, -(i % 5), i % 3]) for i in range(200)], "vec_id long, vec array<long>")
+    rank = lambda: sorted(map(tuple, topk.search(vectors.filter("vec_id % 10 = 0"), vectors, 4).collect()))
+    whole = rank()
+    monkeypatch.setattr(topk, "QUERY_BYTES", 200)
+    monkeypatch.setattr(topk, "CANDIDATE_BYTES", 1_000)
+    assert rank() == whole and len(whole) == 80
