@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import bpe, decontam, html, jaccard, pii, quality, substring, token_counts, topk, urls
+from scholium.llm import bpe, decontam, html, jaccard, periodic, pii, quality, substring, token_counts, topk, urls
 from scholium.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class under 4-gram Jaccard similarity of 85 % or more."""
     return jaccard.link(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+@query
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs of repeated words, and its words without their repeats."""
+    docs = periodic.repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.find(docs).withColumn("best", periodic.longest(F.col("runs")))
+    best = [F.col("best")[c].alias(c) for c in ("start", "length", "period")]
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli")
+    digest = lambda c, name: F.sha2(F.encode(c, "UTF-8"), 256).alias(name)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, exponent, digest(periodic.listed(F.col("runs")), "runs_sha256"), digest(F.col("kept"), "collapsed_sha256"), "n_words")
