@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import bpe, decontam, html, jaccard, periodic, pii, quality, substring, token_counts, topk, urls
+from scholium.llm import bpe, decontam, html, jaccard, licences, periodic, pii, quality, substring, token_counts, topk, urls
 from scholium.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,18 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli")
     digest = lambda c, name: F.sha2(F.encode(c, "UTF-8"), 256).alias(name)
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, exponent, digest(periodic.listed(F.col("runs")), "runs_sha256"), digest(F.col("kept"), "collapsed_sha256"), "n_words")
+
+
+@query
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence notices, tags and expressions."""
+    found = licences.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("places", lambda p: p["base"])
+    starts = F.transform(base, lambda p: p["word"])
+    named = lambda places: F.transform(places, lambda p: p["label"])
+    every = F.concat(named(F.col("places")), F.flatten(F.transform("expressions", lambda e: e["labels"])))
+    said = F.transform("expressions", lambda e: e["expression"])
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), licences.joined(named(base)).alias("base_labels"), licences.joined(every).alias("labels"), F.col("licence_score").alias("score"),
+        F.array_join(said, "; ").alias("expressions"), F.array_max(F.transform("expressions", lambda e: e["step"])).alias("step"),
+    )
