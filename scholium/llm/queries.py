@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm import bpe, decontam, html, jaccard, licences, periodic, pii, quality, substring, token_counts, topk, urls
-from scholium.session import table
+from scholium.llm import bpe, conversations, decontam, html, jaccard, licences, periodic, pii, quality, substring, token_counts, topk, urls
+from scholium.session import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -127,3 +127,13 @@ def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), licences.joined(named(base)).alias("base_labels"), licences.joined(every).alias("labels"), F.col("licence_score").alias("score"),
         F.array_join(said, "; ").alias("expressions"), F.array_max(F.transform("expressions", lambda e: e["step"])).alias("step"),
     )
+
+
+@query
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, and its cheapest repair."""
+    examined = materialise(conversations.examine(conversations.damage(table(spark, sf_dir, "conversations"))))
+    parsed = materialise(conversations.parse(examined))
+    hashed = conversations.digests(examined, parsed).withColumnRenamed("conv_id", "_conv")
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return parsed.join(hashed, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select(*parsed.columns, F.coalesce("repaired_sha256", none).alias("repaired_sha256"))
