@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholium.functions.text import doi_key, missing, title_key
+from scholium.session import materialise, release, reread
 
 
 def union_sources(sources: list[DataFrame]) -> DataFrame:
@@ -93,25 +94,40 @@ def only_new(found: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return found.withColumn("_key", F.when(~missing(F.col(key)), F.lower(F.trim(key)))).join(have, "_key", "left_anti").drop("_key")
 
 
-def snowball(rows: DataFrame, pos: str) -> DataFrame:
-    """Rows in order, without those whose DOI or title start was kept before.
+def snowball(rows: DataFrame, pos: str, width: int = 60) -> DataFrame:
+    """Rows, taken in the order of ``pos``, whose DOI and title start no row kept before has.
 
-    A row dropped for its title does not register its DOI, so this is a fold
-    over the rows of one seed (``seed``), which bound it.
+    One pair of seen sets holds for all rows, and a row that is dropped registers
+    neither of its keys. With DOIs and title starts as nodes and rows as edges,
+    this is the greedy matching in order: an edge that comes first at both its
+    nodes is kept, and those that it meets go. All such edges are decided in one
+    round; rounds follow until none is open, few of them unless the keys form a
+    chain that runs in order. Each round is two aggregations and two anti joins,
+    and is written, so no key's rows come together in a task.
+
+    DOIs are compared trimmed and in lower case, an empty or null one is none; of
+    titles the first ``width`` characters, trimmed and in lower case, and an empty
+    or null title is a key as any other. Of rows with one position and both keys
+    equal one is kept; rows of one position are taken by DOI (none first), then title.
     """
-    import pandas as pd
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        seen_doi, seen_title, kept = set(), set(), []
-        group = group.sort_values(pos)
-        for i, (doi, title) in enumerate(zip(group["doi"], group["title"], strict=True)):
-            start = (title or "").strip().lower()[:60]
-            if (doi and doi in seen_doi) or start in seen_title:
-                continue
-            seen_title.add(start)
-            if doi:
-                seen_doi.add(doi)
-            kept.append(i)
-        return group.iloc[kept]
-
-    return rows.groupBy("seed").applyInPandas(fold, rows.schema)
+    trimmed = lambda c: F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", "")
+    doi, start = trimmed(F.col("doi")), F.substring(trimmed(F.coalesce("title", F.lit(""))), 1, width)
+    keyed = rows.select("*", F.when(doi != "", doi).alias("_doi"), start.alias("_start"))
+    # of rows that share both keys only the first can be kept
+    least = materialise(keyed.groupBy("_doi", "_start").agg(F.min(pos).alias("_pos")))
+    left, rounds = least, []
+    while not left.isEmpty():
+        at = F.struct("_pos", "_doi", "_start")
+        first = left.groupBy("_start").agg(F.min(at).alias("e")).select("e.*")
+        first_doi = left.filter("_doi IS NOT NULL").groupBy("_doi").agg(F.min(at).alias("e")).select("e.*")
+        both = first.filter("_doi IS NULL").unionByName(first.join(first_doi, ["_pos", "_doi", "_start"]).select("_pos", "_doi", "_start"))
+        kept = materialise(both)
+        rounds.append(kept)
+        before = left
+        left = materialise(before.join(kept.select("_start"), "_start", "left_anti").join(kept.filter("_doi IS NOT NULL").select("_doi"), "_doi", "left_anti").select("_pos", "_doi", "_start"))
+        release(before)
+    if not rounds:
+        return rows.limit(0)
+    kept = reread(rounds).withColumnsRenamed({c: f"{c}_kept" for c in ("_pos", "_doi", "_start")})
+    same = (F.col(pos) == F.col("_pos_kept")) & F.col("_doi").eqNullSafe(F.col("_doi_kept")) & (F.col("_start") == F.col("_start_kept"))
+    return keyed.dropDuplicates([pos, "_doi", "_start"]).join(kept, same, "left_semi").select(*rows.columns)

@@ -223,13 +223,36 @@ def neighbor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_suppkey")), lambda x: x.cast("string")), ",").alias("refs"))
 
 
-@query()
+#: A fold over the rows of ``given`` (pos, doi, title) in order: one state (seen DOIs, seen title starts) goes from row to row.
+FOLD = """listed AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pos) AS n, pos, nullif(lower(trim(doi)), '') AS d, left(lower(trim(coalesce(title, ''))), 60) AS t FROM given),
+fold AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS dois, CAST([] AS VARCHAR[]) AS titles, CAST(NULL AS BIGINT) AS kept
+    UNION ALL SELECT n, CASE WHEN keep AND d IS NOT NULL THEN list_append(dois, d) ELSE dois END, CASE WHEN keep THEN list_append(titles, t) ELSE titles END, CASE WHEN keep THEN pos END
+    FROM (SELECT r.n, r.pos, r.d, r.t, f.dois, f.titles, NOT (coalesce(list_contains(f.dois, r.d), FALSE) OR list_contains(f.titles, r.t)) AS keep FROM fold f JOIN listed r ON r.n = f.n + 1))"""
+
+
+@query(f"WITH RECURSIVE {PAPERS}, given AS (SELECT pos, doi, title FROM papers), {FOLD} SELECT kept // 50 AS seed, kept AS doc_id FROM fold WHERE kept IS NOT NULL")
 def snowball_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snowballed references of each seed (lists of at most fifty) without seen DOIs or title starts."""
+    """Papers of all seeds (their reference lists, fifty each, one after the other) without seen DOIs or title starts."""
     found = papers(spark, sf_dir).select(F.floor(F.col("doc_id") / 50).alias("seed"), "doc_id", "doi", "title")
     return dedup.snowball(found, "doc_id").select("seed", "doc_id")
 
 
+@query(f"""WITH RECURSIVE seeds AS (SELECT l_suppkey, row_number() OVER (ORDER BY n DESC, l_suppkey) AS seed FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) QUALIFY seed <= 10),
+refs AS (SELECT seed, row_number() OVER (PARTITION BY seed ORDER BY l_orderkey, l_linenumber) AS rank, l_partkey FROM lineitem JOIN seeds USING (l_suppkey) QUALIFY rank <= 30),
+given AS (SELECT seed * 1000 + rank AS pos, ' 10.1/' || upper(p_brand) || CASE WHEN p_size % 2 = 0 THEN ' ' ELSE p_type END AS doi, p_name AS title, l_partkey FROM refs JOIN part ON l_partkey = p_partkey), {FOLD}
+SELECT CAST(kept // 1000 AS INTEGER) AS seed, CAST(kept % 1000 AS INTEGER) AS rank, l_partkey FROM fold JOIN given ON pos = kept""")
+def neighbor_expansion_snowball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References, at most thirty each, of the ten seeds with the most, without what an earlier seed brought."""
+    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    top = lines.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(10)
+    seeds = top.withColumn("seed", F.row_number().over(Window.orderBy(F.desc("n"), "l_suppkey"))).select("l_suppkey", "seed")
+    listed = lines.join(F.broadcast(seeds), "l_suppkey").select("seed", "l_orderkey", "l_linenumber", "l_partkey")  # ten seeds
+    refs = dedup.quota(listed, "seed", ["l_orderkey", "l_linenumber"], 30)
+    doi = F.concat(F.lit(" 10.1/"), F.upper("p_brand"), F.when(F.col("p_size") % 2 == 0, " ").otherwise(F.col("p_type")))
+    found = refs.join(part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("seed") * 1000 + F.col("rank")).alias("pos"), doi.alias("doi"), F.col("p_name").alias("title"), "seed", "rank", "l_partkey")
+    return dedup.snowball(found, "pos").select("seed", "rank", "l_partkey")
+
+
 @query("SELECT doc_id, md5(text) AS line_hash, substr(sha256(text), 1, 16) AS cache_key, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS cached FROM documents d")
 def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cache key of each line and whether it was resolved before."""

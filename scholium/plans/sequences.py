@@ -28,6 +28,33 @@ def budget_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.budget_crossing(usage, "user_id", ["ts", "event_id"], "k", 300).select("user_id", "event_id", "running")
 
 
+CALLS = "calls AS (SELECT event_id, ts, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)"
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All calls of a run, whoever made them."""
+    return table(spark, sf_dir, "events").select("event_id", "ts", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query(f"WITH {CALLS} SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place, CAST(sum(k) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_k FROM calls")
+def token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place and running total of every call of the run."""
+    return ordered.placed(calls(spark, sf_dir), ["ts", "event_id"], ("k",)).select("event_id", "place", "running_k")
+
+
+@query(f"""WITH {CALLS}, r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place, CAST(sum(k) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM calls)
+SELECT * FROM r WHERE running > 100000 ORDER BY place LIMIT 1""")
+def budget_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The call at which the run as a whole is over its token budget."""
+    return ordered.first_over(calls(spark, sf_dir), ["ts", "event_id"], "k", 100_000).select("event_id", "place", "running")
+
+
+@query("SELECT event_id, CAST((row_number() OVER (ORDER BY ts, event_id) - 1) // 20 AS BIGINT) AS batch FROM events")
+def run_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of twenty over all events, whoever they belong to."""
+    return ordered.all_batches(table(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"], 20).select("event_id", "batch")
+
+
 @query("""WITH p AS (SELECT l_suppkey AS theme, year(o_orderdate) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey), e AS (SELECT theme, min(y) AS a, max(y) AS b, count(*) AS n FROM p GROUP BY 1 HAVING count(*) >= 4 AND max(y) - min(y) >= 3)
 SELECT theme, CAST(a AS INTEGER) AS first_year, CAST(b AS INTEGER) AS last_year, n, CAST(count_if(y <= a + (b - a) // 2) AS BIGINT) AS n_early, CAST(count_if(y > a + (b - a) // 2) AS BIGINT) AS n_late FROM p JOIN e USING (theme) GROUP BY theme, a, b, n""")
 def temporal_progression(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return found
 
 
+def reread(written: list[DataFrame]) -> DataFrame:
+    """The rows of tables of one schema that ``materialise`` wrote, by one scan however many they are."""
+    first = written[0]
+    return first.sparkSession.read.schema(first.schema).parquet(*(w.written_at for w in written))
+
+
 def release(*written: DataFrame) -> None:
     """Delete tables that ``materialise`` wrote, once all that reads them is written."""
     for df in written:
