@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholium.functions import schemas
 from scholium.operators import extraction
 from scholium.plans.registry import query
 from scholium.session import shared_folder, table
@@ -37,3 +38,41 @@ def batched_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     extraction.run(docs, ["doc_id"], work, folder, waves=5, stop_after=2)
     extraction.run(docs, ["doc_id"], work, folder, waves=5)
     return extraction.extracted(spark, folder)
+
+
+#: What an extraction must look like.
+REPLY = {
+    "type": "object",
+    "properties": {
+        "paper": {"type": "integer", "minimum": 0},
+        "kind": {"enum": ["click", "view", "purchase", "error", "signup", "login", "logout"]},
+        "findings": {"type": "array", "items": {"$ref": "#/$defs/Finding"}, "minItems": 1},
+        "year": {"anyOf": [{"type": "integer"}, {"type": "null"}]},
+    },
+    "required": ["paper", "findings"],
+    "additionalProperties": False,
+    "$defs": {"Finding": {"type": "object", "properties": {"claim": {"type": "string", "minLength": 2}, "score": {"type": "number", "maximum": 1}}, "required": ["claim"]}},
+}
+
+
+@query("""SELECT event_id, CASE event_id % 10 WHEN 0 THEN '$: no JSON' WHEN 1 THEN '$.findings: missing' WHEN 2 THEN '$.kind: not one of ["click", "view", "purchase", "error", "signup", "login", "logout"]' WHEN 3 THEN '$.findings[1].score: over 1'
+        WHEN 4 THEN '$.findings[0].claim: shorter than 2' WHEN 5 THEN '$.extra: not known' WHEN 6 THEN '$.year: none of the options' END AS error,
+    CASE WHEN event_id % 10 >= 7 THEN user_id END AS paper, CASE WHEN event_id % 10 >= 7 THEN 2 END AS n_findings, CASE WHEN event_id % 10 >= 7 THEN event_type END AS claim FROM events""")
+def validated_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies read by their schema, and what is wrong with those that break it."""
+    events = table(spark, sf_dir, "events")
+    fault = F.col("event_id") % 10
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    first = F.concat(F.lit('{"claim": '), text(F.when(fault == 4, "x").otherwise(F.col("event_type"))), F.lit("}"))
+    second = F.concat(F.lit('{"claim": "it holds", "score": '), F.when(fault == 3, "1.5").otherwise("0.5"), F.lit("}"))
+    fields = [
+        F.concat(F.lit('"paper": '), F.col("user_id").cast("string")),
+        F.concat(F.lit('"kind": '), text(F.when(fault == 2, "other").otherwise(F.col("event_type")))),
+        F.when(fault != 1, F.concat(F.lit('"findings": ['), first, F.lit(", "), second, F.lit("]"))),
+        F.when(fault == 5, F.lit('"extra": 1')),
+        F.concat(F.lit('"year": '), F.when(fault == 6, '"2001"').when(fault == 7, "null").otherwise("2001")),
+    ]
+    whole = F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.when(fault != 0, "}").otherwise(""))
+    replies = events.select("event_id", F.when(fault == 8, F.concat(F.lit("As asked:\n```json\n"), whole, F.lit("\n```"))).otherwise(whole).alias("reply"))
+    found = schemas.validated(replies, "reply", REPLY)
+    return found.select("event_id", "error", F.col("value.paper").alias("paper"), F.when(F.col("error").isNull(), F.size("value.findings")).alias("n_findings"), F.col("value.findings")[0]["claim"].alias("claim"))
