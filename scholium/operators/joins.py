@@ -1,4 +1,4 @@
-"""Joins: array overlap, ranges, neighbours, similarity and tiered resolution."""
+"""Joins: array overlap, ranges, neighbours, and similarity."""
 
 from __future__ import annotations
 
@@ -18,14 +18,37 @@ def overlapping(left: DataFrame, right: DataFrame, left_key: str, right_key: str
 
 
 def containing(rows: DataFrame, themes: DataFrame, key: str, text: str, theme: str) -> DataFrame:
-    """Pairs of key and theme where the text contains the theme: three words with single spaces.
-
-    The middle word stands between spaces in any text that contains the theme,
-    so it joins the two sides, and only those pairs are searched.
+    """Pairs of key and theme where the text contains the theme, as ``in`` does: of any number of words, and within words.
+
+    Cut at spaces, the inner parts of a theme are parts of any text that contains
+    it, its first part ends one, its last begins one; a theme without a space lies
+    within one. Each
+    theme is looked up by the parts of its rarest anchor (by the number of texts
+    that have them), and only texts with one of these are searched. What can match
+    is found among the distinct parts of all texts. Blank or null themes match
+    nothing. Keys need not be unique.
     """
-    found = rows.select(key, text, F.explode(F.array_distinct(F.split(text, " "))).alias("_word"))
-    asked = themes.select(theme, F.split_part(theme, F.lit(" "), F.lit(2)).alias("_word")).distinct()
-    return found.join(asked, "_word").filter(F.contains(text, theme)).select(key, theme).distinct()
+    found = rows.select(key, text, F.explode(F.array_distinct(F.split(text, " "))).alias("_part"))
+    held = found.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).filter("_part <> ''")
+    parts = F.split(theme, " ")
+    asked = themes.filter(F.trim(theme) != "").select(theme, parts.alias("_parts")).distinct()
+    n = F.size("_parts")
+    whole = asked.filter(n > 2).select(theme, F.posexplode(F.slice("_parts", F.lit(2), n - 2)).alias("_anchor", "_part"))
+    first = asked.filter(n > 1).select(theme, F.lit(-1).alias("_anchor"), F.get("_parts", F.lit(0)).alias("_tail"))
+    last = asked.filter(n > 1).select(theme, F.lit(-2).alias("_anchor"), F.element_at("_parts", -1).alias("_head"))
+    only = asked.filter(n == 1).select(theme, F.lit(0).alias("_anchor"), F.substring(theme, 1, 3).alias("_gram"))
+    size = F.length("_part")
+    tails = held.select("_part", "_n", F.explode(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring("_part", i, size))).alias("_tail"))
+    heads = held.select("_part", "_n", F.explode(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring("_part", F.lit(1), i))).alias("_head"))
+    grams = held.select("_part", "_n", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.substring("_part", i, k)))))).alias("_gram"))
+    columns = (theme, "_anchor", "_part", "_n")
+    within = grams.join(only, "_gram").filter(F.contains("_part", theme)).select(*columns)
+    anchored = held.join(whole, "_part").select(*columns).unionByName(tails.join(first, "_tail").select(*columns)).unionByName(heads.join(last, "_head").select(*columns)).unionByName(within)
+    # inner parts that no text has leave their theme without rows, as do anchors that are empty
+    wanted = whole.filter("_part <> ''").select(theme, "_anchor").unionByName(first.filter("_tail <> ''").select(theme, "_anchor")).unionByName(last.filter("_head <> ''").select(theme, "_anchor")).unionByName(only.select(theme, "_anchor")).distinct()
+    cost = wanted.join(anchored.groupBy(theme, "_anchor").agg(F.sum("_n").alias("_cost")), [theme, "_anchor"], "left").groupBy(theme).agg(F.min(F.struct(F.coalesce("_cost", F.lit(0)).alias("_cost"), "_anchor")).alias("_best"))
+    looked = anchored.join(cost.select(theme, F.col("_best._anchor").alias("_anchor")), [theme, "_anchor"]).select(theme, "_part").distinct()
+    return found.join(looked, "_part").filter(F.contains(text, theme)).select(key, theme).distinct()
 
 
 def in_band(rows: DataFrame, anchors: list[tuple[float, float, str]], score: str) -> DataFrame:
@@ -89,30 +112,3 @@ def indel_ratio(a: str, b: str) -> float:
 @F.pandas_udf(DoubleType())
 def indel(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
-
-
-def resolve(refs: DataFrame, papers: DataFrame, rarest: int = 3) -> DataFrame:
-    """The best paper for each reference, by tiers.
-
-    refs: ref_id, doi, title; papers: paper_id, source_pos, doi, title. An equal
-    DOI is HIGH, in the first source that has it. Else the first source whose
-    best paper has a title ratio (of the lower-cased titles) of 70 or more gives
-    that paper: 85 or more is MEDIUM, else LOW; titles of ten characters or less
-    are not searched. Without any it is NONE. In place of a source's own search,
-    the candidates are the papers that share one of the ``rarest`` rarest words
-    of the reference's title. Of equal scores the smaller id wins.
-    """
-    by_doi = refs.filter(F.col("doi") != "").join(papers.filter(F.col("doi") != "").select("paper_id", "source_pos", "doi"), "doi").select("ref_id", "paper_id", "source_pos", F.lit(100.0).alias("score"), F.lit(0).alias("tier"))
-    words = lambda df, *keep: df.select(*keep, "title", F.explode(F.array_distinct(match_tokens(F.col("title")))).alias("word"))
-    # copies of a title score the same: the first of them stands for all
-    titles = papers.groupBy(F.lower("title").alias("title"), "source_pos").agg(F.min("paper_id").alias("paper_id"))
-    listed = words(titles, "paper_id", "source_pos")
-    seen = listed.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    asked = words(refs.filter(F.length("title") > 10).select("ref_id", F.lower("title").alias("title")), "ref_id").withColumnRenamed("title", "ref_title").join(seen, "word")
-    asked = asked.withColumn("place", F.row_number().over(Window.partitionBy("ref_id").orderBy("n", "word"))).filter(F.col("place") <= rarest)
-    near = asked.select("ref_id", "ref_title", "word").join(listed, "word").select("ref_id", "ref_title", "paper_id", "source_pos", "title").distinct()
-    scored = near.withColumn("score", indel("ref_title", "title")).filter(F.col("score") >= 70)
-    by_title = scored.select("ref_id", "paper_id", "source_pos", "score", F.lit(1).alias("tier"))
-    best = by_doi.unionByName(by_title).groupBy("ref_id").agg(F.min(F.struct("tier", "source_pos", (-F.col("score")).alias("back"), "paper_id")).alias("best"))
-    named = F.when(F.col("best.tier") == 0, "HIGH").when(-F.col("best.back") >= 85, "MEDIUM").when(F.col("best.back").isNotNull(), "LOW").otherwise("NONE")
-    return refs.select("ref_id").join(best, "ref_id", "left").select("ref_id", "best.paper_id", named.alias("confidence"), F.round(-F.col("best.back"), 4).alias("score"))

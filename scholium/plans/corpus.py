@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholium.functions.text import doi_key, match_tokens, missing, title_key
-from scholium.operators import dedup, joins
+from scholium.operators import dedup, joins, resolution
 from scholium.plans.registry import query
 from scholium.session import table
 
@@ -171,12 +171,14 @@ def overlap_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.overlapping(lines.filter("l_returnflag = 'R'"), lines.filter("l_returnflag = 'A'"), "l_orderkey", "l_suppkey", "l_partkey").select(F.col("l_orderkey").alias("section"), F.col("l_suppkey").alias("chain"))
 
 
-@query(r"""WITH themes AS (SELECT DISTINCT array_to_string(w[1:3], ' ') AS theme FROM (SELECT list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 3)
+@query(r"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM benchmark),
+themes AS (SELECT DISTINCT array_to_string(w[1:1 + item_id % 4], ' ') AS theme FROM w WHERE len(w) >= 4)
 SELECT doc_id, theme FROM documents JOIN themes ON contains(lower(text), theme)""")
 def substring_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose text contains a theme, the first three words of a benchmark item."""
+    """Documents whose text contains a theme: the first one to four words of a benchmark item."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    themes = table(spark, sf_dir, "benchmark").select(words.alias("w")).filter(F.size("w") >= 3).select(F.array_join(F.slice("w", 1, 3), " ").alias("theme")).distinct()
+    size = (1 + F.col("item_id") % 4).cast("int")
+    themes = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).filter(F.size("w") >= 4).select(F.array_join(F.slice("w", F.lit(1), size), " ").alias("theme")).distinct()
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
     return joins.containing(docs, themes, "doc_id", "text", "theme")
 
@@ -210,7 +212,7 @@ def indel_ratio_topmatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = papers(spark, sf_dir).withColumn("doi", F.coalesce(doi_key(F.col("doi")), F.lit("")))
     refs = found.filter(~F.col("source_database").isin("src0", "src1")).select(F.col("doc_id").alias("ref_id"), "doi", "title")
     known = found.filter(F.col("source_database").isin("src0", "src1")).select(F.col("doc_id").alias("paper_id"), F.substring("source_database", 4, 1).cast("int").alias("source_pos"), "doi", "title")
-    return joins.resolve(refs, known)
+    return resolution.resolve(refs, known)
 
 
 @query("""SELECT p_partkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) AS refs FROM part JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON p_partkey = l_partkey

@@ -1,6 +1,7 @@
 """The expectations of FIXTURES.md, restated on small frames."""
 
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scholium.functions import bibliography, text
-from scholium.operators import dedup, joins, metrics, ordered, sections, trees
+from scholium.operators import dedup, joins, metrics, ordered, resolution, sections, trees
 from scholium.plans.stages import Runner, Stage, StageError
 from scholium.sources import markup, records
 from scholium.sources.recorded import recorded
@@ -114,9 +115,9 @@ def test_indel_and_resolution(spark):
     assert joins.indel_ratio("kitten", "sitting") == pytest.approx(100 * 8 / 13)
     refs = spark.createDataFrame([(1, "d1", "x"), (2, "", "deep learning of proteins"), (3, "", "deep learning in protein folds"), (4, "", "nothing alike")], "ref_id int, doi string, title string")
     known = spark.createDataFrame([(9, 0, "d1", "y"), (8, 0, "", "deep learning of proteins")], "paper_id int, source_pos int, doi string, title string")
-    got = {r.ref_id: (r.paper_id, r.confidence) for r in joins.resolve(refs, known).collect()}
+    got = {r.ref_id: (r.paper_id, r.confidence) for r in resolution.resolve(refs, known).collect()}
     two = spark.createDataFrame([(5, 1, "", "deep learning of proteins"), (6, 0, "", "deep learning on protein")], "paper_id int, source_pos int, doi string, title string")
-    assert [(r.paper_id, r.confidence) for r in joins.resolve(refs.filter("ref_id = 2"), two).collect()] == [(6, "MEDIUM")]  # the first source that has any
+    assert [(r.paper_id, r.confidence) for r in resolution.resolve(refs.filter("ref_id = 2"), two).collect()] == [(6, "MEDIUM")]  # the first source that has any
     assert got[1] == (9, "HIGH") and got[2] == (8, "MEDIUM") and got[3][1] in ("LOW", "MEDIUM") and got[4] == (None, "NONE")
 
 
@@ -173,9 +174,44 @@ def test_outline_of_any_depth(spark):
 
 
 def test_themes_in_texts(spark):
-    rows = spark.createDataFrame([(1, "on a big red dog here"), (2, "a big  red dog"), (3, None)], "id int, t string")
-    themes = spark.createDataFrame([("big red dog",), ("no such theme",)], "theme string")
-    assert [tuple(r) for r in joins.containing(rows, themes, "id", "t", "theme").collect()] == [(1, "big red dog")]
+    texts = [(1, "on a big red dog here"), (2, "a big  red dog"), (3, None), (4, "a study of deep learnings now"), (5, "deep"), (6, "the the"), (7, ""), (8, "xdeep learning"), (9, "the  the end")]
+    themes = ["big red dog", "no such theme", "deep learning", "deep", "e", "the", "a big", "g red d", "", " ", None, "the  the", "dog ", " red", "of deep learnings n", "eep l", "ing"]
+    rows, asked = spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame([(t,) for t in themes * 2], "theme string")
+    got = sorted(map(tuple, joins.containing(rows, asked, "id", "t", "theme").collect()))
+    assert got == sorted((k, t) for k, x in texts for t in themes if x is not None and t and t.strip() and t in x)
+
+
+def test_resolution_against_all_pairs(spark):
+    rnd = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "protein", "of", "the", "learning", "δέλτα", "😀"]
+    titles = [" ".join(rnd.choices(words, k=rnd.choice([1, 2, 4, 8, 30]))).capitalize() for _ in range(150)]
+
+    def typing_errors(t):
+        t = list(t)
+        for _ in range(rnd.choice([0, 1, len(t) // 8, len(t) // 4])):
+            at = rnd.randrange(len(t) + 1)
+            t[at : at + rnd.randrange(2)] = rnd.choice("xyz ") * rnd.randrange(2)
+        return "".join(t)
+
+    papers = [(k, k % 2, "d" + str(k) if k % 5 == 0 else "", t) for k, t in enumerate([*titles, None, "", titles[3]])]
+    refs = [(k, rnd.choice(["", None, "", f"d{rnd.randrange(200)}"]), typing_errors(rnd.choice(titles))) for k in range(300)] + [(300, None, None), (301, "", "short"), (302, "", "alphax betax gammax delta epsilon zeta")]
+    want = {}
+    for key, doi, title in refs:
+        hits = [(s, p) for p, s, d, _ in papers if doi and d == doi]
+        if hits:
+            want[key] = (min(hits)[1], "HIGH", 100.0)
+            continue
+        want[key] = (None, "NONE", None)
+        for source in (0, 1) if title and len(title) > 10 else ():
+            score, back = max(((joins.indel_ratio(title.lower(), t.lower()), -p) for p, s, _, t in papers if s == source and t), default=(0, 0))
+            if score >= 70:
+                want[key] = (-back, "MEDIUM" if score >= 85 else "LOW", round(score, 4))
+                break
+    assert {w[1] for w in want.values()} == {"HIGH", "MEDIUM", "LOW", "NONE"}
+    found = resolution.resolve(spark.createDataFrame(refs, "ref_id int, doi string, title string"), spark.createDataFrame(papers, "paper_id int, source_pos int, doi string, title string")).collect()
+    assert len(found) == len(refs)
+    for r in found:
+        assert (r.paper_id, r.confidence, r.score) == want[r.ref_id], r
 
 
 def test_dag(spark):
