@@ -54,10 +54,27 @@ def citation_markers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\[@([^\]]+)\]"), 1)
 
 
+# fixed values: what parts words
+WHITE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
 def word_count(text: Column) -> Column:
-    """Words between white space; 0 for null or blank."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
+    """Words between white space of any script; 0 for null or blank."""
+    return F.coalesce(F.regexp_count(text, F.lit(f"[^{WHITE}]+")), F.lit(0))
+
+
+#: Latin vowels and consonants, lower case.
+VOWELS, CONSONANTS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœ", "bcdfghjklmnpqrstvwxzçñðþß"
+LETTERS = f"[{VOWELS}{CONSONANTS}{(VOWELS + CONSONANTS.replace('ß', '')).upper()}]+"
+#: Endings without a syllable, behind a vowel and consonants: e but for consonant and l before it, es but after a hiss, ed but after t and d.
+SILENT = rf"(?<=[{VOWELS}])[{CONSONANTS}]+(?:(?<![{CONSONANTS}]l)e|(?<![sxzcgh])es|(?<![td])ed)(?![{VOWELS}{CONSONANTS}])"
+NO_VOWEL = rf"(?<![{VOWELS}{CONSONANTS}])[{CONSONANTS}]+(?![{VOWELS}{CONSONANTS}])"
+
+
+def syllables(text: Column) -> Column:
+    """Syllables of all words: their groups of vowels without silent endings, one at least for each word."""
+    count = lambda t, pattern: F.coalesce(F.regexp_count(t, F.lit(pattern)), F.lit(0))
+    return bound(F.lower(text), lambda t: count(t, f"[{VOWELS}]+") - count(t, SILENT) + count(t, NO_VOWEL))
 
 
 def url_year(url: Column) -> Column:

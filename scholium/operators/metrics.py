@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholium.functions.text import bound, citation_count, markdown_sections, missing, strip_markdown, word_count
+from scholium.functions.text import LETTERS, bound, citation_count, markdown_sections, missing, strip_markdown, syllables, word_count
 
 # fixed values: evidence levels, strongest first; US dollars for a million tokens (input, output)
 LEVELS = ("strong", "moderate", "weak", "preliminary")
@@ -83,24 +83,37 @@ def token_cost(usage: DataFrame, prices: list[tuple[str, float, float]]) -> Data
     return priced.withColumn("cost", F.round(part("tokens_in", "price_in") + part("tokens_out", "price_out"), 4)).drop("price_in", "price_out")
 
 
+def reading_grade(plain: Column) -> Column:
+    """Flesch-Kincaid grade: 0.39 words per sentence + 11.8 syllables per word - 15.59, two decimals; 0 without words.
+
+    Words are runs of Latin letters. Sentences end with [.!?]; those of two words or
+    less do not count, but there is one at least. Syllables are counted by rule
+    (see ``syllables``); published grades divide words by a hyphenation dictionary
+    and differ by a few tenths of a grade.
+    """
+    sentences = F.filter(F.regexp_extract_all(plain, F.lit(r"[^.!?]+"), 0), lambda x: F.regexp_count(x, F.lit(LETTERS)) > 2)
+    parts = F.struct(F.regexp_count(plain, F.lit(LETTERS)).alias("words"), F.greatest(F.size(sentences), F.lit(1)).alias("sentences"), syllables(plain).alias("syllables"))
+    return bound(parts, lambda p: F.when(p["words"] > 0, F.round(0.39 * p["words"] / p["sentences"] + 11.8 * p["syllables"] / p["words"] - 15.59, 2)).otherwise(0.0))
+
+
 def structure(text: Column) -> Column:
-    """words, sections, citations, per_1000, avg_section and cv_section of a markdown text; zeros for a blank one.
+    """words, sections, citations, per_1000, avg_section, cv_section and grade of a markdown text; zeros for a blank one.
 
     All is computed within the row, each part once. The spread is 0 for one section.
     """
-    lengths = F.transform(markdown_sections(text), lambda p: word_count(strip_markdown(p)))
     total = lambda n: F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)
     squares = lambda n, mean: F.aggregate(n, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
 
-    def made(n: Column, mean: Column) -> Column:
+    def made(t: Column, n: Column, mean: Column) -> Column:
         spread = F.when((F.size(n) > 1) & (mean > 0), F.sqrt(squares(n, mean) / (F.size(n) - 1)) / mean).otherwise(F.lit(0.0))
-        found = F.struct(word_count(strip_markdown(text)).alias("words"), citation_count(text).alias("citations"))
+        found = bound(strip_markdown(t), lambda plain: F.struct(word_count(plain).alias("words"), citation_count(t).alias("citations"), reading_grade(plain).alias("grade")))
         full = lambda f: F.struct(
             f["words"].alias("words"), F.size(n).alias("sections"), f["citations"].alias("citations"), F.round(F.coalesce(F.try_divide(1000.0 * f["citations"], f["words"]), F.lit(0.0)), 4).alias("per_1000"),
-            F.round(mean, 2).alias("avg_section"), F.round(spread, 4).alias("cv_section"),
+            F.round(mean, 2).alias("avg_section"), F.round(spread, 4).alias("cv_section"), f["grade"].alias("grade"),
         )
         return bound(found, full)
 
-    whole = bound(lengths, lambda n: bound(total(n) / F.size(n), lambda mean: made(n, mean)))
-    none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("sections"), F.lit(0).alias("citations"), F.lit(0.0).alias("per_1000"), F.lit(0.0).alias("avg_section"), F.lit(0.0).alias("cv_section"))
-    return F.when(F.coalesce(text, F.lit("")).rlike(r"^\s*$"), none).otherwise(whole)
+    lengths = lambda t: F.transform(markdown_sections(t), lambda p: word_count(strip_markdown(p)))
+    whole = lambda t: bound(lengths(t), lambda n: bound(total(n) / F.size(n), lambda mean: made(t, n, mean)))
+    none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("sections"), F.lit(0).alias("citations"), *(F.lit(0.0).alias(c) for c in ("per_1000", "avg_section", "cv_section", "grade")))
+    return bound(text, lambda t: F.when(F.coalesce(t, F.lit("")).rlike(r"\S"), whole(t)).otherwise(none))

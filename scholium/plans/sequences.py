@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scholium.operators import joins, ordered, trees
+from scholium.operators import joins, ordered, trees, validation
 from scholium.plans.registry import query
 from scholium.session import table
 
@@ -83,19 +83,38 @@ def citation_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.citation_numbers(marked_sections(spark, sf_dir), "l_orderkey", "text")
 
 
-@query(f"""WITH {SECTIONS}, {MARKS}, v AS (SELECT l_orderkey, count(*) AS markers, count(DISTINCT cited) AS unique_markers, CAST(count(DISTINCT cited) FILTER (p_size < 25) AS BIGINT) AS valid, CAST(count(DISTINCT cited) FILTER (p_size >= 25 OR p_size IS NULL) AS BIGINT) AS invalid
-    FROM marks LEFT JOIN part ON p_partkey = CAST(cited AS BIGINT) GROUP BY 1),
-u AS (SELECT l_orderkey, count(*) AS uncited FROM (SELECT DISTINCT l_orderkey, CAST(l_suppkey AS VARCHAR) AS cited FROM lineitem WHERE l_returnflag = 'R') a ANTI JOIN marks USING (l_orderkey, cited) GROUP BY 1)
-SELECT v.*, coalesce(uncited, 0) AS uncited, CASE WHEN invalid > 0 THEN 'critical' WHEN uncited > 0 THEN 'major' ELSE 'ok' END AS severity FROM v LEFT JOIN u USING (l_orderkey)""")
+ASSIGNED = r"""drafted AS (SELECT o_orderkey AS section, coalesce(string_agg('Shown [@' || l_partkey || '].', ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (l_returnflag <> 'N'), '') AS text,
+    coalesce(list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (l_linenumber % 2 = 0), []) AS assigned FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+marked AS (SELECT section, regexp_extract_all(text, '\[@([^\]]+)\]', 1) AS m, assigned FROM drafted),
+split AS (SELECT section, list(id ORDER BY id) FILTER (p_partkey IS NOT NULL) AS valid, list(id ORDER BY id) FILTER (p_partkey IS NULL) AS invalid FROM (SELECT DISTINCT section, unnest(m) AS id FROM marked) LEFT JOIN (SELECT p_partkey FROM part WHERE p_size < 25) ON CAST(p_partkey AS VARCHAR) = id GROUP BY 1)"""
+
+
+def drafted_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A section for each order, with markers for some of its lines, and the parts assigned to it."""
+    at = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    raw = lambda p: p["l_partkey"].cast("string")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("section")).agg(F.array_sort(F.collect_list(at)).alias("lines"))
+    text = F.array_join(F.transform(F.filter("lines", lambda p: p["l_returnflag"] != "N"), lambda p: F.concat(F.lit("Shown [@"), raw(p), F.lit("]."))), " ")
+    found = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("section")).join(lines, "section", "left")
+    return found.select("section", text.alias("text"), F.transform(F.filter("lines", lambda p: p["l_linenumber"] % 2 == 0), raw).alias("assigned"))
+
+
+@query(f"""WITH {ASSIGNED} SELECT section, coalesce(array_to_string(valid, ','), '') AS valid, coalesce(array_to_string(invalid, ','), '') AS invalid, array_to_string(list_sort(list_filter(assigned, lambda x: NOT list_contains(m, x))), ',') AS uncited,
+    len(m) AS markers, len(list_distinct(m)) AS unique_markers FROM marked LEFT JOIN split USING (section)""")
 def citation_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markers of each section: valid, unknown, assigned papers without one, and how grave."""
-    numbered = ordered.citation_numbers(marked_sections(spark, sf_dir), "l_orderkey", "text")
-    known = table(spark, sf_dir, "part").filter("p_size < 25").select(F.col("p_partkey").cast("string").alias("cited"), F.lit(1).alias("known"))
-    found = numbered.join(known, "cited", "left").groupBy("l_orderkey").agg(F.sum("mentions").alias("markers"), F.count(F.lit(1)).alias("unique_markers"), F.count("known").alias("valid"), F.count_if(F.col("known").isNull()).alias("invalid"))
-    assigned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", F.col("l_suppkey").cast("string").alias("cited")).distinct()
-    uncited = assigned.join(numbered.select("l_orderkey", "cited"), ["l_orderkey", "cited"], "left_anti").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("uncited"))
-    found = found.join(uncited, "l_orderkey", "left").withColumn("uncited", F.coalesce("uncited", F.lit(0)).cast("long"))
-    return found.withColumn("severity", F.when(F.col("invalid") > 0, "critical").when(F.col("uncited") > 0, "major").otherwise("ok"))
+    """Every section's citations: valid, unknown, and assigned papers that it does not cite."""
+    known = table(spark, sf_dir, "part").filter("p_size < 25").select(F.col("p_partkey").cast("string").alias("id"))
+    found = validation.validate_sections(drafted_sections(spark, sf_dir), known, ["section"])
+    return found.select("section", *(F.array_join(c, ",").alias(c) for c in ("valid", "invalid", "uncited")), "markers", "unique_markers")
+
+
+@query(f"""WITH {ASSIGNED}, i AS (SELECT section, 'critical' AS severity, unnest(invalid) AS id FROM split UNION ALL SELECT section, 'major', unnest(list_filter(assigned, lambda x: NOT list_contains(m, x))) FROM marked)
+SELECT CAST(section AS VARCHAR) AS location, severity, CASE severity WHEN 'critical' THEN '[@' || id || '] cites a paper that is not in the corpus' ELSE '[@' || id || '] was assigned and is not cited' END AS description,
+    CASE severity WHEN 'critical' THEN 'remove [@' || id || '] or cite a paper of the corpus' ELSE 'cite [@' || id || '] or take it off the section' END AS suggested_fix FROM i""")
+def citation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults in the citations of all sections, one a row."""
+    known = table(spark, sf_dir, "part").filter("p_size < 25").select(F.col("p_partkey").cast("string").alias("id"))
+    return validation.issues(validation.validate_sections(drafted_sections(spark, sf_dir), known, ["section"]), "section")
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(t) AS line, generate_subscripts(t, 1) - 1 AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)),

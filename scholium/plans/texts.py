@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholium.functions import bibliography, text
+from scholium.functions.text import CONSONANTS, LETTERS, VOWELS
 from scholium.operators import metrics, sections
 from scholium.plans.registry import query
 from scholium.session import shared_folder, table
@@ -67,13 +68,18 @@ def head_tail_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 MARKDOWN = "'# **' || source || '**' || chr(10) || replace(text, chr(10), chr(10) || '## ') || ' [1] [2] [' || (doc_id % 3) || '] (Smith et al., 20' || (10 + doc_id % 2) || ') see [link](http://x) `code`'"
 STRIP = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^#{{1,6}}\s+', '', 'g'), '\*{{1,2}}|_{{1,2}}', '', 'g'), '`[^`]*`', '', 'g')"
 COUNT = r"len(list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> ''))"
+V, C = VOWELS, CONSONANTS
+SYLLABLES = f"""list_sum(list_transform(regexp_extract_all(lower(plain), '[{V}{C}]+'), lambda w: CASE WHEN NOT regexp_matches(w, '[{V}]') THEN 1 ELSE len(regexp_extract_all(w, '[{V}]+'))
+    - CASE WHEN (regexp_matches(w, '[{V}][{C}]+e$') AND NOT regexp_matches(w, '[{C}]le$')) OR (regexp_matches(w, '[{V}][{C}]+es$') AND NOT regexp_matches(w, '[sxzcgh]es$')) OR (regexp_matches(w, '[{V}][{C}]+ed$') AND NOT regexp_matches(w, '[td]ed$')) THEN 1 ELSE 0 END END))"""
+GRADE = f"""CASE WHEN len(regexp_extract_all(plain, '{LETTERS}')) = 0 THEN 0 ELSE round(0.39::DOUBLE * len(regexp_extract_all(plain, '{LETTERS}')) / greatest(1, len(list_filter(regexp_extract_all(plain, '[^.!?]+'), lambda x: len(regexp_extract_all(x, '{LETTERS}')) > 2)))
+    + 11.8::DOUBLE * {SYLLABLES} / len(regexp_extract_all(plain, '{LETTERS}')) - 15.59::DOUBLE, 2) END"""
 
 
-@query(rf"""WITH m AS (SELECT doc_id, {MARKDOWN} AS t FROM documents), s AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '(?m)^#{{1,3}}\s+'), lambda x: NOT regexp_matches(x, '^\s*$')) AS parts FROM m),
-c AS (SELECT doc_id, {COUNT.format(t=STRIP.format(t="t"))} AS words, list_transform(CASE WHEN len(parts) > 0 THEN parts ELSE [t] END, lambda p: {COUNT.format(t=STRIP.format(t="p"))}) AS n,
-    len(list_distinct(regexp_extract_all(t, '\[\d+\]'))) + len(list_distinct(regexp_extract_all(t, '\([A-Z][a-z]+ et al\.?,? \d{{4}}\)'))) AS citations FROM s)
+@query(rf"""WITH m AS (SELECT doc_id, {MARKDOWN} AS t FROM documents), s AS (SELECT doc_id, t, {STRIP.format(t="t")} AS plain, list_filter(regexp_split_to_array(t, '(?m)^#{{1,3}}\s+'), lambda x: NOT regexp_matches(x, '^\s*$')) AS parts FROM m),
+c AS (SELECT doc_id, {COUNT.format(t="plain")} AS words, list_transform(CASE WHEN len(parts) > 0 THEN parts ELSE [t] END, lambda p: {COUNT.format(t=STRIP.format(t="p"))}) AS n,
+    len(list_distinct(regexp_extract_all(t, '\[\d+\]'))) + len(list_distinct(regexp_extract_all(t, '\([A-Z][a-z]+ et al\.?,? \d{{4}}\)'))) AS citations, {GRADE} AS grade FROM s)
 SELECT doc_id, CAST(words AS INTEGER) AS words, CAST(len(n) AS INTEGER) AS sections, CAST(citations AS INTEGER) AS citations, round(1000.0::DOUBLE * citations / words, 4) AS per_1000, round(list_avg(n), 2) AS avg_section,
-    round(CASE WHEN len(n) > 1 AND list_avg(n) > 0 THEN sqrt(list_sum(list_transform(n, lambda x: (x - list_avg(n)) * (x - list_avg(n)))) / (len(n) - 1)) / list_avg(n) ELSE 0 END, 4) AS cv_section FROM c""")
+    round(CASE WHEN len(n) > 1 AND list_avg(n) > 0 THEN sqrt(list_sum(list_transform(n, lambda x: (x - list_avg(n)) * (x - list_avg(n)))) / (len(n) - 1)) / list_avg(n) ELSE 0 END, 4) AS cv_section, grade FROM c""")
 def structural_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, sections and citations of markdown texts."""
     year = (10 + F.col("doc_id") % 2).cast("string")
