@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scholium.operators import rounds, trees
+from scholium.operators import evidence, remediation, rounds, trees
 from scholium.plans.registry import query
 from scholium.session import table
 
@@ -180,3 +180,57 @@ def corpus_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = orders.join(have, "section", "left").select("review", "section", (F.col("section") % 3 != 0).alias("asked"), F.coalesce("papers", F.array().cast("array<bigint>")).alias("papers"))
     done = rounds.expansion_round(sections, found, known.join(orders, "section"), "review")
     return done.select(F.col("section").alias("o_orderkey"), joined(F.col("papers")).alias("papers"))
+
+
+STRENGTH = "CASE l_linenumber WHEN 1 THEN 'strong' WHEN 2 THEN 'moderate' WHEN 3 THEN 'weak' WHEN 4 THEN 'preliminary' ELSE 'odd' END"
+
+
+@query(f"""WITH f AS (SELECT l_suppkey AS theme, count(*) AS n_findings, md5(string_agg(l_returnflag || l_partkey, ',' ORDER BY l_partkey, l_orderkey * 10 + l_linenumber, l_returnflag || l_partkey)) AS findings,
+    concat_ws(',', count_if({STRENGTH} = 'strong'), count_if({STRENGTH} = 'moderate'), count_if({STRENGTH} = 'weak'), count_if({STRENGTH} = 'preliminary'), count_if({STRENGTH} = 'odd')) AS strengths FROM lineitem GROUP BY 1),
+c AS (SELECT l_suppkey AS theme, count(*) AS n_contradictions FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 2 GROUP BY 1), p AS (SELECT DISTINCT l_suppkey AS theme, l_orderkey AS paper, year(l_shipdate) AS y FROM lineitem),
+s AS (SELECT theme, count(*) AS n_papers, min(y) AS a, max(y) AS b FROM p GROUP BY 1), e AS (SELECT theme, count_if(y <= a + (b - a) // 2) AS n_early FROM p JOIN s USING (theme) GROUP BY 1),
+g AS (SELECT l_suppkey AS theme, count(*) AS n_gaps, CASE WHEN bool_or(l_discount > 0.08) THEN 'major' ELSE 'minor' END AS severity FROM lineitem WHERE l_linenumber = 5 GROUP BY 1)
+SELECT s_suppkey AS theme, s_name AS name, coalesce(n_findings, 0) AS n_findings, coalesce(findings, md5('')) AS findings, coalesce(strengths, '0,0,0,0,0') AS strengths, coalesce(n_contradictions, 0) AS n_contradictions, coalesce(n_papers, 0) AS n_papers,
+    CASE WHEN n_papers >= 4 AND b - a >= 3 THEN a || '-' || b || ':' || n_early || '+' || (n_papers - n_early) END AS progression, coalesce(n_gaps, 0) AS n_gaps, severity
+FROM supplier LEFT JOIN f ON f.theme = s_suppkey LEFT JOIN c ON c.theme = s_suppkey LEFT JOIN s ON s.theme = s_suppkey LEFT JOIN e ON e.theme = s_suppkey LEFT JOIN g ON g.theme = s_suppkey""")
+def evidence_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is known of each theme, in one row and by one shuffle."""
+    lines, of = table(spark, sf_dir, "lineitem"), F.col("l_suppkey").alias("theme")
+    strength = F.when(F.col("l_linenumber") == 1, "strong").when(F.col("l_linenumber") == 2, "moderate").when(F.col("l_linenumber") == 3, "weak").when(F.col("l_linenumber") == 4, "preliminary").otherwise("odd")
+    found = evidence.evidence_map(
+        table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("theme"), F.col("s_name").alias("name")),
+        lines.select(of, F.col("l_partkey").alias("paper"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("claim"), strength.alias("strength")),
+        lines.filter("l_returnflag = 'A' AND l_linenumber = 2").select(of, F.col("l_partkey").alias("left"), F.col("l_orderkey").alias("right"), F.col("l_linestatus").alias("text")),
+        lines.select(of, F.col("l_orderkey").alias("paper"), F.year("l_shipdate").alias("year")),
+        lines.filter("l_linenumber = 5").select(of, F.col("l_partkey").cast("string").alias("topic"), F.when(F.col("l_discount") > 0.08, "major").otherwise("minor").alias("severity"), F.col("l_discount").alias("coverage")),
+    )
+    size = lambda c: F.size(c).cast("long").alias(f"n_{c}")
+    listed = F.md5(F.array_join(F.transform("findings", lambda f: f["claim"]), ","))
+    strengths = F.concat_ws(",", *(F.col(f"strengths.{s}").cast("string") for s in (*evidence.STRENGTHS, "other")))
+    p = F.col("progression")
+    years = F.concat(p["first_year"].cast("string"), F.lit("-"), p["last_year"].cast("string"), F.lit(":"), p["n_early"].cast("string"), F.lit("+"), p["n_late"].cast("string"))
+    return found.select("theme", "name", size("findings"), listed.alias("findings"), strengths.alias("strengths"), size("contradictions"), size("papers"), years.alias("progression"), size("gaps"), "severity")
+
+
+@query()
+def remedied_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews (a customer's orders are its candidates) after all remedies that their caps allow, with the audit of each."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    review = F.col("o_custkey").alias("review")
+    topic = lambda c: F.concat(F.lit("t"), (F.col(c) % 4).cast("string"))
+    score = (1 + F.col("o_orderkey") % 7 % 4).cast("int")
+    candidates = orders.select(review, F.col("o_orderkey").alias("paper"), score.alias("score"), topic("o_orderkey").alias("topic"))
+    asked = orders.filter("o_orderpriority = '1-URGENT'").select(review, F.col("o_orderstatus").alias("db"), F.concat(F.lit("q"), (F.col("o_orderkey") % 9).cast("string")).alias("query")).distinct()
+    bought = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(review, "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    suggested = bought.select("review", topic("l_partkey").alias("topic"), F.when(F.col("l_returnflag") == "N", "O").otherwise("F").alias("db"), F.concat(F.lit("q"), (F.col("l_suppkey") % 20).cast("string")).alias("query")).distinct()
+    offers = bought.select("review", F.concat(F.lit("q"), (F.col("l_suppkey") % 20).cast("string")).alias("query"), (-F.col("l_partkey")).alias("paper"), (1 + F.col("l_linenumber") % 4).cast("int").alias("score"), topic("l_suppkey").alias("topic"))
+    gaps = orders.groupBy("o_custkey", topic("o_orderkey").alias("topic")).agg(F.count(F.lit(1)).alias("n")).select(review, "topic", F.when(F.col("n") > 1, "major").otherwise("minor").alias("severity"), (F.col("n") + 1).alias("needed"))
+    state = remediation.State(asked, candidates, candidates.filter("score >= 3").select("review", "paper", "topic", F.lit("first").alias("how")))
+    world = remediation.World(suggested, suggested.select("review", "topic", "query"), offers, gaps)
+    after, audit = remediation.remedy(state, world)
+    counts = after.screened.groupBy("review").agg(F.count(F.lit(1)).alias("screened"), F.count_if(F.col("how") == "gap").alias("by_gap"), F.count_if(F.col("how") == "lowered").alias("lowered"))
+    entry = F.concat_ws(":", F.col("round").cast("string"), "action", F.col("cause").cast("string"), F.col("changed").cast("string"))
+    audits = audit.groupBy("review").agg(F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("audit"))
+    queries = after.queries.groupBy("review").agg(F.count(F.lit(1)).alias("queries"))
+    found = after.candidates.groupBy("review").agg(F.count(F.lit(1)).alias("candidates"))
+    return found.join(counts, "review", "left").join(queries, "review", "left").join(audits, "review", "left").fillna(0, ["screened", "by_gap", "lowered", "queries"]).fillna("", ["audit"])
