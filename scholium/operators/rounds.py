@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholium.operators.dedup import only_new
+from scholium.operators.dedup import only_new, snowball
+from scholium.operators.ordered import placed
+from scholium.session import materialise, reread
 
 
 def append_absent(existing: DataFrame, new: DataFrame, group: str, value: str) -> DataFrame:
@@ -120,3 +122,37 @@ def expansion_round(sections: DataFrame, found: DataFrame, corpus: DataFrame, re
     new = first.groupBy(review).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("_new"))
     whole = F.when(F.col("asked") & F.col("_new").isNotNull(), appended(F.col("papers"), F.col("_new"))).otherwise(F.col("papers"))
     return sections.join(new, review, "left").withColumn("papers", whole).drop("_new")
+
+
+def citation_frontier(passages: DataFrame, edges: DataFrame, hops: int = 2, first: int = 10) -> DataFrame:
+    """Papers that the citations of each passage lead to: passage, hop (from 1), rank and paper.
+
+    passages: passage, paper (what it cites); edges: paper, cited. Each hop takes
+    the papers that those of the hop before cite (at first those of the passage),
+    without any that the passage cites or an earlier hop found, and keeps the
+    ``first`` most cited of them, the smaller id first. Every hop is written;
+    the work of a hop is that of its frontier, not of the graph's paths.
+    """
+    links = edges.select("paper", "cited").filter("paper IS NOT NULL AND cited IS NOT NULL").distinct()
+    weight = links.groupBy("cited").agg(F.count(F.lit(1)).alias("weight"))
+    seen = [materialise(passages.select("passage", "paper", F.lit(0).alias("hop"), F.lit(0).alias("rank")).distinct())]
+    best = Window.partitionBy("passage").orderBy(F.desc("weight"), "cited")
+    for hop in range(1, hops + 1):
+        reached = seen[-1].select("passage", "paper").join(links, "paper").select("passage", "cited").distinct()
+        fresh = reached.join(reread(seen).select("passage", F.col("paper").alias("cited")), ["passage", "cited"], "left_anti")
+        ranked = fresh.join(weight, "cited").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= first)
+        seen.append(materialise(ranked.select("passage", F.col("cited").alias("paper"), F.lit(hop).alias("hop"), "rank")))
+    return reread(seen).filter("hop > 0").select("passage", "hop", "rank", "paper")
+
+
+def passage_search(passages: DataFrame, edges: DataFrame, papers: DataFrame, known: DataFrame, hops: int = 2, first: int = 10) -> DataFrame:
+    """New papers for passages: what their citations lead to, without known DOIs and without what an earlier passage brought.
+
+    passages: passage, paper; edges: paper, cited; papers: paper, doi, title;
+    known: doi. The papers of all passages, by passage, hop and rank, go through
+    one snowball; papers without a DOI are never known. Gives passage, hop, rank,
+    paper and place (its number in that order, from 0).
+    """
+    found = citation_frontier(passages, edges, hops, first).join(papers.select("paper", "doi", "title"), "paper")
+    order = placed(only_new(found, known, "doi"), ["passage", "hop", "rank"])
+    return snowball(order, "place").select("passage", "hop", "rank", "paper", "place")

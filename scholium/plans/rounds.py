@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholium.operators import evidence, remediation, rounds, trees
+from scholium.plans.corpus import FOLD
 from scholium.plans.registry import query
 from scholium.session import table
 
@@ -234,3 +235,21 @@ def remedied_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = after.queries.groupBy("review").agg(F.count(F.lit(1)).alias("queries"))
     found = after.candidates.groupBy("review").agg(F.count(F.lit(1)).alias("candidates"))
     return found.join(counts, "review", "left").join(queries, "review", "left").join(audits, "review", "left").fillna(0, ["screened", "by_gap", "lowered", "queries"]).fillna("", ["audit"])
+
+
+@query(f"""WITH RECURSIVE last AS (SELECT max(p_partkey) AS m FROM part), edges AS (SELECT DISTINCT l_partkey AS paper, 1 + (l_orderkey + 7 * l_suppkey) % m AS cited FROM lineitem, last), weight AS (SELECT cited, count(*) AS weight FROM edges GROUP BY 1),
+h0 AS (SELECT DISTINCT l_suppkey AS passage, l_partkey AS paper FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1),
+h1 AS (SELECT passage, cited AS paper, row_number() OVER (PARTITION BY passage ORDER BY weight DESC, cited) AS rank FROM (SELECT DISTINCT passage, cited FROM h0 JOIN edges USING (paper)) ANTI JOIN (SELECT passage, paper AS cited FROM h0) USING (passage, cited) JOIN weight USING (cited) QUALIFY rank <= 10),
+h2 AS (SELECT passage, cited AS paper, row_number() OVER (PARTITION BY passage ORDER BY weight DESC, cited) AS rank FROM (SELECT DISTINCT passage, cited FROM h1 JOIN edges USING (paper)) ANTI JOIN (SELECT passage, paper AS cited FROM h0 UNION ALL SELECT passage, paper FROM h1) USING (passage, cited) JOIN weight USING (cited) QUALIFY rank <= 10),
+found AS (SELECT passage, hop, rank, paper, CASE WHEN p_partkey % 3 > 0 THEN '10.1/' || upper(p_brand) || p_size END AS doi, p_name AS title FROM (SELECT passage, 1 AS hop, rank, paper FROM h1 UNION ALL SELECT passage, 2, rank, paper FROM h2) JOIN part ON p_partkey = paper),
+given AS (SELECT row_number() OVER (ORDER BY passage, hop, rank) - 1 AS pos, * FROM found WHERE doi IS NULL OR lower(doi) NOT IN (SELECT lower('10.1/' || p_brand || p_size) FROM part WHERE p_partkey % 11 = 0)), {FOLD}
+SELECT passage, hop, CAST(rank AS INTEGER) AS rank, paper, pos AS place FROM fold JOIN given ON pos = kept""")
+def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New papers that the citations of each passage lead to within two hops, by one snowball over all passages."""
+    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    last = part.agg(F.max("p_partkey").alias("m"))
+    edges = lines.join(F.broadcast(last)).select(F.col("l_partkey").alias("paper"), (1 + (F.col("l_orderkey") + 7 * F.col("l_suppkey")) % F.col("m")).alias("cited"))  # one row
+    passages = lines.filter("l_returnflag = 'R' AND l_linenumber = 1").select(F.col("l_suppkey").alias("passage"), F.col("l_partkey").alias("paper"))
+    doi = F.concat(F.lit("10.1/"), F.upper("p_brand"), F.col("p_size").cast("string"))
+    papers = part.select(F.col("p_partkey").alias("paper"), F.when(F.col("p_partkey") % 3 > 0, doi).alias("doi"), F.col("p_name").alias("title"))
+    return rounds.passage_search(passages, edges, papers, part.filter("p_partkey % 11 = 0").select(doi.alias("doi")))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scholium.operators import dedup, ordered
+from scholium.operators import dedup, ordered, rounds
 
 
 def fold(rows):
@@ -80,3 +80,27 @@ def test_no_range_holds_all_rows(spark):
     frame = spark.range(10_000).select("id", F.lit(1).alias("k"))
     sizes = [r["count"] for r in ordered.parts_in_order(frame, ["id"], 10).groupBy("_part").count().collect()]
     assert len(sizes) == 10 and max(sizes) < 2_500
+
+
+def test_citation_frontier_and_passage_search(spark):
+    rnd = random.Random(3)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(240)] + [(None, 3), (4, None)]
+    passages = [(p, rnd.randrange(60)) for p in "abc" for _ in range(4)] + [("d", 999)]
+    papers = [(k, rnd.choice([None, "", f"10.1/{k % 23}"]), f"Title {k % 41}") for k in range(60)]
+    links = {(a, b) for a, b in edges if a is not None and b is not None}
+    weight = {b: sum(y == b for _, y in links) for _, b in links}
+    want = []
+    for p in "abcd":
+        seen = front = {x for q, x in passages if q == p}
+        for hop in (1, 2, 3):
+            fresh = {b for a, b in links if a in front} - seen
+            best = sorted(fresh, key=lambda b: (-weight[b], b))[:5]
+            want += [(p, hop, r + 1, b) for r, b in enumerate(best)]
+            seen, front = seen | set(best), set(best)
+    frames = [spark.createDataFrame(passages, "passage string, paper int"), spark.createDataFrame(edges, "paper int, cited int")]
+    assert sorted(map(tuple, rounds.citation_frontier(*frames, hops=3, first=5).collect())) == want
+    known = {"10.1/4", "10.1/9"}
+    fresh = [(*w, *papers[w[3]][1:]) for w in want if papers[w[3]][1] not in known]
+    kept = fold([(k, doi, title) for k, (*_, doi, title) in enumerate(fresh)])
+    found = rounds.passage_search(*frames, spark.createDataFrame(papers, "paper int, doi string, title string"), spark.createDataFrame([(k,) for k in known], "doi string"), hops=3, first=5)
+    assert sorted(map(tuple, found.collect())) == [(*fresh[k][:4], k) for k in kept]
