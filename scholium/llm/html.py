@@ -7,8 +7,12 @@ counted over the pages of its host, in Spark, and what recurs in at least
 all its text, inside an article as well. Pages with the same text count as one,
 so that copies of an article are no evidence of a template.
 Scripts, forms, navigation, notices, adverts and comments go by their tags,
-roles and class names, for hosts with too few pages to count. Where a page
-marks its article (article, main, role=main), the text is what lies in it.
+roles and class names, for hosts with too few pages to count. A class name or id
+counts if all its parts are words of page furniture or of layout, one at least of
+furniture (site-footer, but not menu-planning); headings and paragraphs of a
+marked article do not go by their names. Where a page marks its article (article,
+main, role=main), the text is what lies in it, unless that is under ``MAIN_SHARE``
+of what is no furniture, as a teaser is. Pages without a host are not counted.
 
 What the scan finds is written and read back: the page itself is read once. The
 scan takes time in proportion to the page, however deep or broken it is.
@@ -31,28 +35,30 @@ from scholium.session import materialise
 
 MANY_PAGES = 5
 MANY_SHARE = 0.5
-#: Tags with unbalanced quotes after which a page's tags are taken to end at the next >, whatever is quoted.
-BROKEN_TAGS = 100
+MAIN_SHARE = 0.25
 
 # fixed values: element names and class words
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "object", "canvas", "title"}
+RAW = {"script", "style", "textarea", "title"}
+TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-CHROME = {"head", "nav", "footer", "aside", "form", "button", "menu", "dialog"}
+CHROME = {"head", "nav", "footer", "aside", "form", "button", "menu", "dialog", "select", "noscript", "template", "iframe"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "head", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 CONTAINERS = {"nav", "header", "footer", "aside", "div", "section", "ul", "ol", "dl", "table", "form", "menu", "p", "figure", "details"}
-CHROME_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|disqus|share|sharing|social|related|recommended|widget|toolbar|pagination|skip-link)(?:$|[\s_-])",
-    re.IGNORECASE,
+CHROME_WORDS = set(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal newsletter subscribe sidebar menu nav navbar navigation"
+    " breadcrumb breadcrumbs footer masthead comment comments disqus share sharing social related recommended widget toolbar pagination skip".split()
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
-TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>")
-LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>")
+LAYOUT_WORDS = set("site page main top bottom left right global primary secondary header box bar block slot unit area container wrapper wrap inner outer content section list item items link links group panel row column col post article user reader js the".split())
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+TAG_STOP = re.compile(r"[>\"']")
+PARTS = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
 #: Start tags that end an open element of the same kind.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPES = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "td", "th", "blockquote", "aside", "nav", "form", "header", "footer", "menu"}
+SCOPES = {"button", "iframe", "noscript", "object", "select", "template", "ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "td", "th", "blockquote", "aside", "nav", "form", "header", "footer", "menu"}
 
 
 class Element:
@@ -64,7 +70,16 @@ class Element:
         self.digest = xxhash.xxh3_64(f"<{tag} {' '.join(attributes.split())}>".encode("utf-8", "surrogatepass"))
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
+def _furniture(names: str) -> bool:
+    """Whether a class attribute or an id names page furniture."""
+    for name in names.split():
+        parts = [x.lower().rstrip("0123456789") for x in PARTS.split(name)]
+        if any(x in CHROME_WORDS for x in parts) and all(not x or x in CHROME_WORDS or x in LAYOUT_WORDS for x in parts):
+            return True
+    return False
+
+
+def _marks(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
     """Whether an element is page furniture, and whether it is the main content."""
     chrome, main = tag in CHROME, tag in ("article", "main")
     for m in ATTRIBUTE.finditer(attributes):
@@ -74,7 +89,7 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
         elif name == "role":
             main |= value == "main"
             chrome |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
-        elif tag not in ("html", "body", "main") and CHROME_WORDS.search(value):
+        elif name in ("class", "id") and tag not in ("html", "body", "main") and not (in_main and tag in TEXT_TAGS) and _furniture(value):
             chrome = True
     return chrome, main
 
@@ -86,22 +101,27 @@ class Scan:
         self.page, self.stack, self.blocks, self.parts = page, [], [], []
         self.parents: list[int] = []
         self.hashes: list[int | None] = []
-        self.inner_candidate, self.has_main = -1, False
+        self.inner_candidate = -1
+        #: Place on the stack of the furniture that stands in a line of text, if any.
+        self.aside = -1
+        self.unclosed: set[int] = set()
         self.open_tags: Counter[str] = Counter()
         self.n_chrome = self.n_main = 0
         self._run()
 
-    def _flush(self) -> None:
-        if self.parts:
+    def _flush(self, depth: int) -> None:
+        """End the block of text; within furniture that stands in a line, above ``depth``, the line goes on."""
+        if self.parts and not (0 <= self.aside < depth):
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                self.has_main |= self.n_main > 0 and not self.n_chrome
-                self.blocks.append((text, self.n_chrome > 0, self.n_main > 0, self.inner_candidate))
+                chrome = self.n_chrome - sum(e.chrome for e in self.stack[self.aside :]) if self.aside >= 0 else self.n_chrome
+                self.blocks.append((text, chrome > 0, self.n_main > 0, self.inner_candidate))
 
     def _text(self, raw: str) -> None:
         if raw:
-            self.parts.append(entities.unescape(raw) if "&" in raw else raw)
+            if self.aside < 0:
+                self.parts.append(entities.unescape(raw) if "&" in raw else raw)
             if self.stack and (words := raw.split()):
                 top = self.stack[-1]
                 plain = " ".join(words)
@@ -112,7 +132,7 @@ class Scan:
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
-            self._flush()
+            self._flush(len(self.stack))
         ends = CLOSES.get(tag) or ({"p"} if tag in BLOCK else ())
         if any(self.open_tags[t] for t in ends):
             for k in range(len(self.stack) - 1, -1, -1):
@@ -121,7 +141,7 @@ class Scan:
                     break
                 if self.stack[k].tag in SCOPES:
                     break
-        chrome, main = _marks(tag, attributes) if attributes.strip() else (tag in CHROME, tag in ("article", "main"))
+        chrome, main = _marks(tag, attributes, self.n_main > 0) if attributes.strip() else (tag in CHROME, tag in ("article", "main"))
         if tag == "header" and not self.n_main:
             chrome = True
         element = Element(tag, attributes, chrome, main)
@@ -131,18 +151,22 @@ class Scan:
             self.parents.append(self.inner_candidate)
             self.inner_candidate = element.candidate
         self.stack.append(element)
+        if chrome and tag not in BLOCK and self.aside < 0:
+            self.aside = len(self.stack) - 1
         self.open_tags[tag] += 1
         self.n_chrome += chrome
         self.n_main += main
 
     def _close_to(self, k: int) -> None:
         """End the elements from the k-th on."""
-        self._flush()
+        self._flush(k)
         while len(self.stack) > k:
             e = self.stack.pop()
             self.open_tags[e.tag] -= 1
             self.n_chrome -= e.chrome
             self.n_main -= e.main
+            if self.aside == len(self.stack):
+                self.aside = -1
             own = e.digest.intdigest() - (1 << 63)
             if e.candidate >= 0:
                 self.inner_candidate = self.parents[e.candidate]
@@ -165,7 +189,7 @@ class Scan:
                 else:
                     self._close_inline(k)
                 return
-            if tag not in BLOCK and self.stack[k].tag in BLOCK:
+            if tag not in BLOCK and tag not in CHROME and self.stack[k].tag in BLOCK:
                 return  # it ends with the block around
 
     def _close_inline(self, k: int) -> None:
@@ -173,9 +197,27 @@ class Scan:
         self._close_to(k)
         self.parts = parts
 
+    def _tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag: the first outside quotes, or where a quote is never closed, the first of all.
+
+        Opening quotes from which the end of the page was reached in vain are kept,
+        so each is followed once.
+        """
+        seen, place = [], at
+        while m := TAG_STOP.search(self.page, place):
+            if m[0] == ">":
+                return m.start()
+            close = -1 if m.start() in self.unclosed else self.page.find(m[0], m.end())
+            seen.append(m.start())
+            if close < 0:
+                break
+            place = close + 1
+        self.unclosed.update(seen)
+        return self.page.find(">", at)
+
     def _run(self) -> None:
         page, at, size = self.page, 0, len(self.page)
-        last, broken = page.rfind(">"), 0
+        last = page.rfind(">")
         while at < size:
             start = page.find("<", at)
             if start < 0 or start > last and not page.startswith(("<!", "<?"), start):
@@ -189,15 +231,13 @@ class Scan:
                 end = page.find(">", start)
                 at = size if end < 0 else end + 1
                 continue
-            m = TAG.match(page, start) if broken < BROKEN_TAGS else None
-            if not m:
-                m = LOOSE_TAG.match(page, start)
-                broken += bool(m)
-            if not m:
+            m = TAG.match(page, start)
+            end = self._tag_end(m.end()) if m else -1
+            if end < 0:
                 self._text("<")
                 at = start + 1
                 continue
-            closing, tag, at = m[1], m[2].lower(), m.end()
+            closing, tag, attributes, at = m[1], m[2].lower(), page[m.end() : end], end + 1
             if closing:
                 self._end(tag)
             elif tag in RAW:
@@ -205,19 +245,22 @@ class Scan:
                 at = end.end() if end else size
             elif tag in VOID:
                 if tag in BLOCK:
-                    self._flush()
+                    self._flush(len(self.stack))
                 elif tag == "br":
                     self.parts.append(" ")
-            elif m[3].endswith("/") and tag not in BLOCK:
+            elif attributes.endswith("/") and tag not in BLOCK:
                 pass
             else:
-                self._open(tag, m[3])
+                self._open(tag, attributes)
         self._text(page[at:])
         self._close_to(0)
 
     def kept(self) -> list[tuple[str, int]]:
         """Text and innermost candidate of the blocks that tags and names leave."""
-        return [(text, inside) for text, chrome, main, inside in self.blocks if not chrome and (main or not self.has_main)]
+        left = [(text, main, inside) for text, chrome, main, inside in self.blocks if not chrome]
+        marked = sum(len(t) for t, main, _ in left if main)
+        only_main = marked > 0 and marked >= MAIN_SHARE * sum(len(t) for t, _, _ in left)
+        return [(text, inside) for text, main, inside in left if main or not only_main]
 
 
 def left_of(texts: list[str], inside: list[int], parents: list[int], hashes: list[int | None], gone: set[int]) -> str:
@@ -237,7 +280,8 @@ def extract(pages: DataFrame, many: int = MANY_PAGES, share: float = MANY_SHARE)
     """Main text of each page: page_id, url, text.
 
     A null or empty page has an empty text, and so has one without text of its
-    own. Repeated rows each give a row (and count as one page of their host).
+    own. Pages without a url, or a host in it, are cut by tags and names alone.
+    Repeated rows each give a row (and count as one page of their host).
     Columns other than page_id, url and html are not read.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
@@ -252,8 +296,8 @@ def extract(pages: DataFrame, many: int = MANY_PAGES, share: float = MANY_SHARE)
                     made = Scan(page)
                     kept = made.kept()
                     texts = [t for t, _ in kept]
-                    inner = any(c >= 0 for _, c in kept)  # else no template can take anything
                     hosts.append(host_of(url))
+                    inner = hosts[-1] != "" and any(c >= 0 for _, c in kept)  # else no template can take anything
                     contents.append(xxhash.xxh3_64_intdigest("\n".join(texts).encode("utf-8", "surrogatepass")) - (1 << 63))
                     found.append((texts, [c for _, c in kept], made.parents if inner else [], made.hashes if inner else []))
                 lists = [pa.array([f[k] for f in found], pa.list_(t)) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64()))]

@@ -80,3 +80,35 @@ def test_query_on_pages(spark):
         want = [" ".join(entities.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("<(?:h1|p)>", article)]
         assert r.text == "\n".join(w for w in want if w)
         assert r.n_chars == len(r.text)
+
+
+def test_nothing_of_the_article_goes_by_a_likeness_of_names():
+    # expected texts written by hand
+    cases = {
+        '<article><p>one</p><div style="overflow:hidden"><p>two text</p></div><p title="the hidden door">b</p><div data-id="nav">c</div></article>': "one\ntwo text\nb\nc",
+        '<article><h2 id="related-work">R</h2><section id="social-history">S</section><div class="menu-planning">M</div><p class="share">P</p></article>': "R\nS\nM\nP",
+        '<article><p>a</p><select><option>x</select><p>b <object>fall back</object> <svg><text>drawn</text></svg></p></article>': "a\nb fall back drawn",
+        "<article><p>x <select> y<p>z</article>": "x",
+        "<article>teaser</article><div>" + "long main body " * 10 + "</div>": "teaser\n" + ("long main body " * 10).strip(),
+        '<p title="a > b">q</p>' * 150: "\n".join("q" * 150),
+        "<p title='a>text</p><p>more</p>": "text\nmore",
+        '<div class="site-footer">f</div><div class="ad-slot2">g</div><div id="cookieBanner">h</div><div class="navigator">k</div>': "k",
+        "<p>before <button>x</button> after</p><p>h <noscript><p>i</p></noscript> j</p>": "before after\nh j",
+        '<nav><span class="menu">a</span> b</nav>c<div hidden>d</div><div HIDDEN=x>e</div><div aria-hidden="true">f</div><div aria-hidden=false>g</div>': "c\ng",
+        "<object>one<p>two": "one\ntwo",
+    }
+    for page, want in cases.items():
+        assert text_of(page) == want, page
+
+
+def test_broken_quotes_take_time_in_proportion():
+    began = time.process_time()
+    for page in ('<a "' * 40_000 + ">", "<a '" * 10_000 + '<b "' * 10_001 + ">", "<p title='x>" * 40_001):
+        html.Scan(page)
+    assert time.process_time() - began < 10
+
+
+def test_pages_without_a_host_are_not_counted(spark):
+    rows = [(i, None if i % 2 else "no host", f"<div>Motto</div><div>Story {i}</div>") for i in range(12)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Motto\nStory {i}" for i in range(12)}
