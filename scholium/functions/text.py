@@ -150,3 +150,39 @@ def escape_latex(text: Column) -> Column:
     for c in "&%$#_{}":
         text = F.replace(text, F.lit(c), F.lit("\\" + c))
     return F.replace(F.replace(text, F.lit("~"), F.lit("\\textasciitilde{}")), F.lit("^"), F.lit("\\^{}"))
+
+
+def inverted_index(words: Column) -> Column:
+    """array<struct<word, places>> of a list of words, by word: built within the row."""
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("place"))))
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["word"] != x["word"]), i)), lambda i: i.isNotNull())
+        return bound(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i)["word"].alias("word"), F.transform(F.slice(s, i + 1, F.coalesce(F.get(at, k + 1), F.size(s)) - i), lambda x: x["place"]).alias("places"))))
+
+    return bound(placed, runs)
+
+
+def from_index(index: Column) -> Column:
+    """The words of an inverted index by place, then word."""
+    placed = F.flatten(F.transform(index, lambda e: F.transform(e["places"], lambda p: F.struct(p.alias("place"), e["word"].alias("word")))))
+    return F.transform(F.array_sort(placed), lambda x: x["word"])
+
+
+def outline_depth(number: Column) -> Column:
+    """Depth of a section by its number: 1.2.3 has three levels."""
+    return F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1
+
+
+# fixed values: publishers by the prefixes of their DOIs
+PUBLISHERS = {
+    "elsevier": ("10.1016/", "10.1006/", "10.1053/"),
+    "springer": ("10.1038/", "10.1007/", "10.1186/", "10.1057/", "10.1140/", "10.1365/", "10.1251/"),
+    "biorxiv": ("10.1101/",),
+}
+
+
+def publisher(doi: Column) -> Column:
+    """The publisher that a DOI is routed to; null for others."""
+    routes = [F.when(F.array_contains(F.array(*(F.lit(p) for p in prefixes)), F.substring(doi, 1, 8)), name) for name, prefixes in PUBLISHERS.items()]
+    return F.coalesce(*routes)

@@ -9,6 +9,8 @@ from scholium.functions.references import stripped
 from scholium.functions.text import slug_title, url_year
 
 CITED = r"\[(\d+)\]"
+# fixed value: a year in a text
+TEXT_YEAR = r"(?:^|[\s,(])(\d{4})(?=[)\s,.\-;]|$)"
 
 
 def contexts(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -25,13 +27,42 @@ def papers(citations: DataFrame, context: DataFrame, key: str) -> DataFrame:
     citations: key, idx (from 1) and url. The context of the number is the
     abstract; its latest plausible year stands in for one in the URL.
     """
-    years = F.transform(F.regexp_extract_all("context", F.lit(r"(?:^|[\s,(])(\d{4})(?=[)\s,.\-;]|$)"), 1), lambda y: y.cast("int"))
+    years = F.transform(F.regexp_extract_all("context", F.lit(TEXT_YEAR), 1), lambda y: y.cast("int"))
     told = F.array_max(F.filter(years, lambda y: y.between(1900, 2030)))
     doi = F.regexp_extract("url", r"(?i)doi\.org/(10\.\d{4,9}/\S+)", 1)
     found = citations.withColumn("url", F.trim("url")).join(context, [key, "idx"], "left").withColumn("title", slug_title(F.col("url"))).filter("title IS NOT NULL")
     return found.withColumns({"doi": F.when(doi != "", F.regexp_replace(doi, r"\.+$", "")), "year": F.coalesce(url_year(F.col("url")), told), "abstract": F.col("context")})
 
 
+def structured(citations: DataFrame, context: DataFrame, key: str) -> DataFrame:
+    """Citation objects of answers as papers: key, idx, title, authors, year, doi, abstract and url.
+
+    citations: key, idx (from 1) and citation, the JSON of an object with title,
+    url, author or authors (a string with commas, or a list), published_date or
+    year (a number or a text), doi, and snippet or abstract. What is absent or
+    empty is taken from the URL (title from its slug, year, DOI) or from the
+    context of the number (abstract). Citations that are no objects, or have no
+    title in the end, give no row.
+    """
+    field = lambda name, kind="string": F.try_variant_get("c", f"$.{name}", kind)
+    given = lambda *names: F.coalesce(*(F.when(field(n) != "", field(n)) for n in names))
+    parsed = citations.withColumn("c", F.try_parse_json("citation")).filter(F.startswith(F.schema_of_variant("c"), F.lit("OBJECT"))).join(context, [key, "idx"], "left")
+    url = F.coalesce(field("url"), F.lit(""))
+    people = lambda name: F.coalesce(F.try_variant_get("c", f"$.{name}", "array<string>"), F.split(F.when(~F.startswith(F.schema_of_variant(F.try_variant_get("c", f"$.{name}", "variant")), F.lit("ARRAY")), field(name)), ","))
+    listed = lambda name: F.filter(F.transform(people(name), stripped), lambda x: x != "")
+    some = lambda name: F.when(F.size(listed(name)) > 0, listed(name))
+    told = lambda text: F.array_max(F.filter(F.transform(F.regexp_extract_all(text, F.lit(TEXT_YEAR), 1), lambda y: y.cast("int")), lambda y: y.between(1900, 2030)))
+    dated = given("published_date", "year")
+    number = lambda name: F.when(F.schema_of_variant(F.try_variant_get("c", f"$.{name}", "variant")) == "BIGINT", field(name, "int"))
+    year = F.coalesce(F.when(field("published_date").isNull() | (field("published_date") == ""), number("year")).otherwise(number("published_date")), told(dated), url_year(url))
+    doi = F.regexp_extract(url, r"(?i)doi\.org/(10\.\d{4,9}/\S+)", 1)
+    found = parsed.select(
+        key, "idx", F.coalesce(given("title"), slug_title(F.when(url != "", url))).alias("title"), F.coalesce(some("author"), some("authors"), F.array().cast("array<string>")).alias("authors"), year.alias("year"),
+        F.coalesce(given("doi"), F.when(doi != "", F.regexp_replace(doi, r"\.+$", ""))).alias("doi"), F.coalesce(given("snippet", "abstract"), F.col("context")).alias("abstract"), F.when(url != "", url).alias("url"),
+    )
+    return found.filter("title IS NOT NULL")
+
+
 def located(rows: DataFrame, keys: DataFrame, places: DataFrame) -> DataFrame:
     """Papers with pmcid (their own, else by pmid), location (by DOI), and preprint addresses.
 

@@ -80,6 +80,12 @@ def outline(sections: DataFrame) -> DataFrame:
     return found.select("doc", "section", "depth", F.row_number().over(Window.partitionBy("doc").orderBy("path")).alias("place"))
 
 
+def find_section(sections: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc, section, depth and place of the sections asked for (doc, section): the first in reading order, where an id repeats."""
+    met = outline(sections).join(wanted.select("doc", "section").distinct(), ["doc", "section"], "left_semi")
+    return met.groupBy("doc", "section").agg(F.min(F.struct("place", "depth")).alias("f")).select("doc", "section", "f.depth", "f.place")
+
+
 def assemble(documents: DataFrame, sections: DataFrame, drafts: DataFrame) -> DataFrame:
     """doc and draft: the title, then each section's heading (one mark deeper than its depth) and text, in outline order.
 

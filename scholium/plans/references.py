@@ -75,6 +75,27 @@ def answer_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "doi", "year", "title", F.col("abstract").isNotNull().alias("dated"))
 
 
+@query(r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Given Title' ELSE 'Drought And Rivers Of ' || page_id END AS title, CASE page_id % 4 WHEN 0 THEN 'A. One|B. Two' WHEN 1 THEN 'C. Three' ELSE '' END AS authors,
+    CASE page_id % 5 WHEN 0 THEN 2011 WHEN 1 THEN 2015 WHEN 2 THEN CASE WHEN 1890 + page_id BETWEEN 1900 AND 2030 THEN 1890 + page_id END ELSE CASE WHEN 1890 + page_id BETWEEN 1900 AND 2030 THEN 1890 + page_id END END AS year,
+    CASE WHEN page_id % 6 = 0 THEN '10.7/own' END AS doi, CASE page_id % 7 WHEN 0 THEN 'A snippet.' WHEN 1 THEN 'An abstract.' ELSE 'Said so before .' END AS abstract FROM pages WHERE page_id % 11 > 0""")
+def answer_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citation objects of answers as papers, what they lack taken from their URL or the answer; strings are passed over."""
+    p = F.col("page_id")
+    text = lambda name, value: F.concat(F.lit(f'"{name}": "'), value, F.lit('"'))
+    url = F.concat(F.lit("http://h.org/"), (1890 + p).cast("string"), F.lit("/drought-and-rivers-of-"), p.cast("string"), F.lit(".pdf"))
+    fields = [
+        text("url", url), F.when(p % 3 == 0, F.lit('"title": "Given Title"')).otherwise(F.lit('"title": ""')),
+        F.when(p % 4 == 0, F.lit('"author": "A. One, B. Two ,"')).when(p % 4 == 1, F.lit('"author": "", "authors": [" C. Three", "", null]')),
+        F.when(p % 5 == 0, F.lit('"published_date": 2011')).when(p % 5 == 1, F.lit('"published_date": "", "year": "printed 2015, 1999"')).when(p % 5 == 2, F.lit('"published_date": "soon"')),
+        F.when(p % 6 == 0, F.lit('"doi": "10.7/own"')), F.when(p % 7 == 0, F.lit('"snippet": "A snippet."')).when(p % 7 == 1, F.lit('"snippet": null, "abstract": "An abstract."')),
+    ]
+    made = F.when(p % 11 == 0, F.concat(F.lit('"'), url, F.lit('"'))).otherwise(F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")))
+    cited = table(spark, sf_dir, "pages").select("page_id", F.lit(1).alias("idx"), made.alias("citation"))
+    told = table(spark, sf_dir, "pages").select("page_id", F.lit("Said so before [1]. And so on.").alias("text"))
+    found = answers.structured(cited, answers.contexts(told, "page_id", "text"), "page_id")
+    return found.select("page_id", "title", F.array_join("authors", "|").alias("authors"), "year", "doi", "abstract")
+
+
 @query(r"""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_partkey AS VARCHAR) END AS pmid, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'pmc' ELSE '' END || p_partkey END AS pmcid, CASE WHEN p_partkey % 4 = 0 THEN '10.1101/' ELSE '10.1/' END || p_partkey AS doi, '2101.' || p_partkey || 'v' || p_size AS arxiv FROM part),
 j AS (SELECT p.*, coalesce(p.pmcid, k.pmcid) AS found, source FROM p LEFT JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS pmid, 'PMC9' || s_suppkey AS pmcid FROM supplier) k ON k.pmid = p.pmid LEFT JOIN (SELECT '10.1/' || doc_id AS doi, source FROM documents) o ON o.doi = p.doi)
 SELECT p_partkey, CASE WHEN upper(found) LIKE 'PMC%' THEN found ELSE 'PMC' || found END AS pmcid, 'http://oa.org/' || source AS location, 'https://arxiv.org/pdf/' || regexp_replace(arxiv, 'v\d+$', '') AS arxiv_url, CASE WHEN doi LIKE '10.1101/%' THEN 'https://www.biorxiv.org/content/' || doi || 'v1.full.pdf' END AS preprint_url FROM j""")

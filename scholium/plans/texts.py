@@ -19,11 +19,8 @@ inv AS (SELECT doc_id, word, list(pos) AS positions FROM w GROUP BY ALL), e AS (
 SELECT doc_id, md5(string_agg(word, ' ' ORDER BY pos)) AS rebuilt, count(*) AS n_words FROM e GROUP BY 1""")
 def inverted_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abstracts rebuilt from word -> positions."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("pos", "word"))
-    inverted = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
-    places = inverted.select("doc_id", "word", F.explode("positions").alias("pos"))
-    rebuilt = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ")
-    return places.groupBy("doc_id").agg(F.md5(rebuilt).alias("rebuilt"), F.count(F.lit(1)).alias("n_words"))
+    indexed = table(spark, sf_dir, "documents").select("doc_id", text.inverted_index(F.split("text", r"\s+")).alias("index"))
+    return indexed.select("doc_id", F.md5(F.array_join(text.from_index(F.col("index")), " ")).alias("rebuilt"), F.aggregate("index", F.lit(0).cast("long"), lambda n, e: n + F.size(e["places"])).alias("n_words"))
 
 
 @query(r"""SELECT doc_id, array_to_string(list_sort(list_filter(regexp_split_to_array(lower(regexp_replace(split_part(text, chr(10), 1), '[^\p{L}\p{N}_\s]', ' ', 'g')), '\s+'),

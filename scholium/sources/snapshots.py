@@ -47,3 +47,12 @@ def search_summary(papers: DataFrame, summary: str) -> DataFrame:
 def save_reports(reports: DataFrame, folder: str) -> None:
     """Evaluation rows as JSON lines."""
     reports.write.mode("overwrite").json(folder)
+
+
+def save_progress(nodes: DataFrame, folder: str, topic: str, started: str, current: str | None = None) -> None:
+    """One JSON record of a run: its topic, start, current node, and its nodes (name, status, seconds) by name.
+
+    A run has a few nodes, so they go into one record.
+    """
+    listed = nodes.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.struct("status", "seconds"))))).alias("nodes"))
+    listed.select(F.lit(topic).alias("topic"), F.lit(started).alias("started"), F.lit(current).cast("string").alias("current_node"), "nodes").write.mode("overwrite").json(folder)

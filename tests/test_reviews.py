@@ -3,9 +3,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from scholium.functions import references
+from scholium.functions import references, text
 from scholium.functions.text import STOPWORDS
-from scholium.operators import answers, matching, rounds, trees
+from scholium.operators import answers, matching, metrics, rounds, trees
 from scholium.operators.joins import indel_ratio
 from scholium.sources import snapshots
 
@@ -112,3 +112,44 @@ def test_snapshots(spark, tmp_path):
         (tmp_path / "runs" / run / "token_usage.json").write_text(body)
     got = {r.label: (r.model, r.tokens_in, r.cost) for r in snapshots.usage_costs(spark, f"{tmp_path}/runs/*/token_usage.json", [("m", 3.0, 15.0)]).collect()}
     assert got == {"run a": ("m", 1000000, 33.0), "b": ("unknown", 5, 0.0)}
+
+
+def test_small_lookups(spark, tmp_path):
+    dois = ["10.1016/j.x", "10.1038/s41", "10.1101/2020", "10.1/x", None, "10.10166/x"]
+    assert [r[0] for r in spark.createDataFrame([(d,) for d in dois], "d string").select(text.publisher(F.col("d"))).collect()] == ["elsevier", "springer", "biorxiv", None, None, None]
+    assert [r[0] for r in spark.createDataFrame([("1",), ("1.2.3",), (None,)], "n string").select(text.outline_depth(F.col("n"))).collect()] == [1, 3, None]
+    sections = spark.createDataFrame([("d", "1", None, 0), ("d", "1.1", "1", 0), ("d", "2", None, 1)], "doc string, section string, parent string, pos int")
+    wanted = spark.createDataFrame([("d", "2"), ("d", "9"), ("e", "1")], "doc string, section string")
+    assert [tuple(r) for r in trees.find_section(sections, wanted).collect()] == [("d", "2", 1, 3)]
+    nodes = spark.createDataFrame([("search", "done", 1.5), ("screening", "running", None)], "name string, status string, seconds double")
+    snapshots.save_progress(nodes, f"{tmp_path}/progress", "a topic", "2026-01-01", "screening")
+    read = spark.read.json(f"{tmp_path}/progress").first()
+    assert (read.topic, read.current_node, read.nodes.search.seconds, read.nodes.screening.status) == ("a topic", "screening", 1.5, "running")
+
+
+def test_inverted_index_within_the_row(spark):
+    rows = [("b a b c a b",), ("",), (None,), ("x",)]
+    words = F.split("t", " ")
+    found = spark.createDataFrame(rows, "t string").select(text.inverted_index(words).alias("i")).withColumn("back", F.array_join(text.from_index(F.col("i")), " ")).collect()
+    assert [(e.word, e.places) for e in found[0].i] == [("a", [1, 4]), ("b", [0, 2, 5]), ("c", [3])]
+    assert [r.back for r in found] == ["b a b c a b", "", None, "x"]
+
+
+def test_reading_grade_against_plain_counts(spark):
+    v, c = text.VOWELS, text.CONSONANTS
+
+    def syllables(word):
+        if not re.search(f"[{v}]", word):
+            return 1
+        ends = (f"[{v}][{c}]+e$", f"[{c}]le$"), (f"[{v}][{c}]+es$", "[sxzcgh]es$"), (f"[{v}][{c}]+ed$", "[td]ed$")
+        return len(re.findall(f"[{v}]+", word)) - any(re.search(a, word) and not re.search(b, word) for a, b in ends)
+
+    for word, n in (("the", 1), ("table", 2), ("whale", 1), ("jumped", 1), ("wanted", 2), ("boxes", 2), ("makes", 1), ("hmm", 1), ("idea", 2), ("élève", 2)):
+        assert syllables(word) == n, word
+    texts = ["The whale jumped. It was a table of wanted boxes! Hmm, makes no sense?", "One.", "", None, "Élève très sage et des idées. Straße und Öl.", "a b c. d e f g"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(metrics.reading_grade(F.col("t"))).collect()]
+    for t, grade in zip(texts, got, strict=True):
+        words = re.findall(text.LETTERS, t or "")
+        sentences = max(1, sum(len(re.findall(text.LETTERS, s)) > 2 for s in re.findall("[^.!?]+", t or "")))
+        want = round(0.39 * len(words) / sentences + 11.8 * sum(syllables(w.lower()) for w in words) / len(words) - 15.59, 2) if words else 0.0
+        assert (grade or 0.0) == want, t
