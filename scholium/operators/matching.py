@@ -69,20 +69,23 @@ def match_citations(generated: DataFrame, reference: DataFrame) -> DataFrame:
     Both sides are (review, id, ref), ids unique in a review. Many may match
     one. A reference without title words and DOI takes no part but counts in
     the lengths of the lists. A review that is on one side only has zeros.
+    matched, missed (of the reference list) and hallucinated (of the generated
+    one) are lists of entries, in the order of their ids.
     """
     made, wanted = keyed(generated), keyed(reference)
     pairs = matched_pairs(made, wanted)
 
     def split(df: DataFrame, name: str) -> DataFrame:
         hits = pairs.select("review", F.col(name).alias("id"), F.lit(True).alias("hit")).distinct()
-        lost = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("usable") & F.col("hit").isNull(), F.struct("id", "ref")))), lambda r: r["ref"]), "\n")
-        return df.join(hits, ["review", "id"], "left").groupBy("review").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("usable") & F.col("hit").isNotNull()).alias("k"), lost.alias("lost"))
+        listed = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(F.col("usable") & keep, F.struct("id", "ref")))), lambda r: r["ref"])
+        hit = F.col("hit").isNotNull()
+        return df.join(hits, ["review", "id"], "left").groupBy("review").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("usable") & hit).alias("k"), listed(hit).alias("kept_refs"), F.array_join(listed(~hit), "\n").alias("lost"))
 
     left = split(made, "left").select("review", F.col("n").alias("generated_count"), F.col("k").alias("kept"), F.col("lost").alias("hallucinated"))
-    right = split(wanted, "right").select("review", F.col("n").alias("reference_count"), F.col("k").alias("matched_count"), F.col("lost").alias("missed"))
+    right = split(wanted, "right").select("review", F.col("n").alias("reference_count"), F.col("k").alias("matched_count"), F.col("kept_refs").alias("matched"), F.col("lost").alias("missed"))
     found = left.join(right, "review", "full").fillna(0, ["generated_count", "kept", "reference_count", "matched_count"]).fillna("", ["hallucinated", "missed"])
     share = lambda k, n: F.when(F.col(n) > 0, F.col(k) / F.col(n)).otherwise(0.0)
     scored = found.withColumns({"precision": share("kept", "generated_count"), "recall": share("matched_count", "reference_count")})
     total = F.col("precision") + F.col("recall")
     f1 = F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0)
-    return scored.select("review", "generated_count", "reference_count", "matched_count", F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"), F.round(f1, 4).alias("f1"), "missed", "hallucinated")
+    return scored.select("review", "generated_count", "reference_count", "matched_count", F.round("precision", 4).alias("precision"), F.round("recall", 4).alias("recall"), F.round(f1, 4).alias("f1"), F.coalesce("matched", F.array().cast("array<string>")).alias("matched"), "missed", "hallucinated")

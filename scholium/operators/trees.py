@@ -49,20 +49,6 @@ def downstream(edges: DataFrame, start: DataFrame) -> DataFrame:
     return seen
 
 
-def check_dag(edges: list[tuple[str, str | None]]) -> None:
-    """Refuse unknown dependencies and cycles of a small graph of stages."""
-    nodes = {n for n, _ in edges}
-    unknown = {d for _, d in edges if d is not None} - nodes
-    if unknown:
-        raise ValueError(f"unknown dependencies: {sorted(unknown)}")
-    done: set[str] = set()
-    while done != nodes:
-        ready = {n for n in nodes - done if all(d in done for m, d in edges if m == n and d is not None)}
-        if not ready:
-            raise ValueError(f"cycle among {sorted(nodes - done)}")
-        done |= ready
-
-
 def outline(sections: DataFrame) -> DataFrame:
     """Pre-order place and depth of each section of a document's tree, to any depth.
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from scholium.functions import bibliography, text
 from scholium.operators import dedup, joins, metrics, ordered, resolution, sections, trees
-from scholium.plans.stages import Runner, Stage, StageError
 from scholium.sources import markup, records
 from scholium.sources.recorded import recorded
 
@@ -220,33 +219,6 @@ def test_dag(spark):
     assert {r.node for r in trees.downstream(edges, spark.createDataFrame([("b",)], "node string")).collect()} == {"b", "d"}
     with pytest.raises(ValueError, match="cycle"):
         trees.dag_levels(spark.createDataFrame([("r", None), ("a", "b"), ("b", "a")], "node string, dep string"))
-    with pytest.raises(ValueError, match="cycle"):
-        trees.check_dag([("a", "b"), ("b", "a")])
-    with pytest.raises(ValueError, match="unknown"):
-        trees.check_dag([("a", "z")])
-
-
-def test_runner_resumes(spark, tmp_path):
-    ran = []
-
-    def stage(name, *needs, fail=False):
-        def run(session, tables):
-            ran.append(name)
-            if fail:
-                raise RuntimeError("no")
-            return session.range(1 + sum(t.count() for t in tables.values()))
-
-        return Stage(name, run, needs)
-
-    runner = Runner(str(tmp_path), [stage("a"), stage("b", "a"), stage("c", "a"), stage("d", "b", "c")])
-    assert runner.levels() == [["a"], ["b", "c"], ["d"]]
-    assert runner.run(spark)["d"].count() == 5
-    runner.run(spark)
-    assert ran == ["a", "b", "c", "d"]
-    runner.run(spark, again_from="b")
-    assert ran == ["a", "b", "c", "d", "b", "d"]
-    with pytest.raises(StageError, match="stage x"):
-        Runner(str(tmp_path / "f"), [stage("x", fail=True)]).run(spark)
 
 
 def test_sections(spark):

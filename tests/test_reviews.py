@@ -55,6 +55,9 @@ def test_match_citations_equals_brute_force(spark):
     got = {r.review: (r.precision, r.recall, r.f1, r.missed, r.hallucinated) for r in matching.match_citations(rows(0), rows(1)).collect()}
     assert got == {r: brute(*v) for r, v in lists.items() if v[0] or v[1]}
     assert got[60][1] == 1.0
+    for r in matching.match_citations(rows(0), rows(1)).collect():
+        usable = [x for x in lists[r.review][1] if x not in r.missed.split("\n")]
+        assert [x for x in usable if x in r.matched] == r.matched and len(r.matched) == r.matched_count
     empty = rows(0).limit(0)
     assert matching.match_citations(empty, empty).count() == 0
 
