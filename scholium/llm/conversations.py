@@ -268,3 +268,39 @@ def digests(examined: DataFrame, parsed: DataFrame) -> DataFrame:
             yield made()
 
     return _passing(examined, parsed).mapInArrow(lean(run), f"conv_id {kind.simpleString()}, repaired_sha256 string")
+
+
+def duckdb_sql() -> str:
+    """The results of the query as DuckDB SQL: the crc32 by its table, the cheapest edits by one pass from turn to turn over the states of the form."""
+    least = lambda *cells: f"list_sort([{', '.join(cells)}])[1]"
+    plus = lambda cell, cost, edit: f"{{'c': {cell}.c + {cost}, 'a': {cell}.a || '{edit}'}}"
+    never = "{'c': CAST(1000000000 AS BIGINT), 'a': ''}"
+    dead, keep = "fault IN ('blank', 'duplicate')", lambda initial, cells: f"CASE WHEN i = '{initial}' AND fault NOT IN ('blank', 'duplicate') THEN {least(*cells)} ELSE {never} END"
+    cut = f"CASE WHEN fault = 'truncated' THEN {TRUNCATED} ELSE 0 END"
+    users = [plus(c, cut, "K") for c in ("z", "s", "a")]
+    renamed = [plus(c, f"{RENAME} + {cut}", "R") for c in ("z", "s", "a")]
+    either = lambda cells: f"CASE WHEN {dead} THEN {never} ELSE {least(*cells)} END"
+    step = f"""SELECT dp.conv_id, f.place, {plus("z", DELETE, "D")} AS z, {least(plus("s", DELETE, "D"), keep("s", [plus("z", cut, "K")]))} AS s,
+        {least(plus("u", DELETE, "D"), keep("u", users), either(renamed))} AS u, {least(plus("a", DELETE, "D"), keep("a", [plus("u", cut, "K")]), either([plus("u", f"{RENAME} + {cut}", "R")]))} AS a
+        FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.place = dp.place + 1"""
+    first = f"SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS place, {{'c': CAST(0 AS BIGINT), 'a': ''}} AS z, {never} AS s, {never} AS u, {never} AS a FROM conversations"
+    closed = lambda cells: f"SELECT conv_id, place, z, s, u1 AS u, {least('a', plus('u1', INSERT, 'I'))} AS a FROM (SELECT *, {least('u', *(plus(c, INSERT, 'I') for c in ('z', 's', 'a')))} AS u1 FROM ({cells}))"
+    space = r"\x20\x09-\x0D"
+    return rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(unicode(x) AS BIGINT)) AS codes FROM conversations),
+hashed AS (SELECT keyed.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), codes), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS h FROM keyed, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE h <> 0),
+placed AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM damaged),
+f AS MATERIALIZED (SELECT *, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^{space}]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][{space}]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+sums AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated, count_if(before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+dp AS ({closed(first)} UNION ALL {closed(step)}),
+best AS (SELECT conv_id, {least("z", "a")} AS e FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place DESC) = 1),
+letters AS (SELECT conv_id, unnest(string_split(e.a, '')) AS edit, generate_subscripts(string_split(e.a, ''), 1) AS n FROM best WHERE e.a <> ''),
+turns AS (SELECT *, CAST(sum(CAST(edit <> 'I' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY n) AS BIGINT) AS place, sum(CAST(edit <> 'D' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY n) - 1 AS no FROM letters),
+kept AS (SELECT t.conv_id, t.n, edit, no, role, text, CAST(first_value(edit = 'K' AND i = 's') OVER (PARTITION BY t.conv_id ORDER BY t.n) AS INTEGER) AS system FROM turns t LEFT JOIN f ON edit <> 'I' AND f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.place = t.place WHERE edit <> 'D'),
+whole AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (no - system) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY n) AS said FROM kept GROUP BY 1)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, e.c AS cost, e.a AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM best b LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN whole w ON w.conv_id IS NOT DISTINCT FROM b.conv_id
+"""

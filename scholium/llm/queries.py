@@ -137,3 +137,6 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashed = conversations.digests(examined, parsed).withColumnRenamed("conv_id", "_conv")
     none = F.sha2(F.lit("").cast("binary"), 256)
     return parsed.join(hashed, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select(*parsed.columns, F.coalesce("repaired_sha256", none).alias("repaired_sha256"))
+
+
+ORACLE_SQL["op13_conversations"] = conversations.duckdb_sql()
