@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholium.functions import references
-from scholium.operators import answers, matching, ordered
+from scholium.operators import answers, evaluation, matching, ordered
 from scholium.plans.registry import query
-from scholium.session import table
+from scholium.session import materialise, shared_folder, table
+from scholium.sources import reports
 
 NL = "' || chr(10) || '"
 
@@ -133,3 +134,22 @@ def prompt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docs.withColumn("r", read)
     abstract = F.coalesce(F.when(F.col("doc_id") % 5 != 0, F.md5("text")), F.lit(""))
     return found.select("doc_id", F.date_format("ts", "yyyyMMdd_HHmmss").alias("stamp"), F.replace(F.concat_ws(" ", "lang", "source"), F.lit(" "), F.lit("_")).alias("output_key"), F.floor(F.col("doc_id") / 20).alias("batch"), (F.col("doc_id") % 20).alias("index"), abstract.alias("abstract"), F.col("r.n").alias("n"), F.col("r._corrupt").isNotNull().alias("rejected"))
+
+
+@query()
+def evaluated_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a review: its scores and report, and the size of its domain from the reports that a sink wrote and gave back."""
+    generated, reference = cited_lines(spark, sf_dir)
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    shown = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    text = lines.groupBy(F.col("l_orderkey").alias("review")).agg(F.array_join(F.transform(shown, lambda p: F.concat(F.lit("## Part\nIt grows by "), p["l_partkey"].cast("string"), F.lit(" in all ["), p["l_linenumber"].cast("string"), F.lit("]."))), "\n").alias("text"))
+    reviews = orders.select(F.col("o_orderkey").alias("review"), F.col("o_orderstatus").alias("domain"), F.col("o_orderpriority").alias("tier")).join(text, "review", "left")
+    topics = lines.select(F.col("l_orderkey").alias("review"), (F.col("l_partkey") % 7).cast("string").alias("topic"), "l_returnflag").groupBy("review", "topic").agg(F.bool_or(F.col("l_returnflag") != "N").alias("in_generated"), F.bool_or(F.col("l_returnflag") != "A").alias("in_reference"))
+    judged = lines.filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("review"), F.when(F.col("l_linenumber") == 1, "synthesis").otherwise("writing").alias("part"), (F.col("l_partkey") % 6).cast("double").alias("generated"), (F.col("l_suppkey") % 6).cast("double").alias("reference"))
+    scores = judged.groupBy("review", "part").agg(F.max("generated").alias("generated"), F.max("reference").alias("reference")).withColumn("dimensions", F.create_map(F.lit("depth"), F.col("generated")))
+    results = materialise(evaluation.evaluate(reviews, generated, reference, topics, scores))
+    folder = shared_folder(spark)
+    reports.save(results.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("overall"), 4).alias("overall")).select(F.concat(F.lit("domain-"), "domain", F.lit(".json")).alias("name"), F.to_json(F.struct("domain", "n", "overall")).alias("body")), folder)
+    saved = results.select("review", "domain", "overall", F.col("citations.recall").alias("recall"), F.col("topics.coverage").alias("coverage"), F.col("structure.words").alias("words"), F.md5(evaluation.report(F.lit("2026-01-01"))).alias("report"))
+    summaries = reports.read(spark, folder).select(F.get_json_object("body", "$.domain").alias("domain"), F.get_json_object("body", "$.n").cast("long").alias("in_domain"))
+    return saved.join(summaries, "domain", "left")

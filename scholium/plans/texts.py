@@ -154,7 +154,21 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", markup.extractor("html")("html").alias("text"))
 
 
-@query()
+NL = "' || chr(10) || '"
+HEADED = sections.HEADING.replace("'", "''")
+DROPS = " OR ".join(f"contains(low, '{p}') OR contains('{p}', low)" for p in sections.DROPPED)
+mark = lambda cut: "'" + cut.replace("\n", NL) + "'"
+
+
+@query(rf"""WITH m AS (SELECT doc_id, '1. Introduction{NL}' || text || '{NL}2. Methods{NL}' || text || '{NL}Results{NL}' || text || '{NL}References{NL}' || text AS t FROM documents),
+l AS (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS no FROM (SELECT doc_id, string_split(t, chr(10)) AS p FROM m)),
+h AS (SELECT *, regexp_matches(line, '{HEADED}') AND length(trim(line)) <= 80 AS heading FROM l),
+s AS (SELECT *, CASE WHEN count_if(heading) OVER (PARTITION BY doc_id) < 2 THEN 0 ELSE count_if(heading) OVER (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING) END AS section FROM h),
+g AS (SELECT doc_id, section, CASE WHEN section > 0 THEN trim(lower(trim(regexp_extract(arg_min(line, no), '{HEADED}', 1)))) END AS low, string_agg(line, chr(10) ORDER BY no) AS body FROM s GROUP BY doc_id, section),
+i AS (SELECT doc_id, section, low, CASE WHEN contains(low, 'introduction') AND length(body) > 3000 THEN left(body, 3000) || {mark(sections.CUT_INTRO)} ELSE body END AS body FROM g),
+k AS (SELECT doc_id, section, CASE WHEN contains(low, 'method') AND length(body) > 2000 THEN left(body, 2000) || {mark(sections.CUT_METHODS)} ELSE body END AS body FROM i WHERE CASE WHEN section > 0 THEN NOT ({DROPS}) ELSE trim(body) <> '' END),
+j AS (SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY section), '') AS kept FROM m LEFT JOIN k USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN length(kept) <= 8000 THEN kept ELSE left(kept, 2666) || {mark(sections.CUT)} || right(kept, 5334) END AS text FROM j""")
 def section_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Papers cut with regard to their sections."""
     made = F.concat(F.lit("1. Introduction\n"), "text", F.lit("\n2. Methods\n"), "text", F.lit("\nResults\n"), "text", F.lit("\nReferences\n"), "text")
