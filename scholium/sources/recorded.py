@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from scholium.sources.stores import opened
+
 SCHEMA = "query string, rank int, id string, json string"
 NO_QUERY = "__HIVE_DEFAULT_PARTITION__"
 
@@ -92,7 +94,7 @@ class RecordedReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        where, root = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
+        where, root = opened(self.path)
         folders = {unquote(d.base_name.removeprefix("of=")): d.path for d in where.get_file_info(fs.FileSelector(f"{root}/by_query")) if d.base_name.startswith("of=")}
         known = [q for q in sorted(folders) if self.queries is None or q in self.queries]
         most = quota(int(self.max_results), len(known)) if self.max_results else None
@@ -106,7 +108,7 @@ class RecordedReader(DataSourceReader):
     def read(self, part: InputPartition) -> Iterator[tuple]:
         if not part.folder:
             return
-        where, _ = fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
+        where, _ = opened(self.path)
         for path in _files(where, part.folder):
             for line in _lines(where, path):
                 record = json.loads(line)

@@ -18,13 +18,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-MANIFEST = "_reports.json"
-
+from scholium.sources.stores import opened
 
-def opened(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path, and the path on it."""
-    where, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    return where, root.rstrip("/")
+MANIFEST = "_reports.json"
 
 
 @dataclass
