@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholium.operators import screening
 from scholium.plans.corpus import PAPERS, papers
 from scholium.plans.registry import query
-from scholium.session import shared_folder
+from scholium.session import shared_folder, table
 from scholium.sources import recorded
 
 
@@ -46,3 +47,52 @@ def search_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first thirty results of two queries, one after the other."""
     found = recorded.search(spark, record_papers(spark, sf_dir), queries=["src0", "src1"])
     return shaped(found.orderBy("query", "rank").limit(30))
+
+
+@query(f"""WITH {PAPERS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY source_database ORDER BY citation_count DESC NULLS LAST, doc_id) AS rank FROM papers WHERE source_database IN ('src0', 'src1', 'src2')),
+dated AS (SELECT * REPLACE (row_number() OVER (ORDER BY source_database, rank) - 1 AS pos) FROM ranked WHERE year >= 2005 AND year <= 2020),
+found AS (SELECT * REPLACE (regexp_replace(lower(nullif(trim(doi), '')), '^https?://(dx\\.)?doi\\.org/', '') AS doi), trim(regexp_replace(regexp_replace(lower(strip_accents(title)), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS title_key FROM dated)
+SELECT doi AS merge_key, min(pos) AS first_pos, arg_min(source_database, pos) AS source_database, arg_min(year, pos) AS year, count(*) AS n_merged FROM found WHERE coalesce(doi, '') <> '' GROUP BY 1
+UNION ALL SELECT title_key, min(pos), arg_min(source_database, pos), arg_min(year, pos), count(*) FROM found WHERE coalesce(doi, '') = '' AND title_key NOT IN (SELECT title_key FROM found WHERE coalesce(doi, '') <> '') GROUP BY 1""")
+def multi_source_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers of three recorded sources within some years, merged in the order of the sources."""
+    folder = record_papers(spark, sf_dir)
+    paper = F.from_json("json", "title string, doi string, year int, citation_count int")
+
+    def source(name: str) -> DataFrame:
+        return recorded.search(spark, folder, queries=[name]).withColumn("p", paper).select("rank", "p.*", F.col("query").alias("source_database"))
+
+    found = screening.multi_source_search([source(f"src{k}") for k in range(3)], 2005, 2020)
+    return found.select("merge_key", "first_pos", "source_database", F.col("year").cast("long").alias("year"), "n_merged")
+
+
+@query(f"""WITH {PAPERS} SELECT source_database, CAST(row_number() OVER (PARTITION BY source_database ORDER BY coalesce(citation_count, 0) DESC, pos) AS INTEGER) AS seed, doc_id FROM papers WHERE doc_id % 4 <> 0 QUALIFY seed <= 10""")
+def snowball_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most cited papers of each source that a snowball can start from."""
+    found = papers(spark, sf_dir).withColumn("s2_id", F.when(F.col("doc_id") % 4 != 0, F.col("doc_id").cast("string")))
+    return screening.top_cited(found, ["source_database"]).select("source_database", "seed", "doc_id")
+
+
+@query("SELECT user_id FROM (SELECT user_id, min((ts, event_id)) AS t FROM events GROUP BY 1) ORDER BY t, user_id LIMIT 25")
+def first_seen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty-five different ids, in the order of their appearance."""
+    return screening.first_seen(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 25)
+
+
+@query("""WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents), d AS (SELECT doc_id // 20 AS batch, doc_id % 23 AS index, quality * 4 + toxic * 3 - CAST(doc_id % 2 AS INTEGER) AS score, doc_id AS pos FROM labels),
+s AS (SELECT batch, index, arg_max(score, pos) AS score FROM d WHERE index < 20 GROUP BY ALL), m AS (SELECT doc_id, place // 20 AS batch, place % 20 AS index, least(5, greatest(1, score)) AS score FROM p JOIN s ON s.batch = place // 20 AND s.index = place % 20)
+SELECT doc_id, CAST(batch AS BIGINT) AS batch, index, score, CASE WHEN score = 3 THEN 'small' ELSE 'large' END AS model FROM m""")
+def decided_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers with the decision of their batch and index, indexes out of range ignored, and the model that the score calls for."""
+    d = F.col("doc_id")
+    decisions = table(spark, sf_dir, "labels").select(F.floor(d / 20).alias("batch"), (d % 23).alias("index"), (F.col("quality") * 4 + F.col("toxic") * 3 - (d % 2).cast("int")).alias("score"), d.alias("pos"))
+    found = screening.decided(table(spark, sf_dir, "documents").select("doc_id"), decisions, ["doc_id"])
+    return found.select("doc_id", "batch", "index", "score", screening.model_for(F.col("score")).alias("model"))
+
+
+@query("SELECT CAST(sum(k) FILTER (event_id % 3 < 2) AS BIGINT) AS input_tokens, CAST(sum(user_id) FILTER (event_id % 3 <> 1) AS BIGINT) AS output_tokens FROM (SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)")
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Input and output tokens of a whole audit log, by its maps."""
+    k, e = F.get_json_object("props", "$.k").cast("long"), F.col("event_id") % 3
+    usage = F.when(e == 0, F.create_map(F.lit("input_tokens"), k, F.lit("output_tokens"), F.col("user_id"))).when(e == 1, F.create_map(F.lit("input_tokens"), k, F.lit("cache_read"), F.col("user_id"))).otherwise(F.create_map(F.lit("output_tokens"), F.col("user_id")))
+    return screening.token_totals(table(spark, sf_dir, "events").select(usage.alias("token_usage")))
