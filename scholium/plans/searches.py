@@ -9,7 +9,7 @@ from scholium.operators import screening
 from scholium.plans.corpus import PAPERS, papers
 from scholium.plans.registry import query
 from scholium.session import shared_folder, table
-from scholium.sources import recorded
+from scholium.sources import recorded, records
 
 
 def record_papers(spark: SparkSession, sf_dir: str) -> str:
@@ -96,3 +96,14 @@ def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, e = F.get_json_object("props", "$.k").cast("long"), F.col("event_id") % 3
     usage = F.when(e == 0, F.create_map(F.lit("input_tokens"), k, F.lit("output_tokens"), F.col("user_id"))).when(e == 1, F.create_map(F.lit("input_tokens"), k, F.lit("cache_read"), F.col("user_id"))).otherwise(F.create_map(F.lit("output_tokens"), F.col("user_id")))
     return screening.token_totals(table(spark, sf_dir, "events").select(usage.alias("token_usage")))
+
+
+@query(f"WITH {RECORDED} SELECT rank, md5(title) AS title, CAST(year AS VARCHAR) AS year, doi, 6 AS fields FROM recorded WHERE query = 'src0' AND rank <= 20")
+def tool_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search tool answers for one source, without dedup: a JSON record of six fields for each result."""
+    found = recorded.search(spark, record_papers(spark, sf_dir), max_results=20, queries=["src0"])
+    paper = F.from_json("json", "title string, doi string, year int")
+    rows = found.select("rank", F.col("query").alias("source_database"), paper.alias("p")).select("rank", "source_database", "p.*")
+    said = rows.select("rank", records.shown(rows).alias("record"))
+    field = lambda name: F.get_json_object("record", f"$.{name}")
+    return said.select("rank", F.md5(field("title")).alias("title"), field("year").alias("year"), field("doi").alias("doi"), F.size(F.json_object_keys("record")).alias("fields"))

@@ -75,6 +75,13 @@ def pubmed(rows: DataFrame, column: str = "json") -> DataFrame:
     )
 
 
+def shown(papers: DataFrame) -> Column:
+    """The JSON record of a paper that a search tool hands over: six fields, absent ones as null."""
+    given = lambda c, kind: F.col(c) if c in papers.columns else F.lit(None).cast(kind)
+    fields = (("title", "title", "string"), ("authors", "authors", "array<string>"), ("year", "year", "int"), ("doi", "doi", "string"), ("abstract", "abstract", "string"), ("source_database", "source", "string"))
+    return F.to_json(F.struct(*(given(c, kind).alias(name) for c, name, kind in fields)), {"ignoreNullFields": "false"})
+
+
 def first_success(**attempts: Column) -> tuple[Column, Column]:
     """Text and name of the first attempt with more than 100 characters, cut at 200,000."""
     usable = {k: F.when(F.length(c) > 100, F.substring(c, 1, 200_000)) for k, c in attempts.items()}
