@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholium.operators.dedup import merge_papers, union_sources, year_range
 from scholium.operators.ordered import placed
+from scholium.operators.rounds import screened_with_promotions
 
 
 def multi_source_search(sources: list[DataFrame], low: int | None = None, high: int | None = None) -> DataFrame:
@@ -59,3 +60,24 @@ def token_totals(audit: DataFrame, usage: str = "token_usage") -> DataFrame:
     """input_tokens and output_tokens of an audit log whose usage is a map; other keys do not count, nor absent maps."""
     total = lambda k: F.coalesce(F.sum(F.try_element_at(usage, F.lit(k))), F.lit(0)).cast("long").alias(k)
     return audit.agg(total("input_tokens"), total("output_tokens"))
+
+
+def screen(papers: DataFrame, decisions: DataFrame, second: DataFrame, order: list[str], threshold: int = 3, size: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The screening stage: the papers that are in (score, promoted), and a row on how it went.
+
+    Decisions come by batch and index. A paper one under the threshold is in if a
+    second decision (the key of ``order``, score) lifts it. The row counts
+    candidates, those in, those promoted and those without an abstract, with the
+    share rejected; status is 'warning' if over 0.8 are rejected, fewer than 10 are
+    in, or over half have no abstract. papers: the columns of ``order``, abstract.
+    """
+    key = order[0]
+    chosen = screened_with_promotions(decided(papers, decisions, order, size), second, key, threshold)
+    counts = papers.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.coalesce("abstract", F.lit("")) == "").alias("no_abstract"))
+    included = chosen.agg(F.count(F.lit(1)).alias("included"), F.count_if("promoted").alias("promoted"))
+    share = lambda a: F.coalesce(F.try_divide(a, F.col("candidates")), F.lit(0.0))
+    rejected = F.when(F.col("candidates") > 0, 1.0 - share(F.col("included"))).otherwise(0.0)
+    # one row each
+    row = counts.join(F.broadcast(included)).withColumn("rejection_rate", F.round(rejected, 4))
+    bad = (rejected > 0.8) | (F.col("included") < 10) | (share(F.col("no_abstract")) > 0.5)
+    return chosen, row.withColumn("status", F.when(bad, "warning").otherwise("passed"))

@@ -107,3 +107,29 @@ def tool_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = rows.select("rank", records.shown(rows).alias("record"))
     field = lambda name: F.get_json_object("record", f"$.{name}")
     return said.select("rank", F.md5(field("title")).alias("title"), field("year").alias("year"), field("doi").alias("doi"), F.size(F.json_object_keys("record")).alias("fields"))
+
+
+SCREENED = f"""{PAPERS}, p AS (SELECT doc_id, abstract, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM papers), s AS (SELECT doc_id // 20 AS batch, doc_id % 20 AS index, arg_max(quality * 3 + toxic - CAST(doc_id % 3 AS INTEGER), doc_id) AS score FROM labels GROUP BY ALL),
+d AS (SELECT doc_id, least(5, greatest(1, score)) AS score FROM p JOIN s ON s.batch = place // 20 AND s.index = place % 20), again AS (SELECT doc_id, least(5, greatest(1, CAST(doc_id % 5 AS INTEGER))) AS score FROM labels),
+chosen AS (SELECT doc_id, score, false AS promoted FROM d WHERE score >= 3 UNION ALL SELECT d.doc_id, a.score, true FROM d JOIN again a ON a.doc_id = d.doc_id AND d.score = 2 AND a.score >= 3)"""
+
+
+def screening_stage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = F.col("doc_id")
+    labels = table(spark, sf_dir, "labels")
+    decisions = labels.select(F.floor(d / 20).alias("batch"), (d % 20).alias("index"), (F.col("quality") * 3 + F.col("toxic") - (d % 3).cast("int")).alias("score"), d.alias("pos"))
+    second = labels.select("doc_id", (d % 5).cast("int").alias("score"))
+    return screening.screen(papers(spark, sf_dir).select("doc_id", "abstract"), decisions, second, ["doc_id"])
+
+
+@query(f"WITH {SCREENED} SELECT doc_id, score, promoted FROM chosen")
+def screened_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers that screening lets in, with those that a second look promotes."""
+    return screening_stage(spark, sf_dir)[0].select("doc_id", "score", "promoted")
+
+
+@query(f"""WITH {SCREENED}, n AS (SELECT count(*) AS candidates, count_if(coalesce(abstract, '') = '') AS no_abstract FROM p), i AS (SELECT count(*) AS included, count_if(promoted) AS promoted FROM chosen)
+SELECT *, round(1.0::DOUBLE - included / candidates, 4) AS rejection_rate, CASE WHEN 1 - included / candidates > 0.8 OR included < 10 OR no_abstract / candidates > 0.5 THEN 'warning' ELSE 'passed' END AS status FROM n, i""")
+def screening_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the screening of all papers went."""
+    return screening_stage(spark, sf_dir)[1]
