@@ -192,8 +192,9 @@ def test_resolution_against_all_pairs(spark):
             t[at : at + rnd.randrange(2)] = rnd.choice("xyz ") * rnd.randrange(2)
         return "".join(t)
 
+    titles += ["Long " + " ".join(rnd.choices(words, k=260)) for _ in range(3)]
     papers = [(k, k % 2, "d" + str(k) if k % 5 == 0 else "", t) for k, t in enumerate([*titles, None, "", titles[3]])]
-    refs = [(k, rnd.choice(["", None, "", f"d{rnd.randrange(200)}"]), typing_errors(rnd.choice(titles))) for k in range(300)] + [(300, None, None), (301, "", "short"), (302, "", "alphax betax gammax delta epsilon zeta")]
+    refs = [(k, rnd.choice(["", None, "", f"d{rnd.randrange(200)}"]), typing_errors(rnd.choice(titles))) for k in range(300)] + [(303 + k, "", typing_errors(t)) for k, t in enumerate(titles[-3:])] + [(300, None, None), (301, "", "short"), (302, "", "alphax betax gammax delta epsilon zeta")]
     want = {}
     for key, doi, title in refs:
         hits = [(s, p) for p, s, d, _ in papers if doi and d == doi]
