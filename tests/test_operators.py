@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -180,6 +181,16 @@ def test_themes_in_texts(spark):
     assert got == sorted((k, t) for k, x in texts for t in themes if x is not None and t and t.strip() and t in x)
 
 
+def test_lcs_of_a_title_with_a_block():
+    rnd = random.Random(2)
+    for n in (1, 63, 64, 65, 200):
+        title, block = "".join(rnd.choices("abcé 😀", k=n)), ["".join(rnd.choices("abcdé 😀", k=rnd.randrange(1, 150))) for _ in range(40)]
+        points = np.full((len(block), max(map(len, block))), -1, np.int64)
+        for i, t in enumerate(block):
+            points[i, : len(t)] = [ord(c) for c in t]
+        assert [200 * x / (n + len(t)) for x, t in zip(resolution.lcs_lengths(title, points), block, strict=True)] == [joins.indel_ratio(title, t) for t in block]
+
+
 def test_resolution_against_all_pairs(spark):
     rnd = random.Random(6)
     words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "protein", "of", "the", "learning", "δέλτα", "😀"]
