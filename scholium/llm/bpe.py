@@ -3,8 +3,10 @@
 Texts of up to ``long_chars`` characters are encoded in one go. Where the
 tokenizer normalises by NFC, white space and lower case and cuts words by a
 pattern, a text of common characters is cut by the same pattern here and its
-words are looked up; each task keeps the words it has met. Any other text is cut
-at white space, which never joins tokens in the tokenizers used here.
+words are looked up; a word not known yet goes to the tokenizer's model as it is,
+since nothing is left to normalise or cut. Each task keeps the words it has met;
+when they are too many, those met once only go. Any other text is cut at white
+space, which never joins tokens in the tokenizers used here.
 
 Long texts are cut into pieces at fixed places, dealt to tasks and encoded in
 parallel. The pieces of a text are then joined pairwise as a tree: around each
@@ -36,6 +38,8 @@ from scholium.llm.words import lean
 LONG_CHARS = 65_536
 PIECE_CHARS = 32_768
 CACHED_UNITS = 120_000
+#: Texts that a task cuts and encodes at a time.
+BATCH_TEXTS = 250
 #: Longer than every added token of the vocabulary, in characters.
 MARGIN = 32
 #: Separators for str.split() that the tokenizers' own \s does not know.
@@ -43,6 +47,10 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Characters that lower-casing and the classes of every regular expression engine agree on: ASCII but for controls, Latin, Greek, Cyrillic, dashes and quotes.
 UNCOMMON = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f\u0388-\u03a1\u03a3\u03a4-\u03ce\u0400-\u0482\u048a-\u04ff\u2010-\u201f\u2026]|\u03a3|<\\|")
 
+#: The characters that byte-level models take for bytes.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: b if b in _SHOWN else 0x100 + sum(c not in _SHOWN for c in range(b)) for b in range(0x100)}
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -71,10 +79,9 @@ class Codec:
         self.tokenizer.no_padding()
         self.plain_join = self.tokenizer.decoder is None
         size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-        self.names = [self.tokenizer.id_to_token(i) for i in range(size)]
+        self.names = np.array([self.tokenizer.id_to_token(i) for i in range(size)], object)
         self.ids: dict[str, bytes] = {}
-        self.names_of: dict[str, str] = {}
-        self.some_empty = False
+        self.met_again: set[str] = set()
         self.words = word_pattern(path)
 
     @classmethod
@@ -83,52 +90,53 @@ class Codec:
             _codecs[path] = cls(path)
         return _codecs[path]
 
-    def learn(self, units: set[str]) -> None:
-        new = list(units - self.ids.keys())
+    def learn(self, words: set[str], parts: set[str]) -> None:
+        """Know the ids of words of the pattern, and of other parts of texts."""
+        units = words | parts
+        new = units - self.ids.keys()
+        self.met_again |= units - new
         if len(new) + len(self.ids) > CACHED_UNITS:
-            self.forget()
-            new = list(units)
-        for start in range(0, len(new), 4_000):
-            some = new[start : start + 4_000]
+            if len(new) + len(self.met_again) > CACHED_UNITS:
+                self.forget()
+            self.ids = {u: self.ids[u] for u in self.met_again}
+            self.met_again = set()
+            new = units - self.ids.keys()
+        model = self.tokenizer.model
+        for word in new & words:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)
+            self.ids[word] = array("I", [t.id for t in model.tokenize(shown)]).tobytes()
+        others = list(new - words)
+        for start in range(0, len(others), 4_000):
+            some = others[start : start + 4_000]
             for unit, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = found.ids
-                self.ids[unit] = array("I", ids).tobytes()
-                self.names_of[unit] = " ".join([self.names[i] for i in ids])
-                self.some_empty |= not ids
+                self.ids[unit] = array("I", found.ids).tobytes()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         if self.plain_join:
-            return " ".join([self.names[i] for i in ids])
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+            return " ".join(self.names[ids].tolist())
+        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
-    def cut(self, text: str) -> list[str] | None:
-        """Parts of a text that are encoded each by itself; None if there is no safe cut."""
+    def cut(self, text: str) -> tuple[list[str] | None, bool]:
+        """Parts of a text that are encoded each by itself (None if there is no safe cut), and whether they are words of the pattern."""
         if self.words and not UNCOMMON.search(text) and unicodedata.is_normalized("NFC", text):
-            return self.words.findall(text.lower())
-        return None if ODD_SPACE.search(text) else text.split()
+            return self.words.findall(text.lower()), True
+        return (None if ODD_SPACE.search(text) else text.split()), False
 
     def forget(self) -> None:
         """Free the units, so that a worker that goes on to other work is small."""
-        self.ids.clear()
-        self.names_of.clear()
+        self.ids, self.met_again = {}, set()
 
     def encode_all(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Little-endian unsigned 32-bit ids, and decoded text, of each text."""
         split = [self.cut(t) for t in texts]
-        self.learn({unit for units in split if units for unit in units})
+        self.learn(*({unit for units, whole in split if units and whole is kind for unit in units} for kind in (True, False)))
         ids, decoded = [], []
-        for text, units in zip(texts, split, strict=True):
+        for text, (units, _) in zip(texts, split, strict=True):
             if units is None:
-                own = self.tokenizer.encode(text, add_special_tokens=False).ids
-                ids.append(np.array(own, "<u4").tobytes())
-                decoded.append(self.decode(own))
-                continue
-            ids.append(b"".join(map(self.ids.__getitem__, units)))
-            if self.plain_join:
-                names = map(self.names_of.__getitem__, units)
-                decoded.append(" ".join(filter(None, names) if self.some_empty else names))
+                ids.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             else:
-                decoded.append(self.decode(np.frombuffer(ids[-1], "<u4").tolist()))
+                ids.append(b"".join(map(self.ids.__getitem__, units)))
+            decoded.append(self.decode(np.frombuffer(ids[-1], "<u4")))
         return ids, decoded
 
     def tokens(self, text: str) -> Tokens:
@@ -223,8 +231,8 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(tokenizer)
         for batch in batches:
-            for start in range(0, len(batch), 1000):
-                some = batch.slice(start, 1000)
+            for start in range(0, len(batch), BATCH_TEXTS):
+                some = batch.slice(start, BATCH_TEXTS)
                 yield result(some.column("key"), *codec.encode_all(some.column("text").to_pylist()))
         codec.forget()
 
@@ -244,7 +252,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
         ids = encode_tree(codec, pieces).ids
         copies = group.column("copies")[0].as_py()
         keys = pa.array([group.column("key")[0].as_py()] * copies, group.schema.field("key").type)
-        return pa.Table.from_batches([result(keys, [ids.astype("<u4").tobytes()] * copies, [codec.decode(ids.tolist())] * copies)])
+        return pa.Table.from_batches([result(keys, [ids.astype("<u4").tobytes()] * copies, [codec.decode(ids)] * copies)])
 
     short = rows.filter(F.length("text") <= long_chars).mapInArrow(lean(whole), out)
     size = F.lit(piece_chars)

@@ -70,3 +70,16 @@ def test_words_are_cut_as_the_library_cuts_them():
         text = "".join(rnd.choices(parts, k=rnd.choice([1, 3, 8, 20])))
         ids = codec.tokenizer.encode(text, add_special_tokens=False).ids
         assert codec.encode_all([text]) == ([np.array(ids, "<u4").tobytes()], [codec.tokenizer.decode(ids, skip_special_tokens=False)])
+
+
+def test_units_met_again_stay_known(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_UNITS", 60)
+    codec = bpe.Codec(PATH)
+    common = ["the", "of", "été", "x-ray?", "2"]
+    codec.encode_all([" ".join(common)])
+    first = {u: codec.ids[u] for u in ["the", "of", "été", "ray", "2"]}
+    for k in range(20):
+        rare = [f"q{c}z{d}" for c in "abcdefgh"[: 1 + k % 8] for d in "klmnop"[: 1 + k % 6]]
+        codec.encode_all([" ".join([*common, *(w + "abcdefghijklmnopqrstuvwxyz"[k] for w in rare)])])
+        assert len(codec.ids) <= 60
+    assert all(codec.ids[u] is ids for u, ids in first.items())
