@@ -1,4 +1,7 @@
 import hashlib
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -58,3 +61,24 @@ def test_repeated_and_null_rows(spark):
     assert corpus_pipeline.encode_tokens(spark, kept, SF).count() == 6
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_tasks_give_their_memory_back():
+    code = """
+from pathlib import Path
+from scholium.llm.words import lean
+
+held = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096 / 1e6
+last = []
+
+def work(batches):
+    many = [b"x" * (2000 + k % 7) for k in range(100_000)]
+    last.extend(many[::1000] + many[-1:])  # lie between and behind them, as what a worker keeps does
+    yield held()
+
+before = held()
+most = max(lean(work)(iter([])))
+assert most > before + 150, (before, most)
+assert held() < before + 60, (before, most, held())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2])
