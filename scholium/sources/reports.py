@@ -3,13 +3,14 @@
 ``frame.write.format("reports")`` takes rows (name, body): each task writes its
 bodies below a staging folder of its own write; the commit moves them to their
 names and lists them in a manifest, which is written last. A write that fails
-removes its staging and leaves no report; a task that is tried again, or twice
-at once, counts once.
+removes its staging and leaves no report; tasks that still run then cannot make
+the folder anew. A task that is tried again, or twice at once, counts once.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from scholium.sources.stores import opened
 
 MANIFEST = "_reports.json"
+#: Times that a staging folder is deleted while tasks still add to it.
+ABORTS = 20
 
 
 @dataclass
@@ -31,11 +34,13 @@ class Written(WriterCommitMessage):
 class ReportWriter(DataSourceWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.staging = path, overwrite, f"_staging-{uuid.uuid4().hex}"
+        where, root = opened(path)
+        where.create_dir(f"{root}/{self.staging}", recursive=True)
 
     def write(self, rows: Iterator) -> Written:
         where, root = opened(self.path)
         attempt = f"{root}/{self.staging}/{uuid.uuid4().hex}"
-        where.create_dir(attempt, recursive=True)
+        where.create_dir(attempt, recursive=False)  # an error once the staging is gone
         done = []
         for k, row in enumerate(rows):
             if not row["name"] or "/" in row["name"] or row["name"].startswith(("_", ".")):
@@ -65,8 +70,15 @@ class ReportWriter(DataSourceWriter):
 
     def abort(self, messages: list[Written | None]) -> None:
         where, root = opened(self.path)
-        if where.get_file_info(f"{root}/{self.staging}").type == fs.FileType.Directory:
-            where.delete_dir(f"{root}/{self.staging}")
+        for left in reversed(range(ABORTS)):
+            if where.get_file_info(f"{root}/{self.staging}").type != fs.FileType.Directory:
+                break
+            try:
+                where.delete_dir(f"{root}/{self.staging}")
+            except OSError:  # a task that still runs has added a file meanwhile
+                if not left:
+                    raise
+                time.sleep(0.1)
 
 
 class ReportSink(DataSource):

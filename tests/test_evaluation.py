@@ -66,3 +66,18 @@ def test_reports_are_in_place_only_when_all_are_written(spark, tmp_path):
     assert [r.name for r in reports.read(spark, folder).collect()] == ["only.json"]
     with pytest.raises(Exception, match="not a name"):
         reports.save(spark.createDataFrame([("../x", "")], "name string, body string"), folder)
+
+
+def test_a_task_that_outlives_its_write_leaves_nothing(tmp_path):
+    writer = reports.ReportWriter(f"{tmp_path}/out", False)
+
+    def rows():
+        yield {"name": "a.md", "body": "x"}
+        writer.abort([])
+        yield {"name": "b.md", "body": "y"}
+
+    with pytest.raises(OSError):
+        writer.write(rows())
+    with pytest.raises(OSError):  # one that begins after the end
+        writer.write(iter([{"name": "c.md", "body": "z"}]))
+    assert not list((tmp_path / "out").glob("_staging*"))
