@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholium.llm.graph import components
-from scholium.llm.words import gram_hashes, lean, mix, packed_texts, row_keys, unpack
+from scholium.llm.words import gram_hashes, lean, mix, one_by_one, packed_texts, row_keys, unpack
 from scholium.session import materialise, release
 
 #: Block keys that a task gathers before it sends them, and those of one part.
@@ -218,7 +218,7 @@ def candidates(rows: DataFrame, n: int, percent: int, parts: int, bits: int = 64
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, found = None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 if row["pairs"] is not None:
                     pairs = np.frombuffer(row["pairs"], np.int64).reshape(-1, 2)
                     yield from _columns(1, pairs[:, 0], pairs[:, 1])
@@ -317,7 +317,7 @@ def rare_pairs(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, per
 
         part, found = None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 if row["part"] != part:
                     if found:
                         yield from of_part(found)

@@ -72,6 +72,12 @@ def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
     return run
 
 
+def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, each made when its turn comes: large values are not all held twice."""
+    for i in range(len(batch)):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def row_keys(key: str, text: str) -> list[Column]:
     """Columns key and row, equal for equal rows only: the id, and a 128-bit digest of the text that tells rows of one id (or none) apart; null and empty texts are one."""
     return [F.col(key).alias("key"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("row")]

@@ -1,15 +1,18 @@
 import hashlib
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from scholium.llm import quality
+from scholium.llm.words import one_by_one
 from tests.llm import test_decontam, test_jaccard
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +85,12 @@ assert most > before + 150, (before, most)
 assert held() < before + 60, (before, most, held())
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parents[2])
+
+
+def test_rows_of_a_batch_are_made_one_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"part": [1, 1, 2], "entries": [b"x" * 5_000_000, None, b"y" * 5_000_000]})
+    tracemalloc.start()
+    sizes = [len(r["entries"] or b"") for r in one_by_one(batch)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [5_000_000, 0, 5_000_000] and most < 8_000_000
