@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scholium.functions.numbers import rounded
 from scholium.operators import joins, metrics
 from scholium.plans.registry import query
 from scholium.session import table
@@ -103,7 +104,7 @@ def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT event_id, CASE {BANDS} END AS anchor, CASE {NEXT} END AS next_anchor FROM (SELECT event_id, round(value / 100, 2) AS s FROM events)")
 def rubric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rubric anchor of each score; nothing in the gaps between bands."""
-    scores = table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") / 100, 2).alias("s"))
+    scores = table(spark, sf_dir, "events").select("event_id", rounded(F.col("value") / 100, 2).alias("s"))
     return joins.in_band(scores, ANCHORS, "s").drop("s")
 
 
