@@ -1,9 +1,13 @@
 """What shows only on larger tables, on small ones made for it."""
 
+import random
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from scholium.functions.numbers import rounded
+from scholium.operators import matching
 from scholium.plans import catalog
 
 
@@ -19,3 +23,33 @@ def test_rubric_anchors_round_as_sql(spark, tmp_path):
     numbers = [repr(r[0]) for r in events.orderBy("event_id").select(rounded(F.col("value") / 100, 2)).collect()]
     assert numbers == [repr(r[0]) for r in con.sql("SELECT round(value / 100, 2) FROM events ORDER BY event_id").fetchall()]
     assert numbers[201] == "1.0"  # of 1.005
+
+
+def reviews_of(spark, sizes):
+    rng = random.Random(3)
+    words = "gut axis brain river growth ab acb cell deep model flow drought".split()
+
+    def ref(i):
+        title = " ".join(rng.choice(words) for _ in range(rng.randint(0, 5)))
+        changed = "".join(rng.choice("abe") if rng.random() < 0.1 else c for c in title)
+        return f"[{i}] Doe J. {changed}. J." + (f" 10.1234/{rng.randint(1, 40)}." if rng.random() < 0.2 else "")
+
+    lists = {r: ([ref(i) for i in range(n)], [ref(i) for i in range(m)]) for r, (n, m) in enumerate(sizes)}
+    return [spark.createDataFrame([(r, i, x) for r, v in lists.items() for i, x in enumerate(v[k])] + [(None, k, "[1] A. Deep model. J.")], "review int, id int, ref string") for k in (0, 1)]
+
+
+def test_short_and_long_reviews_match_alike(spark, monkeypatch):
+    sides = reviews_of(spark, [(9, 7), (0, 3), (2, 0), (30, 25), (1, 1), (12, 12)])
+    found = []
+    for short in (256, 20, 0):
+        monkeypatch.setattr(matching, "SHORT", short)
+        found.append(sorted(map(repr, matching.match_citations(*sides).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 8
+
+
+def test_references_of_short_reviews_stay_in_their_row(spark):
+    sides = reviews_of(spark, [(3, 3)] * 40)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(matching, "matched_pairs", None)  # no candidates are joined
+        plan = matching.match_citations(*sides)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
