@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholium.functions.numbers import rounded
-from scholium.operators import matching
+from scholium.operators import evaluation, matching
 from scholium.plans import catalog
+from tests.test_evaluation import inputs
 
 
 def test_rubric_anchors_round_as_sql(spark, tmp_path):
@@ -53,3 +54,10 @@ def test_references_of_short_reviews_stay_in_their_row(spark):
         patch.setattr(matching, "matched_pairs", None)  # no candidates are joined
         plan = matching.match_citations(*sides)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_short_reviews_are_evaluated_without_candidates(spark, monkeypatch):
+    monkeypatch.setattr(matching, "matched_pairs", None)
+    given = inputs(spark)
+    found = {r.review: r.citations for r in evaluation.evaluate(*given).collect()}
+    assert {k: (c.matched_count, c.reference_count, c.recall) for k, c in found.items() if c} == {"a": (2, 4, 0.5), "b": (0, 12, 0.0), "c d": (0, 0, 0.0)}
