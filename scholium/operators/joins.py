@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from scholium.functions.text import match_tokens
+from scholium.operators.themes import containing
+
+__all__ = ["containing", "in_band", "indel", "indel_ratio", "neighbours", "overlapping", "token_jaccard"]
 
 
 def overlapping(left: DataFrame, right: DataFrame, left_key: str, right_key: str, member: str) -> DataFrame:
@@ -17,40 +20,6 @@ def overlapping(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return left.select(left_key, member).distinct().join(right.select(right_key, member).distinct(), member).select(left_key, right_key).distinct()
 
 
-def containing(rows: DataFrame, themes: DataFrame, key: str, text: str, theme: str) -> DataFrame:
-    """Pairs of key and theme where the text contains the theme, as ``in`` does: of any number of words, and within words.
-
-    Cut at spaces, the inner parts of a theme are parts of any text that contains
-    it, its first part ends one, its last begins one; a theme without a space lies
-    within one. Each
-    theme is looked up by the parts of its rarest anchor (by the number of texts
-    that have them), and only texts with one of these are searched. What can match
-    is found among the distinct parts of all texts. Blank or null themes match
-    nothing. Keys need not be unique.
-    """
-    found = rows.select(key, text, F.explode(F.array_distinct(F.split(text, " "))).alias("_part"))
-    held = found.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).filter("_part <> ''")
-    parts = F.split(theme, " ")
-    asked = themes.filter(F.trim(theme) != "").select(theme, parts.alias("_parts")).distinct()
-    n = F.size("_parts")
-    whole = asked.filter(n > 2).select(theme, F.posexplode(F.slice("_parts", F.lit(2), n - 2)).alias("_anchor", "_part"))
-    first = asked.filter(n > 1).select(theme, F.lit(-1).alias("_anchor"), F.get("_parts", F.lit(0)).alias("_tail"))
-    last = asked.filter(n > 1).select(theme, F.lit(-2).alias("_anchor"), F.element_at("_parts", -1).alias("_head"))
-    only = asked.filter(n == 1).select(theme, F.lit(0).alias("_anchor"), F.substring(theme, 1, 3).alias("_gram"))
-    size = F.length("_part")
-    tails = held.select("_part", "_n", F.explode(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring("_part", i, size))).alias("_tail"))
-    heads = held.select("_part", "_n", F.explode(F.transform(F.sequence(F.lit(1), size), lambda i: F.substring("_part", F.lit(1), i))).alias("_head"))
-    grams = held.select("_part", "_n", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.substring("_part", i, k)))))).alias("_gram"))
-    columns = (theme, "_anchor", "_part", "_n")
-    within = grams.join(only, "_gram").filter(F.contains("_part", theme)).select(*columns)
-    anchored = held.join(whole, "_part").select(*columns).unionByName(tails.join(first, "_tail").select(*columns)).unionByName(heads.join(last, "_head").select(*columns)).unionByName(within)
-    # inner parts that no text has leave their theme without rows, as do anchors that are empty
-    wanted = whole.filter("_part <> ''").select(theme, "_anchor").unionByName(first.filter("_tail <> ''").select(theme, "_anchor")).unionByName(last.filter("_head <> ''").select(theme, "_anchor")).unionByName(only.select(theme, "_anchor")).distinct()
-    cost = wanted.join(anchored.groupBy(theme, "_anchor").agg(F.sum("_n").alias("_cost")), [theme, "_anchor"], "left").groupBy(theme).agg(F.min(F.struct(F.coalesce("_cost", F.lit(0)).alias("_cost"), "_anchor")).alias("_best"))
-    looked = anchored.join(cost.select(theme, F.col("_best._anchor").alias("_anchor")), [theme, "_anchor"]).select(theme, "_part").distinct()
-    return found.join(looked, "_part").filter(F.contains(text, theme)).select(key, theme).distinct()
-
-
 def in_band(rows: DataFrame, anchors: list[tuple[float, float, str]], score: str) -> DataFrame:
     """Adds the label of the first anchor whose band holds the score, and the next anchor's; null in the gaps.
 

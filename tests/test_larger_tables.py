@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholium.functions.numbers import rounded
-from scholium.operators import evaluation, matching
+from scholium.operators import evaluation, joins, matching, themes
 from scholium.plans import catalog
 from tests.test_evaluation import inputs
 
@@ -61,3 +61,14 @@ def test_short_reviews_are_evaluated_without_candidates(spark, monkeypatch):
     given = inputs(spark)
     found = {r.review: r.citations for r in evaluation.evaluate(*given).collect()}
     assert {k: (c.matched_count, c.reference_count, c.recall) for k, c in found.items() if c} == {"a": (2, 4, 0.5), "b": (0, 12, 0.0), "c d": (0, 0, 0.0)}
+
+
+def test_texts_are_not_shuffled_for_themes(spark, monkeypatch):
+    monkeypatch.setattr(themes, "PLACES", 16)
+    monkeypatch.setattr(themes, "MOST_THEMES", 2)  # several scans
+    texts = [(1, "x" * 300 + " über the hills"), (2, "ab" * 40), (2, "ab" * 40), (3, None), (4, "hills"), (5, "über th")]
+    asked = ["hills", "über", "ü", "xxxxxxxx über", "abababababa", "baa", "the hills", "r th", "no such theme"]
+    rows, given = spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame([(t,) for t in asked], "theme string")
+    found = joins.containing(rows, given, "id", "t", "theme")
+    assert sorted(map(tuple, found.collect())) == sorted((k, t) for k, x in texts for t in asked if x and t in x)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
