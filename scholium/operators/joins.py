@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pandas as pd
@@ -12,7 +13,9 @@ from pyspark.sql.types import DoubleType
 from scholium.functions.text import match_tokens
 from scholium.operators.themes import containing
 
-__all__ = ["containing", "in_band", "indel", "indel_ratio", "neighbours", "overlapping", "token_jaccard"]
+__all__ = ["containing", "in_band", "indel", "indel_ratio", "neighbours", "overlapping", "paired", "token_jaccard"]
+#: Pairs that a task makes, about.
+TASK_PAIRS = 20_000_000
 
 
 def overlapping(left: DataFrame, right: DataFrame, left_key: str, right_key: str, member: str) -> DataFrame:
@@ -20,6 +23,25 @@ def overlapping(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return left.select(left_key, member).distinct().join(right.select(right_key, member).distinct(), member).select(left_key, right_key).distinct()
 
 
+def paired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Pairs of rows of equal key, where few keys have many rows on both sides.
+
+    The pairs are counted first. What the sides hold is small beside them, so the
+    rows of a key are dealt: every row of the left side to all parts of its key,
+    each of the right side to one, and the parts to as many tasks as the pairs
+    take. Keys are not brought together again.
+    """
+    of = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias(name))
+    met = of(left, "_n").join(of(right, "_m"), key).agg(F.sum(F.col("_n") * F.col("_m")).alias("pairs"), F.count(F.lit(1)).alias("keys")).first()
+    tasks = math.ceil((met.pairs or 0) / TASK_PAIRS)
+    if tasks <= 1:
+        return left.join(right, key)
+    parts = math.ceil(4 * tasks / met["keys"])
+    dealt = left.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, key, "_part")
+    held = right.withColumn("_part", F.pmod(F.xxhash64(*right.columns), F.lit(parts)).cast("int")).repartition(tasks, key, "_part")
+    return dealt.join(held, [key, "_part"]).drop("_part")
+
+
 def in_band(rows: DataFrame, anchors: list[tuple[float, float, str]], score: str) -> DataFrame:
     """Adds the label of the first anchor whose band holds the score, and the next anchor's; null in the gaps.
 

@@ -72,3 +72,17 @@ def test_texts_are_not_shuffled_for_themes(spark, monkeypatch):
     found = joins.containing(rows, given, "id", "t", "theme")
     assert sorted(map(tuple, found.collect())) == sorted((k, t) for k, x in texts for t in asked if x and t in x)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [20_000_000, 500])
+def test_pairs_of_queries_are_not_brought_together_again(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(joins, "TASK_PAIRS", most)
+    spark.createDataFrame([(s,) for s in [*range(120), 3, 3, -7, None]], "l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p % 900, p % 7) for p in range(1000)] + [(1, None), (None, 3)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for name in ("lineitem", "part"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    found = catalog.QUERIES["query_section_papers"](spark, str(tmp_path))
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, con.sql(catalog.ORACLE_SQL["query_section_papers"]).fetchall()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Aggregate" in x and "p_partkey" in x and ("section" in x or "l_suppkey" in x)]
