@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholium.functions.numbers import rounded
-from scholium.operators import evaluation, joins, matching, themes
+from scholium.operators import evaluation, joins, matching, resolution, themes
 from scholium.plans import catalog
 from tests.test_evaluation import inputs
 
@@ -86,3 +86,22 @@ def test_pairs_of_queries_are_not_brought_together_again(spark, tmp_path, monkey
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, con.sql(catalog.ORACLE_SQL["query_section_papers"]).fetchall()))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.split("\n") if "Aggregate" in x and "p_partkey" in x and ("section" in x or "l_suppkey" in x)]
+
+
+def test_titles_that_cannot_be_alike_are_not_compared(monkeypatch):
+    rng = random.Random(2)
+    base = ["".join(rng.choices("abcdefgh é", k=rng.choice([5, 70, 300]))) for _ in range(8)]
+    changed = lambda t: "".join(rng.choice("xab") if rng.random() < rng.choice([0, 0.1, 0.4]) else c for c in t)
+    asked, known = ([changed(t) for t in base for _ in range(3)] for _ in range(2))
+    asked, known = list(dict.fromkeys(asked + ["zzzz" * 20])), list(dict.fromkeys(known))
+    want = []
+    for i, x in enumerate(asked):
+        score, back = max((joins.indel_ratio(x, y), -j) for j, y in enumerate(known))
+        want += [(i, -back, score)] if score >= 70 else []
+    for sizes in ((64, 1 << 14, 1 << 11, 1 << 22), (3, 5, 1 << 11, 1), (8, 50, 60, 1 << 22), (64, 1 << 14, 0, 1 << 22)):
+        for name, size in zip(("KINDS", "PAIRS", "LONG", "MASKS"), sizes, strict=True):
+            monkeypatch.setattr(resolution, name, size)
+        assert resolution.best_in_block(asked, known, 70.0) == want
+    # the lengths fit, the letters do not
+    left, right = resolution.Block(["zzzz" * 20, base[1]], ["qrst" * 20, base[1] + "h"], 70.0).candidates()
+    assert list(zip(left.tolist(), right.tolist(), strict=True)) == [(1, 1)]
